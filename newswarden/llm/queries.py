@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam
+from . import decontam, sp_bpe
+
+SP_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +22,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_decontamination": op7_decontamination}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_bpe.encode_digests(_read(spark, sf_dir, "documents"), SP_MODEL)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_decontamination": op7_decontamination,
+    "op9_sentencepiece": op9_sentencepiece,
+}
 
 ORACLES: dict[str, str] = {}
