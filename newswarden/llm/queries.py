@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sp_bpe
+from . import decontam, quality, sp_bpe
 
 SP_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -26,8 +26,21 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_digests(_read(spark, sf_dir, "documents"), SP_MODEL)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    return quality.rules(documents, quality.train(documents, _read(spark, sf_dir, "labels")))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    scored = quality.classify(documents, quality.train(documents, _read(spark, sf_dir, "labels"), held_out=0))
+    return scored.select("doc_id", (quality.remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
+    "op3_quality_rules": op3_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
     "op9_sentencepiece": op9_sentencepiece,
 }
 
