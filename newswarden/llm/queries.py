@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sp_bpe
+from . import decontam, ngram_join, quality, sp_bpe
 
 SP_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -26,6 +26,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_digests(_read(spark, sf_dir, "documents"), SP_MODEL)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_documents(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return quality.rules(documents, quality.train(documents, _read(spark, sf_dir, "labels")))
@@ -38,10 +42,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_decontamination": op7_decontamination,
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
-    "op10_quality_classifier": op10_quality_classifier,
+    "op7_decontamination": op7_decontamination,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
