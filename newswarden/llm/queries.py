@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, ngram_join, quality, sp_bpe
+from . import chat, decontam, hosts, ngram_join, pseudonyms, quality, sp_bpe
 
 SP_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -17,11 +17,31 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Key of the pseudonyms; a deployment brings its own.
+PSEUDONYM_KEY = "public-demonstration-key"
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(_read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, count_col="n_replaced")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+URL_RULES = [hosts.rule("allow", "com/"), hosts.rule("block", "example.com/en/"), hosts.rule("allow", "www.example.com/en/"), hosts.rule("block", "net/es/"), hosts.rule("block", "net/fr/")]
+
+
+def op8_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose id is the number in its path; the document's label is the page's outcome."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    labels = _read(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    shown = pages.select("page_id", F.expr("try_cast(regexp_extract(url, '://[^/?#]*/(?:[^/?#]*/)?([0-9]{1,18})(?:[^0-9]|$)', 1) as bigint)").alias("doc_id"))
+    outcomes = shown.join(labels, "doc_id").groupBy("page_id").agg((F.min("quality") > 0).alias("good"))
+    return hosts.judged(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_digests(_read(spark, sf_dir, "documents"), SP_MODEL)
 
@@ -30,6 +50,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(_read(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_read(spark, sf_dir, "conversations"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return quality.rules(documents, quality.train(documents, _read(spark, sf_dir, "labels")))
@@ -43,8 +67,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op5_pseudonyms": op5_pseudonyms,
     "op7_decontamination": op7_decontamination,
+    "op8_host_reputation": op8_host_reputation,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
 }
