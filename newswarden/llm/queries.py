@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hosts, ngram_join, pseudonyms, quality, sp_bpe
+from . import attention_lm, chat, decontam, hosts, ngram_join, pseudonyms, quality, sp_bpe, token_shards
 
 SP_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.scored(_read(spark, sf_dir, "documents"), SP_MODEL)
+
+
 #: Key of the pseudonyms; a deployment brings its own.
 PSEUDONYM_KEY = "public-demonstration-key"
 
@@ -25,6 +29,13 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(_read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, count_col="n_replaced")
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the written shards, as it is read back."""
+    shards = token_shards.materialise(_read(spark, sf_dir, "documents"), SP_MODEL, key=20240131)
+    read = token_shards.read_back(spark, shards)
+    return read.select("slot", "shard", "doc_id", "place", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -69,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_format": op2_chat_format,
     "op3_quality_rules": op3_quality_rules,
+    "op4_attention_lm": op4_attention_lm,
     "op5_pseudonyms": op5_pseudonyms,
+    "op6_token_shards": op6_token_shards,
     "op7_decontamination": op7_decontamination,
     "op8_host_reputation": op8_host_reputation,
     "op9_sentencepiece": op9_sentencepiece,

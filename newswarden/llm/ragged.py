@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 MASK64 = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15 | 3, 0xD6E8FEB86659FD93 | 3, 0xA0761D6478BD642F | 3)
 

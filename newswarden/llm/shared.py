@@ -17,6 +17,18 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to Python, so that long texts come a few at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows alone unless this is set; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/newswarden/{name}-{uuid.uuid4().hex}"
 

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import ragged as R
+from . import shared
 
 MARK = "▁"
 #: Symbols up to which segments are merged together in arrays; a longer one has a heap of its own.
@@ -44,11 +45,12 @@ _NONE = np.int32(2**31 - 1)
 
 
 class Model:
-    def __init__(self, path: str):
+    def __init__(self, path: str, check: bool = True):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
+        self.check = check
+        self.size = n = sp.get_piece_size()
         pieces = [sp.id_to_piece(i) for i in range(n)]
         normal = [not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)) for i in range(n)]
         if any(MARK in p.lstrip(MARK) for p, ok in zip(pieces, normal, strict=True) if ok):
@@ -181,6 +183,8 @@ class Model:
 
     def _checked(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, bounds = self.encode_segments([MARK + s for s in segments])
+        if not self.check:
+            return ids, bounds
         theirs = self.library.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
         for k in [k for k, x in enumerate(segments) if not x]:
             # The library puts no mark before an empty text, so this segment can't be asked for.
@@ -211,19 +215,19 @@ class Model:
             begin = starts + ~head
             h, second = R.span_hashes(part, begin, ends), R.span_hashes(part, begin, ends, 1)
             own, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-            where = self._lookup(own, second[one], part, begin[one], ends[one])
+            where = self.lookup(own, second[one], part, begin[one], ends[one])
             which = where[inverse]
             if not np.array_equal(self.second[which], second):
                 raise RuntimeError("two segments have the same hash")  # both have 64 independent bits
             ids = R.gather(self.values, self.bounds, which)
             per = np.bincount(rows, self.bounds[which + 1] - self.bounds[which], minlength=hi - lo).astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum(per)])
-            if lo == 0 and self.library.encode(column[0].as_py() or "") != ids[: bounds[1]].tolist():
+            if self.check and lo == 0 and self.library.encode(column[0].as_py() or "") != ids[: bounds[1]].tolist():
                 raise RuntimeError("a text's ids differ from the sentencepiece library's")
             yield lo, hi, ids, bounds
 
-    def _lookup(self, own: np.ndarray, second: np.ndarray, part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Places of the segments in the worker's store; those not there yet are encoded."""
+    def lookup(self, own: np.ndarray, second: np.ndarray, part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of the segments, each with a mark before it, in the worker's store; those not there yet are encoded."""
         if len(self.known) > CACHE_SEGMENTS or len(self.values) > CACHE_IDS:
             self._forget()
         at = np.searchsorted(self.known, own)
@@ -254,13 +258,14 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> Model:
-    """One model per worker process."""
-    return Model(path)
+def load(path: str, check: bool = True) -> Model:
+    """One model per worker process; without `check` it doesn't ask the library about its results."""
+    return Model(path, check)
 
 
 def encode_digests(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Per row: id, n_tokens with begin and end, digests of the ids and of the text they decode to, and the ids if asked for."""
+    shared.bound_batches(df.sparkSession)
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids)
 
