@@ -1,0 +1,143 @@
+"""Evaluation queries (E)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import evaluation, filtering
+from ..functions import text
+from .domain import _SIGNALS
+from .registry import query
+
+_C = F.col
+_LABEL = "CASE id % 4 WHEN 0 THEN 'CRITICAL_RELEVANT' WHEN 1 THEN 'RELEVANT' WHEN 2 THEN 'WEAK_RELEVANT' ELSE 'IRRELEVANT' END"
+
+
+def _results(t):
+    label = F.when(_C("id") % 4 == 0, "CRITICAL_RELEVANT").when(_C("id") % 4 == 1, "RELEVANT").when(_C("id") % 4 == 2, "WEAK_RELEVANT").otherwise("IRRELEVANT")
+    return filtering.decide(t.articles).withColumn("human_label", label)
+
+
+_RES = f"WITH {_SIGNALS}, res AS (SELECT *, {_LABEL} AS human_label FROM dec)"
+
+
+@query("e_01_label_metrics", "SELECT count(*) AS n, count(*) FILTER (quality = 1) / count(*) AS good_rate, count(*) FILTER (toxic = 1) / count(*) AS toxic_rate, count(*) FILTER (quality = 1 AND toxic = 0) / count(*) AS usable_rate FROM labels")
+def _(t):
+    share = lambda c: F.count_if(c) / F.count("*")
+    return t.labels.agg(F.count("*").alias("n"), share(_C("quality") == 1).alias("good_rate"), share(_C("toxic") == 1).alias("toxic_rate"), share((_C("quality") == 1) & (_C("toxic") == 0)).alias("usable_rate"))
+
+
+_RATE = "CASE WHEN count(*) FILTER ({1}) = 0 THEN 0.0 ELSE count(*) FILTER ({0}) / count(*) FILTER ({1}) END"
+_CRIT, _IMP, _IRR = "human_label = 'CRITICAL_RELEVANT'", "human_label IN ('CRITICAL_RELEVANT', 'RELEVANT')", "human_label = 'IRRELEVANT'"
+
+
+@query("e_02_filter_metrics", f"""{_RES} SELECT count(*) AS dataset_size, {_RATE.format(_CRIT + " AND decision = 'KEEP'", _CRIT)} AS critical_recall, {_RATE.format(_IMP + " AND decision <> 'DROP'", _IMP)} AS relevant_recall,
+  {_RATE.format(_IMP + " AND decision = 'DROP'", _IMP)} AS false_negative_rate, {_RATE.format(_CRIT + " AND decision <> 'KEEP'", _CRIT)} AS critical_miss_rate, {_RATE.format("decision <> 'DROP'", "true")} AS pass_through_rate,
+  {_RATE.format("decision = 'KEEP'", "true")} AS keep_rate, {_RATE.format("decision = 'MAYBE_KEEP'", "true")} AS maybe_keep_rate, {_RATE.format(_IRR + " AND decision <> 'DROP'", _IRR)} AS irrelevant_pass_rate FROM res""")
+def _(t):
+    return evaluation.filter_metrics(_results(t))
+
+
+@query("e_02_gate")
+def _(t):
+    return evaluation.gate(evaluation.filter_metrics(_results(t))).select("passed", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("e_02_failures", f"""{_RES} SELECT failure, count(*) AS n FROM (SELECT CASE WHEN {_CRIT} AND decision = 'DROP' THEN 'critical_dropped' WHEN {_CRIT} AND decision = 'MAYBE_KEEP' THEN 'critical_deprioritized' WHEN human_label = 'RELEVANT' AND decision = 'DROP' THEN 'relevant_dropped'
+  WHEN human_label = 'WEAK_RELEVANT' AND decision = 'DROP' THEN 'weak_relevant_dropped' WHEN {_IRR} AND decision = 'KEEP' THEN 'irrelevant_kept' WHEN {_IRR} AND decision = 'MAYBE_KEEP' THEN 'irrelevant_maybe_kept' END AS failure FROM res) WHERE failure IS NOT NULL GROUP BY 1""")
+def _(t):
+    return _results(t).select(evaluation.failure_type(_C("human_label"), _C("decision")).alias("failure")).where("failure is not null").groupBy("failure").agg(F.count("*").alias("n"))
+
+
+@query("e_03_confusion", f"{_RES} SELECT human_label, count(*) FILTER (decision = 'KEEP') AS keep, count(*) FILTER (decision = 'MAYBE_KEEP') AS maybe, count(*) FILTER (decision = 'DROP') AS dropped FROM res GROUP BY 1")
+def _(t):
+    wide = _results(t).groupBy("human_label").pivot("decision", ["KEEP", "MAYBE_KEEP", "DROP"]).count().na.fill(0)
+    return wide.withColumnsRenamed({"KEEP": "keep", "MAYBE_KEEP": "maybe", "DROP": "dropped"})
+
+
+@query("e_05_expected_decision", f"SELECT id, CASE {_LABEL} WHEN 'CRITICAL_RELEVANT' THEN 'KEEP' WHEN 'IRRELEVANT' THEN 'DROP' ELSE 'MAYBE_KEEP' END AS least FROM v_articles")
+def _(t):
+    return _results(t).select("id", evaluation.least_decision(_C("human_label")).alias("least"))
+
+
+@query("e_06_judge_distribution", f"{_RES} SELECT tier, decision, count(*) AS n, count(*) FILTER ({_IMP} AND decision = 'DROP') AS risks FROM res GROUP BY ALL")
+def _(t):
+    risk = _C("human_label").isin("CRITICAL_RELEVANT", "RELEVANT") & (_C("decision") == "DROP")
+    return _results(t).groupBy(_C("s.tier").alias("tier"), "decision").agg(F.count("*").alias("n"), F.count_if(risk).alias("risks"))
+
+
+@query("e_07_dashboard", f"{_RES} SELECT id, row_number() OVER (ORDER BY CASE WHEN {_IMP} AND decision = 'DROP' THEN 0 WHEN {_IRR} AND decision <> 'DROP' THEN 1 ELSE 2 END, id) AS place FROM res QUALIFY place <= 200")
+def _(t):
+    from ..operators.readmodels import ranked
+
+    r = _results(t)
+    rank = F.when(_C("human_label").isin("CRITICAL_RELEVANT", "RELEVANT") & (_C("decision") == "DROP"), 0).when((_C("human_label") == "IRRELEVANT") & (_C("decision") != "DROP"), 1).otherwise(2)
+    return ranked(r.orderBy(rank, "id").limit(200), rank, _C("id")).select("id", "place")
+
+
+@query("e_08_digest_metrics", """SELECT count(*) AS n, (count(*) - count(*) FILTER (g <> p)) / count(*) AS accuracy, CASE WHEN count(*) FILTER (p) = 0 THEN 1.0 ELSE count(*) FILTER (g AND p) / count(*) FILTER (p) END AS precision, CASE WHEN count(*) FILTER (g) = 0 THEN 0.0 ELSE count(*) FILTER (g AND p) / count(*) FILTER (g) END AS recall
+  FROM (SELECT quality = 1 AS g, doc_id % 5 <> 0 AS p FROM labels)""")
+def _(t):
+    return evaluation.binary_metrics(t.labels.select((_C("quality") == 1).alias("g"), (_C("doc_id") % 5 != 0).alias("p")), "g", "p").drop("f1")
+
+
+@query("e_09_agreement", "SELECT doc_id, quality = CAST(doc_id % 2 AS INTEGER) AS exact, CASE WHEN quality = 1 THEN toxic = 0 END AS vendor_match FROM labels")
+def _(t):
+    return t.labels.select("doc_id", (_C("quality") == _C("doc_id") % 2).alias("exact"), F.when(_C("quality") == 1, _C("toxic") == 0).alias("vendor_match"))
+
+
+@query("e_10_pairs", "SELECT a, b, CASE WHEN la = lb THEN 'same_event' ELSE 'different_event' END AS label FROM (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 60)")
+def _(t):
+    from ..operators.readmodels import pairs_across, pairs_within
+
+    e = t.embeddings.where("vec_id < 60").select(_C("label").alias("basket"), "vec_id")
+    same = pairs_within(e, "basket", "vec_id").select("a", "b", F.lit("same_event").alias("label"))
+    return same.union(pairs_across(e, "basket", "vec_id").select("a", "b", F.lit("different_event").alias("label")))
+
+
+@query("e_11_threshold", "SELECT round(max(CASE WHEN l = 'same_event' THEN d END), 4) AS same_max, round(min(CASE WHEN l <> 'same_event' THEN d END), 4) AS different_min FROM (SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS l, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 60)")
+def _(t):
+    from ..functions.numbers import cosine_distance
+
+    a = t.embeddings.where("vec_id < 60").select(_C("vec_id").alias("a"), _C("label").alias("la"), _C("embedding").alias("va"))
+    b = a.select(_C("a").alias("b"), _C("la").alias("lb"), _C("va").alias("vb"))
+    pairs = a.join(b, _C("a") < _C("b")).select(F.when(_C("la") == _C("lb"), "same_event").otherwise("different_event").alias("label"), cosine_distance(_C("va"), _C("vb")).alias("distance"))
+    return evaluation.threshold_suggestion(pairs).select(F.round("same_max", 4).alias("same_max"), F.round("different_min", 4).alias("different_min"))
+
+
+@query("e_12_extraction_sets", r"""SELECT count(*) AS n, round(CAST(sum(shared) AS DOUBLE) / sum(p), 9) AS precision, round(CAST(sum(shared) AS DOUBLE) / sum(g), 9) AS recall FROM (SELECT len(g) AS g, len(p) AS p, len(list_intersect(g, p)) AS shared FROM
+  (SELECT list_distinct(list_transform(regexp_extract_all(title, '(?i)\bCVE-[0-9]{4}-[0-9]{4,}\b'), lambda x: lower(x))) AS g, list_distinct(list_transform(regexp_extract_all(lower(substring(title, 1, 40)), 'cve-[0-9]{4}-[0-9]{4,}'), lambda x: x)) AS p FROM v_articles))""")
+def _(t):
+    rows = t.articles.select(text.cves(_C("title")).alias("g"), text.cves(F.substring("title", 1, 40)).alias("p"))
+    return evaluation.set_metrics(rows, "g", "p").select("n", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
+
+
+@query("e_13_harvest", "SELECT bucket, id FROM (SELECT id, doc % 4 AS bucket, row_number() OVER (PARTITION BY doc % 4 ORDER BY sha256(CAST(id AS VARCHAR)), id) AS rn FROM (SELECT id, id % 4 AS doc FROM v_articles WHERE id NOT IN (SELECT doc_id FROM labels))) WHERE rn <= 10")
+def _(t):
+    from ..operators.latest import first_n
+
+    free = t.articles.join(t.labels.select(_C("doc_id").alias("id")), "id", "left_anti").select((_C("id") % 4).alias("bucket"), "id")
+    return first_n(free, ["bucket"], [F.sha2(_C("id").cast("string"), 256), _C("id")], 10)
+
+
+@query("e_14_queue_counts", "SELECT count(*) AS unlabelled, count(*) FILTER (status = 'DIGESTED') AS ready FROM v_articles WHERE id NOT IN (SELECT doc_id FROM labels)")
+def _(t):
+    return t.articles.join(t.labels.select(_C("doc_id").alias("id")), "id", "left_anti").agg(F.count("*").alias("unlabelled"), F.count_if(_C("status") == "DIGESTED").alias("ready"))
+
+
+@query("e_15_basket_overlap", "SELECT article_id FROM (SELECT article_id, count(DISTINCT event_id) AS n FROM (SELECT article_id, event_id FROM v_event_articles UNION ALL SELECT article_id, event_id + 1 FROM v_event_articles WHERE article_id % 20 = 0) GROUP BY 1) WHERE n > 1")
+def _(t):
+    links = t.event_articles.select("article_id", "event_id")
+    both = links.union(links.where("article_id % 20 = 0").select("article_id", _C("event_id") + 1))
+    return both.groupBy("article_id").agg(F.countDistinct("event_id").alias("n")).where("n > 1").select("article_id")
+
+
+@query("e_16_assist_valid", "SELECT event_id, count(*) BETWEEN 2 AND 5 AS valid FROM v_event_articles WHERE article_id < 60 GROUP BY 1")
+def _(t):
+    return t.event_articles.where("article_id < 60").groupBy("event_id").agg(F.count("*").between(2, 5).alias("valid"))
+
+
+@query("e_17_run_join", "SELECT d.doc_id, l.quality IS NOT NULL AS predicted FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0")
+def _(t):
+    gold = t.documents.where("doc_id % 2 = 0").select("doc_id")
+    return gold.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", _C("quality").isNotNull().alias("predicted"))
