@@ -114,7 +114,7 @@ _HITS, _ITEMS = "__nw_hits", "__nw_items"
 
 def _scanned(df: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, item_text: str, width: int, max_bytes: int, finish: Callable, schema: T.StructType) -> DataFrame:
     """`finish(batch, words, hits by row, items by row)` makes the rows of `schema` from each batch after the last set."""
-    shared.bound_batches(df.sparkSession)
+    shared.prepare(df.sparkSession)
     context = df.sparkSession.sparkContext
     sets = [context.broadcast(x) for x in ngram_sets(benchmark, id_col, item_text, width, max_bytes)]
     carry = T.StructType([*df.schema.fields, T.StructField(_HITS, T.BinaryType()), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])

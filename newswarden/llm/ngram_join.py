@@ -10,8 +10,8 @@ Two texts are linked if the Jaccard similarity of their sets is at least 0.8.
    second one, so that a pair of similarity lambda survives in one child on average,
    and deals its sets by their tokens there. Buckets of up to `bucket` sets are
    compared by brute force on the sampled tokens. Larger ones compare each set with
-   one pivot; sets nearly equal to the pivot leave (each neighbour of theirs is a
-   candidate of the pivot as well), the others recurse. Runs with fresh randomness
+   one pivot; sets near the pivot leave (each neighbour of theirs is within the
+   pivot's reach, and so its candidate as well), the others recurse. Runs with fresh randomness
    are repeated until a pair at the threshold is met with probability `recall` at
    the depth that was reached.
 3. Candidates' connected components are verified exactly: all pairs of a component,
@@ -46,9 +46,9 @@ from .components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS = 64
-BUCKET, TILE, DEEPEST = 200, 256, 12
+BUCKET, TILE, DEEPEST = 1500, 256, 12
 #: Runs of the first batch.
-RUNS = 6
+RUNS = 8
 _SALT = R.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = R.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
 
@@ -146,9 +146,9 @@ def _children(df: DataFrame, runs: list[int] | None, threshold: float) -> DataFr
     return df.mapInArrow(run, _ROW)
 
 
-def _least(n: np.ndarray, threshold: float) -> np.ndarray:
+def _least(threshold: float) -> float:
     """Share of equal tokens from which a pair is a candidate: 3.5 standard errors under the threshold."""
-    return threshold - 3.5 * np.sqrt(threshold * (1 - threshold) / np.minimum(np.maximum(n, 1), TOKENS))
+    return threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / TOKENS)
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -162,39 +162,50 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _brute(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Candidate links of small buckets, given as arrays: all pairs by tokens, as spanning forests."""
+def _brute(rows: DataFrame, threshold: float) -> DataFrame:
+    """Candidate links within small buckets: all pairs by tokens, as spanning forests. Buckets come one after the other, in rows sorted by key."""
+    least = _least(threshold) * TOKENS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            members = batch.column(0)
-            flat, bounds = members.flatten(), members.offsets.to_numpy() - members.offsets[0].as_py()
-            sig = flat.field(0).to_pylist()
-            n = flat.field(1).to_numpy()
-            tokens = np.frombuffer(b"".join(flat.field(2).to_pylist()), np.uint16).reshape(len(n), TOKENS)
-            least = _least(n, threshold) * TOKENS
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if b - a == 2:
-                    if (tokens[a] == tokens[a + 1]).sum() >= min(least[a], least[a + 1]):
-                        left.append(sig[a])
-                        right.append(sig[a + 1])
-                    continue
+    def judge(sig: list[bytes], tokens: np.ndarray, bounds: list[int]) -> pa.RecordBatch:
+        left, right = [], []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            if b - a == 2:
+                if (tokens[a] == tokens[a + 1]).sum() >= least:
+                    left.append(sig[a])
+                    right.append(sig[a + 1])
+            elif b - a > 2:
                 own = tokens[a:b]
                 equal = np.zeros((b - a, b - a), np.int16)
                 for k in range(TOKENS):
                     equal += own[:, k][:, None] == own[:, k][None, :]
-                root = _forest(equal >= np.minimum(least[a:b][:, None], least[a:b][None, :]))
+                root = _forest(equal >= least)
                 for i in np.flatnonzero(root != np.arange(b - a)).tolist():
                     left.append(sig[a + i])
                     right.append(sig[a + int(root[i])])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    return buckets.mapInArrow(run, "a binary, b binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sig, tokens = np.empty(0, np.int64), [], np.empty((0, TOKENS), np.uint16)
+        for batch in batches:
+            key = np.concatenate([key, batch.column("key").to_numpy()])
+            sig = sig + batch.column("sig").to_pylist()
+            tokens = np.concatenate([tokens, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, TOKENS)])
+            first = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+            yield judge(sig, tokens, first)
+            key, sig, tokens = key[first[-1] :], sig[first[-1] :], tokens[first[-1] :]
+        yield judge(sig, tokens, [0, len(sig)])
+
+    return rows.select("key", "sig", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
 def _pivots(rows: DataFrame, threshold: float) -> DataFrame:
-    """Rows of large buckets with their pivot's tokens: adds `near` (a candidate of the pivot) and `stays` (in the recursion)."""
+    """Rows of large buckets with their pivot's tokens: adds `near` (a candidate of the pivot) and `stays` (in the recursion).
+
+    Distances add up: with the pivot at most `reach` away, every set linked to a row
+    that leaves is within `reach` as well, so such a row can leave with no link lost.
+    """
+    margin = 3.5 * math.sqrt(0.25 / TOKENS) / 4
+    reach = 1 - threshold + 0.3 + margin
     schema = T.StructType([*rows.schema.fields[:4], T.StructField("pivot", T.BinaryType()), T.StructField("near", T.BooleanType()), T.StructField("stays", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +213,12 @@ def _pivots(rows: DataFrame, threshold: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             mine, theirs = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, TOKENS) for c in ("sketch", "other"))
-            share = (mine == theirs).mean(1)
-            n = np.minimum(batch.column("n").to_numpy(), batch.column("m").to_numpy())
-            # Distances add up: a neighbour of a set this near the pivot is itself a candidate of the pivot.
-            least = _least(n, threshold)
-            leaves = (n >= TOKENS) & (1 - share + (1 - threshold) <= 1 - least - 0.05) | (share == 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "sig", "n", "sketch", "pivot")), pa.array(share >= least), pa.array(~leaves)], names=[f.name for f in schema.fields])
+            away = 1 - (mine == theirs).mean(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "sig", "n", "sketch", "pivot")), pa.array(away <= reach), pa.array(away > 0.3)], names=[f.name for f in schema.fields])
 
-    pivot = rows.groupBy("key").agg(F.min_by(F.struct("sig", "n", "sketch"), F.xxhash64("sig", "key")).alias("p"))
-    pivot = pivot.select("key", F.col("p.sig").alias("pivot"), F.col("p.n").alias("m"), F.col("p.sketch").alias("other"))
-    return rows.join(pivot, "key").select("key", "sig", "n", "sketch", "pivot", "m", "other").mapInArrow(run, schema)
+    pivot = rows.groupBy("key").agg(F.min_by(F.struct("sig", "sketch"), F.xxhash64("sig", "key")).alias("p"))
+    pivot = pivot.select("key", F.col("p.sig").alias("pivot"), F.col("p.sketch").alias("other"))
+    return rows.join(pivot, "key").select("key", "sig", "n", "sketch", "pivot", "other").mapInArrow(run, schema)
 
 
 def survival(depth: int, threshold: float) -> float:
@@ -234,7 +241,7 @@ def candidate_links(sets: DataFrame, *, threshold: float = THRESHOLD, recall: fl
             rows = _children(sets.select("sig", "n", "sketch") if rows is None else rows, runs if level == 1 else None, threshold)
             sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
             dealt = shared.written(rows.join(sizes, "key"), "paths")
-            small = dealt.where(F.col("size") <= bucket).groupBy("key").agg(F.collect_list(F.struct("sig", "n", "sketch")).alias("members")).select("members")
+            small = dealt.where(F.col("size") <= bucket)
             large = dealt.where(F.col("size") > bucket).drop("size")
             found = _brute(small, threshold)
             deeper = not large.isEmpty()
@@ -243,7 +250,7 @@ def candidate_links(sets: DataFrame, *, threshold: float = THRESHOLD, recall: fl
                 near = met if level == deepest else met.where("near")
                 found = found.union(near.where("sig != pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
                 rows = met.where("stays").select("key", "sig", "n", "sketch")
-            links.append(shared.written(found.distinct(), "candidates"))
+            links.append(shared.written(found, "candidates"))
             depth = max(depth, level)
             shared.drop(dealt)
             if not deeper or level == deepest:
@@ -254,7 +261,7 @@ def candidate_links(sets: DataFrame, *, threshold: float = THRESHOLD, recall: fl
     out = links[0]
     for x in links[1:]:
         out = out.union(x)
-    return out.distinct()
+    return out
 
 
 def _overlaps(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
@@ -337,6 +344,7 @@ def _tiles(members: DataFrame, threshold: float, tile: int) -> DataFrame:
 
 def linked_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE, deepest: int = DEEPEST) -> DataFrame:
     """Per row: id, class_id (least id of its connected texts), n_links (other documents at the threshold or above), n_copies (documents with an equal set), n_linked_sets (other sets linked)."""
+    shared.prepare(df.sparkSession)
     docs = shared.written(_signed(df, id_col, text_col, words), "signed")
     sets = shared.written(docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
     comps = components(candidate_links(sets, threshold=threshold, recall=recall, bucket=bucket, deepest=deepest), "a", "b").withColumnRenamed("node", "sig")

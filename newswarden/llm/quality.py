@@ -50,7 +50,7 @@ def remainder(id_col: str, modulus: int = 5) -> Column:
 
 def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int | None = None, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Trained:
     """The field learnt from labelled documents; with `held_out`, never from ids of that remainder."""
-    shared.bound_batches(documents.sparkSession)
+    shared.prepare(documents.sparkSession)
     known = labels.select(id_col, label_col).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out is not None:
         known = known.where(remainder(id_col) != held_out)

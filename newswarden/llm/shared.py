@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +23,15 @@ def folder(spark: SparkSession) -> str:
 BATCH_BYTES = 8 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by rows alone unless this is set; a lower setting stays."""
+def prepare(spark: SparkSession) -> None:
+    """Before work in Python: batches bounded by bytes (Spark bounds rows alone; a lower setting stays), and this package on the workers' path."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(name, None)
     if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+    root, path = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
