@@ -32,8 +32,7 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the written shards, as it is read back."""
     shards = token_shards.materialise(_read(spark, sf_dir, "documents"), SP_MODEL, key=20240131)
-    read = token_shards.read_back(spark, shards)
-    return read.select("slot", "shard", "doc_id", "place", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    return token_shards.read_back(spark, shards, digests=True)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +95,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+def _level(name: str, children: str, parent: str) -> str:
+    """Sums of counts, and the strength of the prior over the children (one-way analysis of variance)."""
+    return f"""{name} AS (SELECT CASE WHEN k IS NULL OR k < 2 OR n <= k THEN 10.0 WHEN low <= 0 OR (b - w) <= 0 THEN 10000.0
+      ELSE least(greatest((1 - (b - w) / low) / ((b - w) / low), 1.0), 10000.0) END AS s
+    FROM (SELECT *, b + ((n - nn / n) / (k - 1) - 1) * w AS low FROM (SELECT *, CASE WHEN k > 1 AND n > k THEN (gp - g * g / n) / (k - 1) END AS b, CASE WHEN k > 1 AND n > k THEN (g - gp) / (n - k) END AS w
+    FROM (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS g, sum(CAST(n AS DOUBLE) * n) AS nn, sum(CAST(good AS DOUBLE) * good / n) AS gp FROM {children} WHERE n > 0))))"""
+
+
+def _fits(host: str, path: str) -> str:
+    return f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}'))"
+
+
+_LONGEST = sorted(URL_RULES, key=lambda r: -len(r.text))
+_WIDE = "(" + ", ".join(f"'{x}'" for x in hosts.SUFFIXES) + ")"
+_LAST = "CASE WHEN len(l) > {0} THEN array_to_string(l[-{0}:], '.') ELSE host END"
+#: The same levels and bound in SQL; the rules as one ladder, longest first.
+_OP8 = f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    try_cast(regexp_extract(url, '://[^/?#]*/(?:[^/?#]*/)?([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) AS doc_id FROM pages),
+  lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+  o AS (SELECT page_id, min(q) > 0 AS good FROM p JOIN lab ON lab.doc_id = p.doc_id GROUP BY 1),
+  h0 AS (SELECT host, count(o.good) AS n, count(*) FILTER (o.good) AS good FROM p LEFT JOIN o ON o.page_id = p.page_id GROUP BY 1),
+  h1 AS (SELECT *, string_split(host, '.') AS l FROM h0), h2 AS (SELECT *, {_LAST.format(2)} IN {_WIDE} AS wide FROM h1),
+  h AS (SELECT host, n, good, CASE WHEN wide THEN {_LAST.format(3)} ELSE {_LAST.format(2)} END AS domain, CASE WHEN wide THEN {_LAST.format(2)} ELSE {_LAST.format(1)} END AS suffix FROM h2),
+  d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY 1, 2), t AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY 1),
+  g AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM t),
+  {_level("sa", "t", "g")}, {_level("sb", "d", "t")}, {_level("sc", "h", "d")},
+  tm AS (SELECT suffix, (good + sa.s * g.mean) / (n + sa.s) AS m FROM t, sa, g), dm AS (SELECT domain, (good + sb.s * tm.m) / (n + sb.s) AS m FROM d JOIN tm USING (suffix), sb),
+  ab AS (SELECT host, good + sc.s * dm.m AS y, n - good + sc.s * (1 - dm.m) AS z FROM h JOIN dm USING (domain), sc),
+  bound AS (SELECT host, y / (y + z) - {hosts.Z} * sqrt(y * z / ((y + z) * (y + z) * (y + z + 1))) AS b FROM ab)
+  SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r.host, r.path)} THEN '{r.text}'" for r in _LONGEST)} END AS rule,
+    CASE {" ".join(f"WHEN {_fits(r.host, r.path)} THEN '{r.action}'" for r in _LONGEST)} WHEN b >= {hosts.LEAST} THEN 'allow' ELSE 'block' END AS verdict FROM p JOIN bound USING (host)"""
+
+#: A table without tool calls, as the driver's is: messages in order as canonical JSON.
+_OP2 = """SELECT conv_id, CAST(floor(turn / 4096) AS BIGINT) AS part, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_orphans, CAST(0 AS BIGINT) AS n_cyclic,
+    concat('{"conv_id":', conv_id, ',"messages":[', string_agg(concat('{"content":', to_json(text), ',"role":', to_json(role), ',"turn":', turn, '}'), ',' ORDER BY turn, role, text), ']}') AS chat
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY 1, 2"""
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_OP7 = f"""WITH b AS (SELECT item_id, w, least({decontam.WIDTH}, len(w)) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+  bw AS (SELECT DISTINCT item_id, s, array_to_string(w[i : i + s - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - s + 2)) AS i FROM b)),
+  d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+  dw AS (SELECT r, s, i, array_to_string(w[i : i + s - 1], ' ') AS g FROM (SELECT r, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM d, (SELECT DISTINCT s FROM b) WHERE len(w) >= s)),
+  hit AS (SELECT r, i, dw.s, item_id FROM dw JOIN bw ON bw.g = dw.g AND bw.s = dw.s),
+  n AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + s)) AS j FROM hit) GROUP BY 1),
+  it AS (SELECT r, list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))) AS items FROM hit GROUP BY 1)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+  FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)"""
+
+ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op7_decontamination": _OP7, "op8_host_reputation": _OP8}

@@ -40,7 +40,7 @@ MARK = "▁"
 #: Symbols up to which segments are merged together in arrays; a longer one has a heap of its own.
 LONG = 48
 #: Distinct segments and ids that a worker keeps; beyond it starts anew.
-CACHE_SEGMENTS, CACHE_IDS = 1 << 20, 1 << 23
+CACHE_SEGMENTS, CACHE_IDS = 1 << 21, 1 << 24
 _NONE = np.int32(2**31 - 1)
 
 
@@ -84,11 +84,28 @@ class Model:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.place = np.empty(0, np.int64)
-        self.second = np.empty(0, np.uint64)
-        self.bounds = np.zeros(1, np.int64)
-        self.values = np.empty(0, np.int32)
+        """An empty store: hashes in two sorted runs, the smaller for what is new, with places in buffers that grow by doubling."""
+        self.runs = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2)]
+        self.n_segments = self.n_ids = 0
+        self.second = np.empty(1 << 16, np.uint64)
+        self.bounds = np.zeros(1 << 16, np.int64)
+        self.values = np.empty(1 << 18, np.int32)
+
+    def _store(self, second: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Puts segments into the buffers; gives their places."""
+        n, total = self.n_segments + len(second), self.n_ids + len(ids)
+        for name, need in (("second", n), ("bounds", n + 1), ("values", total)):
+            old = getattr(self, name)
+            if need > len(old):
+                new = np.zeros(max(need, 2 * len(old)), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.second[self.n_segments : n] = second
+        self.bounds[self.n_segments + 1 : n + 1] = bounds[1:] + self.n_ids
+        self.values[self.n_ids : total] = ids
+        places = np.arange(self.n_segments, n)
+        self.n_segments, self.n_ids = n, total
+        return places
 
     def heap(self, segment: str) -> list[int]:
         """One segment, its spaces already marks, by an agenda in a heap."""
@@ -194,8 +211,8 @@ class Model:
             raise RuntimeError("a segment's ids differ from the sentencepiece library's")
         return ids, bounds
 
-    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Row range by row range: first and last row, all ids without begin and end, and their bounds by row."""
+    def _segments(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Row range by row range: first and last row, rows of the segments, and their places in the store."""
         if column.null_count:
             column = pc.fill_null(column, "")
         if pc.any(pc.match_substring(column, MARK)).as_py():
@@ -211,14 +228,22 @@ class Model:
             ends = np.append(starts[1:], len(part))[: len(starts)]
             rows = np.searchsorted(off, starts, side="right") - 1
             # A row's first segment has the added mark before it; the others' own first space is that mark.
-            head = starts == off[rows]
-            begin = starts + ~head
+            begin = starts + (starts != off[rows])
             h, second = R.span_hashes(part, begin, ends), R.span_hashes(part, begin, ends, 1)
             own, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-            where = self.lookup(own, second[one], part, begin[one], ends[one])
-            which = where[inverse]
+            which = self.lookup(own, second[one], part, begin[one], ends[one])[inverse]
             if not np.array_equal(self.second[which], second):
                 raise RuntimeError("two segments have the same hash")  # both have 64 independent bits
+            yield lo, hi, rows, which
+
+    def lengths(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Numbers of ids of the rows, without begin and end."""
+        for lo, hi, rows, which in self._segments(column):
+            yield np.bincount(rows, self.bounds[which + 1] - self.bounds[which], minlength=hi - lo).astype(np.int64)
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Row range by row range: first and last row, all ids without begin and end, and their bounds by row."""
+        for lo, hi, rows, which in self._segments(column):
             ids = R.gather(self.values, self.bounds, which)
             per = np.bincount(rows, self.bounds[which + 1] - self.bounds[which], minlength=hi - lo).astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum(per)])
@@ -227,25 +252,30 @@ class Model:
             yield lo, hi, ids, bounds
 
     def lookup(self, own: np.ndarray, second: np.ndarray, part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Places of the segments, each with a mark before it, in the worker's store; those not there yet are encoded."""
-        if len(self.known) > CACHE_SEGMENTS or len(self.values) > CACHE_IDS:
+        """Places of the segments (by sorted hashes), each with a mark before it, in the worker's store; those not there yet are encoded."""
+        if self.n_segments > CACHE_SEGMENTS or self.n_ids > CACHE_IDS:
             self._forget()
-        at = np.searchsorted(self.known, own)
-        there = at < len(self.known)
-        there[there] = self.known[at[there]] == own[there]
-        new = np.flatnonzero(~there)
+        out = np.full(len(own), -1, np.int64)
+        for known, place in self.runs:
+            if len(known):
+                left = np.flatnonzero(out < 0)
+                at = np.minimum(np.searchsorted(known, own[left]), len(known) - 1)
+                hit = known[at] == own[left]
+                out[left[hit]] = place[at[hit]]
+        new = np.flatnonzero(out < 0)
         if len(new):
             raw = part.tobytes()
             segments = [raw[a:b].decode().replace(" ", MARK) for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
-            ids, bounds = self._checked(segments)
-            base = len(self.bounds) - 1
-            self.bounds = np.concatenate([self.bounds, bounds[1:] + self.bounds[-1]])
-            self.values = np.concatenate([self.values, ids])
-            self.second = np.concatenate([self.second, second[new]])
-            self.known = np.insert(self.known, at[new], own[new])
-            self.place = np.insert(self.place, at[new], base + np.arange(len(new)))
-            at = np.searchsorted(self.known, own)
-        return self.place[at]
+            out[new] = self._store(second[new], *self._checked(segments))
+            (old, places), (some, their) = self.runs
+            at = np.searchsorted(some, own[new])
+            some, their = np.insert(some, at, own[new]), np.insert(their, at, out[new])
+            if len(some) > max(1 << 16, len(old) // 4):
+                at = np.searchsorted(old, some)
+                old, places = np.insert(old, at, some), np.insert(places, at, their)
+                some, their = some[:0], their[:0]
+            self.runs = [(old, places), (some, their)]
+        return out
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, bounds) of rows of ids: pieces in a row, marks as spaces, without the added one."""
@@ -265,7 +295,7 @@ def load(path: str, check: bool = True) -> Model:
 
 def encode_digests(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Per row: id, n_tokens with begin and end, digests of the ids and of the text they decode to, and the ids if asked for."""
-    shared.bound_batches(df.sparkSession)
+    shared.prepare(df.sparkSession)
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids)
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -96,14 +97,14 @@ def stable(df: DataFrame) -> DataFrame:
 def materialise(df: DataFrame, model_path: str, key: int, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, path: str | None = None) -> Shards:
     """Writes the shards under `path` (by default a new place in the shared folder)."""
     spark = df.sparkSession
-    shared.bound_batches(spark)
+    shared.prepare(spark)
     df = stable(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, total = sp_bpe.load(model_path, False), 0
         for batch in batches:
-            for _, _, _, bounds in model.encode(batch.column(1)):
-                total += int((np.diff(bounds) // length + 1).sum())
+            for n in model.lengths(batch.column(1)):
+                total += int((n // length + 1).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total])], names=["part", "n"])
 
     sizes = {r.part: r.n for r in df.mapInArrow(count, "part long, n long").collect()}
@@ -137,8 +138,13 @@ def materialise(df: DataFrame, model_path: str, key: int, *, id_col: str = "doc_
     return shards
 
 
-def read_back(spark: SparkSession, shards: Shards, first: int = 0) -> DataFrame:
-    """(slot, shard, doc_id, place, ids) of the records from slot `first` on; shards before it are not opened."""
+def read_back(spark: SparkSession, shards: Shards, first: int = 0, digests: bool = False) -> DataFrame:
+    """(slot, shard, doc_id, place, ids) of the records from slot `first` on; shards before it are not opened.
+
+    With `digests`, n_ids and the SHA-256 of the ids (little-endian, 16 bits each) stand in place of the ids.
+    """
+    last = "n_ids long, ids_sha256 string" if digests else "ids array<int>"
+    schema = f"slot long, shard long, doc_id long, place long, {last}"
     length, per_shard, stride = shards.length, shards.per_shard, shards.stride
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,15 +158,16 @@ def read_back(spark: SparkSession, shards: Shards, first: int = 0) -> DataFrame:
                 records, slot = records[slot >= first], slot[slot >= first]
                 head = np.ascontiguousarray(records[:, :HEADER])
                 used = head[:, 6:8].copy().view("<u4")[:, 0].astype(np.int64)
-                ids = records[:, HEADER : HEADER + length][np.arange(length)[None, :] < used[:, None]].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]), pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(head[:, :4].copy().view("<i8")[:, 0]), pa.array(head[:, 4:6].copy().view("<u4")[:, 0].astype(np.int64)), lists],
-                    names=["slot", "shard", "doc_id", "place", "ids"],
-                )
+                columns = [pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(head[:, :4].copy().view("<i8")[:, 0]), pa.array(head[:, 4:6].copy().view("<u4")[:, 0].astype(np.int64))]
+                if digests:
+                    columns += [pa.array(used), pa.array([sha256(r[HEADER : HEADER + n]).hexdigest() for r, n in zip(np.ascontiguousarray(records), used.tolist(), strict=True)], pa.string())]
+                else:
+                    ids = records[:, HEADER : HEADER + length][np.arange(length)[None, :] < used[:, None]].astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(used)]), pa.int32()), pa.array(ids)))
+                yield pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "doc_id", "place", *(["n_ids", "ids_sha256"] if digests else ["ids"])])
 
     if not shards.n:
-        return spark.createDataFrame([], "slot long, shard long, doc_id long, place long, ids array<int>")
+        return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{shards.path}/shard=*/part-*")
     files = files.select(F.regexp_extract("path", "/shard=([0-9]+)/", 1).cast("long").alias("shard"), "content", "path").where(F.col("shard") >= first // per_shard)
-    return files.select("shard", "content").mapInArrow(run, "slot long, shard long, doc_id long, place long, ids array<int>")
+    return files.select("shard", "content").mapInArrow(run, schema)
