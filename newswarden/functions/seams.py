@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .workers import on_path
+
 Embed = Callable[[list[str]], list[list[float]]]
 
 
@@ -28,6 +30,7 @@ def hashed_embedding(texts: list[str], dims: int = 64) -> list[list[float]]:
 
 def embedded(df: DataFrame, text_col: str, embed: Embed = hashed_embedding, model: str = "hashed-64", batch: int = 8) -> DataFrame:
     """Adds embedding and embedding_model; texts go to `embed` in batches."""
+    on_path(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -85,3 +85,31 @@ def threshold_suggestion(pairs: DataFrame) -> DataFrame:
     """From label (same_event or different_event) and distance: cloud limits, and thresholds between them where they don't overlap."""
     s = pairs.agg(F.max(F.when(F.col("label") == "same_event", F.col("distance"))).alias("same_max"), F.min(F.when(F.col("label") == "different_event", F.col("distance"))).alias("different_min"))
     return s.withColumns({"overlap": F.col("same_max") >= F.col("different_min"), "middle": (F.col("same_max") + F.col("different_min")) / 2})
+
+
+def failure_bucket(expected: Column, negative: Column, products: Column, vendors: Column, critical: Column, medium: Column, summary: Column, same_tier: Column, score: Column, decision: Column, reason: Column) -> Column:
+    """Why a sample failed: the first fitting cause. `expected` is a struct of what a human expects (product, vendor, critical, medium); the next are numbers of matches."""
+    return (
+        F.when(negative > 0, "negative_keyword_overpowered")
+        .when(expected["product"] & (products == 0), "missing_product_alias")
+        .when(expected["vendor"] & (vendors == 0), "missing_vendor_alias")
+        .when(expected["critical"] & (critical == 0), "missing_critical_phrase")
+        .when(expected["medium"] & (medium == 0), "missing_keyword")
+        .when(F.length(F.trim(F.coalesce(summary, F.lit("")))) < 40, "rss_summary_too_short")
+        .when(~same_tier, "source_metadata_missing")
+        .when((score > 0) & (score < 15), "threshold_too_high")
+        .when((decision == "DROP") & F.contains(F.lower(reason), F.lit("body")), "signal_only_in_body")
+        .otherwise("unknown")
+    )
+
+
+def suggested_fix(bucket: Column, tier: Column, score: Column) -> Column:
+    return (
+        F.when(bucket == "missing_product_alias", "add_missing_product_alias")
+        .when(bucket == "missing_vendor_alias", "add_missing_vendor_alias")
+        .when(bucket == "negative_keyword_overpowered", "reduce_negative_keyword_penalty")
+        .when(bucket == "missing_critical_phrase", "move_phrase_to_critical_keyword_list")
+        .when((bucket == "threshold_too_high") | ((tier == "security_media") & (score < 15)), "increase_security_media_boost_or_lower_maybe_threshold")
+        .when(bucket.isin("rss_summary_too_short", "signal_only_in_body"), "consider_source_tier_boost_or_shadow_sampling")
+        .otherwise("manual_review_required")
+    )

@@ -141,3 +141,19 @@ def _(t):
 def _(t):
     gold = t.documents.where("doc_id % 2 = 0").select("doc_id")
     return gold.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", _C("quality").isNotNull().alias("predicted"))
+
+
+_FAILED = f"SELECT id, tier, score, decision, negative, n_product, n_vendor, exploitation + incident AS critical, medium, (SELECT length(trim(rss_summary)) FROM v_articles a WHERE a.id = res.id) AS n FROM res WHERE {_IMP} AND decision = 'DROP'"
+
+
+@query("e_04_failure_buckets", f"""{_RES} SELECT bucket, CASE bucket WHEN 'missing_product_alias' THEN 'add_missing_product_alias' WHEN 'negative_keyword_overpowered' THEN 'reduce_negative_keyword_penalty'
+    ELSE CASE WHEN bucket = 'threshold_too_high' OR (tier = 'security_media' AND score < 15) THEN 'increase_security_media_boost_or_lower_maybe_threshold' WHEN bucket = 'rss_summary_too_short' THEN 'consider_source_tier_boost_or_shadow_sampling' ELSE 'manual_review_required' END END AS fix, count(*) AS n
+  FROM (SELECT *, CASE WHEN negative > 0 THEN 'negative_keyword_overpowered' WHEN id % 8 < 4 AND n_product = 0 THEN 'missing_product_alias' WHEN n < 40 THEN 'rss_summary_too_short' WHEN score > 0 AND score < 15 THEN 'threshold_too_high' ELSE 'unknown' END AS bucket FROM ({_FAILED})) GROUP BY ALL""")
+def _(t):
+    r = _results(t).where(_C("human_label").isin("CRITICAL_RELEVANT", "RELEVANT") & (_C("decision") == "DROP"))
+    no = F.lit(False)
+    expected = F.struct((_C("id") % 8 < 4).alias("product"), no.alias("vendor"), no.alias("critical"), no.alias("medium"))
+    n = lambda c: F.size(f"s.{c}")
+    bucket = evaluation.failure_bucket(expected, n("negative"), n("products"), n("vendors"), n("exploitation") + n("incident"), n("medium"), _C("rss_summary"), F.lit(True), _C("score"), _C("decision"), F.lit(""))
+    r = r.withColumn("bucket", bucket).withColumn("fix", evaluation.suggested_fix(_C("bucket"), _C("s.tier"), _C("score")))
+    return r.groupBy("bucket", "fix").agg(F.count("*").alias("n"))

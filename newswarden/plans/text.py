@@ -241,3 +241,94 @@ def _(t):
 @query("r_12_soft_cut", "SELECT id, length(substring(clean_text, 1, 800)) AS short, length(substring(clean_text, 1, 1500)) AS long FROM v_articles")
 def _(t):
     return t.articles.select("id", F.length(F.substring("clean_text", 1, 800)).cast("long").alias("short"), F.length(F.substring("clean_text", 1, 1500)).cast("long").alias("long"))
+
+
+@query("t_15_main_text")
+def _(t):
+    from ..functions.pages import main_text
+
+    return t.pages.select("page_id", main_text(_T("html")).alias("text"))
+
+
+@query("s_08_page_recall")
+def _(t):
+    """Word recall of the main text against the whole page's text."""
+    from ..functions.pages import main_text
+
+    rows = t.pages.select("page_id", text.words(main_text(_T("html"))).alias("m"), text.words(text.html_text(_T("html"))).alias("w"))
+    return rows.select("page_id", F.size(F.array_intersect("m", "w")).alias("shared"), F.size(F.array_distinct("w")).alias("all"))
+
+
+@query("n_07_f1", "SELECT doc_id, CASE WHEN a + b = 0 THEN 1.0 ELSE 2.0 * least(a, b) / (a + b) END AS f1 FROM (SELECT doc_id, quality AS a, toxic AS b FROM labels)")
+def _(t):
+    a, b = _T("quality"), _T("toxic")
+    return t.labels.select("doc_id", F.when(a + b == 0, 1.0).otherwise(2.0 * F.least(a, b) / (a + b)).alias("f1"))
+
+
+@query("n_08_higher_rank", "SELECT id, CASE WHEN severity IN ('critical', 'high', 'medium') THEN severity ELSE 'medium' END AS severity FROM v_cyber_events")
+def _(t):
+    from ..operators.events import SEVERITY, highest
+
+    return t.cyber_events.select("id", highest(_T("severity"), F.lit("medium"), SEVERITY, "medium").alias("severity"))
+
+
+@query("w_07_first_seen", "SELECT id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), ' ') AS words FROM (SELECT id, string_split(lower(title), ' ') AS w FROM v_articles)")
+def _(t):
+    return t.articles.select("id", F.array_join(F.array_distinct(F.split(F.lower("title"), " ")), " ").alias("words"))
+
+
+@query("w_11_hash_order", "SELECT doc_id FROM documents ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id LIMIT 25")
+def _(t):
+    return t.documents.orderBy(F.sha2(_T("doc_id").cast("string"), 256), "doc_id").limit(25).select("doc_id")
+
+
+@query("d_05_inverted_recency", "SELECT id, 9999999999999 - CAST(epoch_ms(published_at) AS BIGINT) AS recency FROM v_articles")
+def _(t):
+    return t.articles.select("id", (F.lit(9999999999999) - F.unix_millis("published_at")).alias("recency"))
+
+
+@query("r_01_values_by_type")
+def _(t):
+    from ..operators.entities import extract
+
+    return extract(t.articles).groupBy("article_id", "entity_type").agg(F.array_join(F.sort_array(F.collect_set("entity_value")), ",").alias("found"))
+
+
+@query("r_02_labels")
+def _(t):
+    from ..operators.entities import extract
+
+    e = extract(t.articles)
+    label = F.concat("entity_value", F.coalesce(F.concat(F.lit(" ("), "role", F.lit(")")), F.lit("")), F.format_string(" · %.0f%%", _T("confidence") * 100))
+    return e.groupBy("article_id", "entity_type").agg(F.array_join(F.sort_array(F.collect_list(label)), "; ").alias("labels"))
+
+
+@query("r_04_nested_choice", "SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN value END, CASE WHEN event_type = 'view' THEN value / 2 END) AS base FROM events")
+def _(t):
+    v = t.events.select("event_id", F.struct(F.struct(F.when(_T("event_type") == "click", _T("value")).alias("base")).alias("v3"), F.struct(F.when(_T("event_type") == "view", _T("value") / 2).alias("base")).alias("v2")).alias("v"))
+    return v.select("event_id", F.coalesce("v.v3.base", "v.v2.base").alias("base"))
+
+
+@query("r_05_canonical_json")
+def _(t):
+    return t.events.select("event_id", F.to_json(F.try_parse_json("props")).alias("canonical"))
+
+
+@query("r_09_closed_list", "SELECT a.id, coalesce(i.vendor, '') AS vendor FROM v_articles a LEFT JOIN v_inventory i ON lower(i.vendor) = lower(split_part(a.title, ' ', 1))")
+def _(t):
+    known = t.inventory.select(F.lower("vendor").alias("k"), "vendor")
+    return t.articles.withColumn("k", F.lower(F.element_at(F.split("title", " "), 1))).join(known, "k", "left").select("id", F.coalesce("vendor", F.lit("")).alias("vendor"))
+
+
+@query("r_10_reply", "SELECT doc_id, quality FROM labels")
+def _(t):
+    from ..functions.seams import parsed_reply
+
+    reply = F.concat(F.lit("<think>so</think>```json\n"), F.to_json(F.struct("quality")), F.lit("\n```"))
+    return t.labels.select("doc_id", parsed_reply(reply, "quality int")["quality"].alias("quality"))
+
+
+@query("r_11_chunks", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 10) AS BIGINT) AS chunk FROM v_cases WHERE id < 200")
+def _(t):
+    ids = t.cases.where("id < 200").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return ids.select(F.posexplode("ids").alias("pos", "id")).select("id", F.floor(_T("pos") / 10).alias("chunk"))
