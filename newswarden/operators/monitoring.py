@@ -1,8 +1,8 @@
-"""Watchdogs: extraction drift and alert latency (Q-01, Q-02)."""
+"""Watchdogs: extraction drift, alert latency and stage counters (Q-01 to Q-03, A-18)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..context import DEFAULT, Context
@@ -31,3 +31,9 @@ def latency(alerts: DataFrame, links: DataFrame, articles: DataFrame, context: C
     late = a.join(first, "event_id").select(dates.hours(F.col("alerted_at"), F.col("first_at")).alias("h")).where("h >= 0")
     out = late.agg(F.count("*").alias("sampled"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY h)").alias("p50_hours"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY h)").alias("p90_hours"), F.max("h").alias("max_hours"), F.count_if(F.col("h") > slo_hours).alias("breaches"))
     return out.withColumn("slo_violated", F.coalesce((F.col("sampled") >= least) & (F.col("p90_hours") > slo_hours), F.lit(False)))
+
+
+def counted(df: DataFrame, name: str, **conditions: Column) -> tuple[DataFrame, Observation]:
+    """`df` with counters that fill as it is written, without a pass of their own: rows, and rows of each condition."""
+    seen = Observation(name)
+    return df.observe(seen, F.count("*").alias("rows"), *(F.count_if(c).alias(k) for k, c in conditions.items())), seen

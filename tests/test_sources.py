@@ -53,3 +53,11 @@ def test_seams(spark):
     assert len(v[0].embedding) == 64 and v[0].embedding == v[2].embedding
     r = spark.createDataFrame([('<think>hm</think>```json\n{"a": 1}\n```',), ("nonsense",)], "r string").select(seams.parsed_reply(F.col("r"), "a int").alias("x")).collect()
     assert [x.x.a if x.x else None for x in r] == [1, None]
+
+
+def test_stage_counters(spark):
+    from newswarden.operators.monitoring import counted
+
+    df, seen = counted(spark.range(10), "stage", even=F.col("id") % 2 == 0)
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 10, "even": 5}
