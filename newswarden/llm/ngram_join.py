@@ -347,7 +347,8 @@ def linked_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared.prepare(df.sparkSession)
     docs = shared.written(_signed(df, id_col, text_col, words), "signed")
     sets = shared.written(docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
-    comps = components(candidate_links(sets, threshold=threshold, recall=recall, bucket=bucket, deepest=deepest), "a", "b").withColumnRenamed("node", "sig")
+    links = candidate_links(sets, threshold=threshold, recall=recall, bucket=bucket, deepest=deepest)
+    comps = components(links, "a", "b").withColumnRenamed("node", "sig")
     members = shared.written(comps.join(sets.select("sig", "rep", "copies", "n"), "sig"), "members")
     tiles = _tiles(members, threshold, tile).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
     wanted = members.select(F.col("rep").alias("want"), "sig", "copies").join(tiles, "sig")

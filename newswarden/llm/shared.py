@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.workers import on_path
+
 
 def folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir as the cluster sets it; only where it is unset, as in tests, a folder of our own."""
@@ -29,9 +29,7 @@ def prepare(spark: SparkSession) -> None:
     now = spark.conf.get(name, None)
     if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
-    root, path = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+    on_path(spark)
 
 
 def fresh(spark: SparkSession, name: str) -> str:
