@@ -48,9 +48,9 @@ def _bounded(x: str) -> str:
     return f"(?i)(^|[^a-z0-9]){re.escape(x)}([^a-z0-9]|$)"
 
 
-def has_phrase(text: Column, phrase: str) -> Column:
-    """The phrase with no letter or digit next to it. `contains` first, as most texts lack most phrases."""
-    return F.contains(F.lower(text), F.lit(phrase.lower())) & text.rlike(_bounded(phrase))
+def has_phrase(text: Column, phrase: str, low: Column | None = None) -> Column:
+    """The phrase with no letter or digit next to it. `contains` first, as most texts lack most phrases; `low` is the text in lower case, if it is there."""
+    return F.contains(F.lower(text) if low is None else low, F.lit(phrase.lower())) & text.rlike(_bounded(phrase))
 
 
 def count_phrase(text: Column, phrase: Column) -> Column:

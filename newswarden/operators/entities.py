@@ -15,18 +15,23 @@ ZONES = (("title", 1.0), ("summary", 0.9), ("lead", 0.8), ("body", 0.6), ("tail"
 
 def extract(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
     """(article_id, entity_type, entity_value, role, confidence) of title, rss_summary and clean_text."""
-    z = articles.select(F.col("id").alias("article_id"), text.zones(F.col("title"), F.col("rss_summary"), F.col("clean_text")).alias("z"))
-    z = z.withColumn("whole", F.concat_ws("\n", *(f"z.{n}" for n, _ in ZONES)))
-    z = z.withColumns({"hit": inventory_hits(F.col("whole"), context.inventory), "cve": text.cves(F.col("whole")), "attack": text.substrings(F.col("whole"), context.lexicon.flat)})
-    kinds = {"vendor": F.col("hit.vendors"), "product": F.col("hit.products"), "cve": F.col("cve"), "ioc_ip": text.matches(F.col("whole"), text.IP), "ioc_domain": text.matches(F.col("whole"), text.DOMAIN, "lower"), "ioc_hash": text.matches(F.col("whole"), text.DIGEST, "lower"), "attack_type": F.col("attack")}
+    parts = text.zones(F.col("title"), F.col("rss_summary"), F.col("clean_text"))
+    zone = [n for n, _ in ZONES]
+    z = articles.select(F.col("id").alias("article_id"), *(parts[n].alias(f"z_{n}") for n in zone))
+    z = z.withColumn("whole", F.concat_ws("\n", *(f"z_{n}" for n in zone))).withColumn("low", F.lower("whole"))
+    vendors, products = inventory_hits(F.col("whole"), context.inventory, F.col("low"))
+    z = z.withColumns({"vendors": vendors, "products": products, "cve": text.cves(F.col("whole")), "attack": F.filter(F.array(*map(F.lit, context.lexicon.flat)), lambda w: F.contains(F.col("low"), w))})
+    kinds = {"vendor": F.col("vendors"), "product": F.col("products"), "cve": F.col("cve"), "ioc_ip": text.matches(F.col("whole"), text.IP), "ioc_domain": text.matches(F.col("whole"), text.DOMAIN, "lower"), "ioc_hash": text.matches(F.col("whole"), text.DIGEST, "lower"), "attack_type": F.col("attack")}
 
     def typed(kind: str, values: Column) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity_value")))
 
     pairs = F.concat(*(typed(kind, values) for kind, values in kinds.items()))
-    rows = z.select("article_id", "z", ((F.size("cve") > 0) | (F.size("attack") > 0)).alias("corroborated"), F.explode(pairs).alias("e")).select("article_id", "z", "corroborated", "e.*")
-    times = {n: text.count_phrase(F.col(f"z.{n}"), F.col("entity_value")) for n, _ in ZONES}
-    rows = rows.withColumn("t", F.struct(*(c.alias(n) for n, c in times.items())))
+    # Entities first, as a column: rows leave with the zones only once they are exploded.
+    z = z.withColumns({"corroborated": (F.size("cve") > 0) | (F.size("attack") > 0), "pairs": pairs})
+    rows = z.select("article_id", *(f"z_{n}" for n in zone), "corroborated", F.explode("pairs").alias("e")).select("*", "e.entity_type", "e.entity_value")
+    rows = rows.withColumns({f"t_{n}": text.count_phrase(F.col(f"z_{n}"), F.col("entity_value")) for n in zone})
+    rows = rows.withColumn("t", F.struct(*(F.col(f"t_{n}").alias(n) for n in zone)))
     return rows.select("article_id", "entity_type", "entity_value", F.when(F.col("entity_type").isin("vendor", "product"), "unknown").alias("role"), confidence().alias("confidence")).distinct()
 
 

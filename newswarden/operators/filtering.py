@@ -16,16 +16,16 @@ def _any(flags: list[Column]) -> Column:
     return out
 
 
-def inventory_hits(words: Column, inventory: tuple[Product, ...]) -> Column:
-    """(vendors, products) named in a text, in inventory order. A product or an alias names its vendor too; an alias names its product."""
+def inventory_hits(words: Column, inventory: tuple[Product, ...], low: Column | None = None) -> tuple[Column, Column]:
+    """Vendors and products named in a text, in inventory order. A product or an alias names its vendor too; an alias names its product."""
     vendors, products = [], []
     for p in inventory:
-        alias = _any([text.has_phrase(words, a) for a in p.aliases])
-        product = text.has_phrase(words, p.product) | alias
-        vendors.append(F.when(text.has_phrase(words, p.vendor) | product, F.lit(p.vendor)))
+        alias = _any([text.has_phrase(words, a, low) for a in p.aliases])
+        product = text.has_phrase(words, p.product, low) | alias
+        vendors.append(F.when(text.has_phrase(words, p.vendor, low) | product, F.lit(p.vendor)))
         products.append(F.when(product, F.lit(p.product)))
     clean = lambda x: F.array_distinct(F.array_compact(F.array(*x))) if x else F.array().cast("array<string>")
-    return F.struct(clean(vendors).alias("vendors"), clean(products).alias("products"))
+    return clean(vendors), clean(products)
 
 
 def signals(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
@@ -36,29 +36,32 @@ def signals(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
     if "source_tier" in articles.columns:
         tier = F.coalesce("source_tier", tier)
     whole = text.joined(F.col("title"), F.col("rss_summary"), F.array_join(F.filter(categories, lambda c: c != ""), "\n"))
-    form = F.col("__form")
-    out = articles.withColumn("__text", whole).withColumn("__form", text.keyword_form(F.col("__text"))).withColumn("__inventory", inventory_hits(F.col("__text"), context.inventory))
+    # Each signal is a column of its own before the struct: a struct of expressions would be
+    # taken apart by the optimizer and computed once for every use of a field.
+    out = articles.withColumn("__text", whole).withColumns({"__low": F.lower("__text"), "__form": text.keyword_form(F.col("__text"))})
+    vendors, products = inventory_hits(F.col("__text"), context.inventory, F.col("__low"))
+    out = out.withColumns({"__s_vendors": vendors, "__s_products": products})
     noisy = {p.product for p in context.inventory if p.noisy}, {p.vendor for p in context.inventory if p.noisy}
-    hit = F.col("__inventory")
-    with_product = F.arrays_overlap(hit["products"], F.array(*map(F.lit, sorted(noisy[0])))) if noisy[0] else F.lit(False)
-    with_vendor = F.arrays_overlap(hit["vendors"], F.array(*map(F.lit, sorted(noisy[1])))) if noisy[1] else F.lit(False)
+    with_product = F.arrays_overlap("__s_products", F.array(*map(F.lit, sorted(noisy[0])))) if noisy[0] else F.lit(False)
+    with_vendor = F.arrays_overlap("__s_vendors", F.array(*map(F.lit, sorted(noisy[1])))) if noisy[1] else F.lit(False)
     security = F.filter(categories, lambda c: F.exists(F.array(*map(F.lit, lex.categories)), lambda k: F.contains(F.lower(c), k)))
-    s = F.struct(
-        text.cves(F.col("__text")).alias("cves"),
-        hit["vendors"].alias("vendors"),
-        hit["products"].alias("products"),
-        text.keywords(form, lex.exploitation).alias("exploitation"),
-        text.keywords(form, lex.incident).alias("incident"),
-        text.keywords(form, lex.medium).alias("medium"),
-        text.keywords(form, lex.low).alias("low"),
-        text.keywords(form, lex.negative).alias("negative"),
-        tier.alias("tier"),
-        security.alias("categories"),
-        F.when(F.size(hit["products"]) > 0, with_product).otherwise(with_vendor).alias("noisy"),
-        dates.recent(F.col("published_at"), context.as_of).alias("recent"),
-        dates.old(F.col("published_at"), context.as_of).alias("old"),
-    )
-    return out.withColumn("s", s).drop("__text", "__form", "__inventory")
+    found = {
+        "cves": text.cves(F.col("__text")),
+        "exploitation": text.keywords(F.col("__form"), lex.exploitation),
+        "incident": text.keywords(F.col("__form"), lex.incident),
+        "medium": text.keywords(F.col("__form"), lex.medium),
+        "low": text.keywords(F.col("__form"), lex.low),
+        "negative": text.keywords(F.col("__form"), lex.negative),
+        "tier": tier,
+        "categories": security,
+        "noisy": F.when(F.size("__s_products") > 0, with_product).otherwise(with_vendor),
+        "recent": dates.recent(F.col("published_at"), context.as_of),
+        "old": dates.old(F.col("published_at"), context.as_of),
+    }
+    out = out.withColumns({f"__s_{k}": c for k, c in found.items()})
+    names = ("vendors", "products", *found)
+    out = out.withColumn("s", F.struct(*(F.col(f"__s_{k}").alias(k) for k in names)))
+    return out.drop("__text", "__low", "__form", *(f"__s_{k}" for k in names))
 
 
 def _some(name: str) -> Column:
