@@ -9,8 +9,12 @@ by attention, and the id given its class, by counts over all training texts.
   masked attention with a bias per distance. Windows overlap: each begins `STRIDE`
   inputs after the last, and of each but the first only the last `STRIDE` inputs
   predict, so each id is predicted once, with at least `WINDOW - STRIDE` ids before.
-* Its weights and the classes are learnt on the driver from a sample of `max_docs`
-  training texts (those with the smallest hashes of their ids), which is bounded.
+* Classes group ids by the counts of their neighbours in all training texts.
+* Its weights start from a sample of `max_docs` training texts, on the
+  driver. From there every partition learns from all windows of all its training
+  texts, and the weights are averaged: by windows, and of each embedding by how often
+  the partition met the id. Steps grow with the corpus; no text is left out or cut.
+  The averages depend a little on how texts are dealt to partitions.
 * Counts of words and of subword ids cover all texts, and so grow with them.
 
 The base score is a unigram model of whole words. A word that makes up a millionth
@@ -41,10 +45,17 @@ from .token_shards import stable
 
 WINDOW, STRIDE = 16, 12
 WIDTH, CLASSES = 8, 32
+#: Texts from which the weights start, and a bound on their ids.
 MAX_DOCS, MAX_SAMPLE_IDS = 1500, 400_000
+#: Windows of a step over all texts; a partition's first LEAST_STEPS steps take SMALL windows, and one too small for them is gone over again.
+BATCH, LEAST_STEPS, SMALL = 2048, 100, 512
+#: Neighbouring ids are counted in so many groups on each side.
+CONTEXTS = 128
+#: Ids whose embeddings are averaged together.
+BLOCK = 512
 #: Share of all words from which a word's count is broadcast.
 HEAVY = 1_000_000
-_WORD, _SUB, _TEXTS = 0, 1, 2
+_WORD, _SUB, _TEXTS, _CONTEXT = 0, 1, 2, 3
 
 
 @dataclass
@@ -96,7 +107,7 @@ class Attention:
         n = max(int(on.sum()), 1)
         loss = -np.log(p[np.arange(len(p)), gold] + 1e-12)[on].sum() / n
         p[np.arange(len(p)), gold] -= 1
-        d = p * (on[:, None] / n)
+        d = p * (on[:, None] / n).astype(p.dtype)
         flat = x.reshape(-1, WIDTH)
         d_mixed = (d @ self.attended.T).reshape(x.shape)
         d_x = (d @ self.own.T).reshape(x.shape)
@@ -108,8 +119,8 @@ class Attention:
         q = x @ self.m
         d_q = d_s @ x
         d_x += d_s.transpose(0, 2, 1) @ q + d_q @ self.m.T
-        d_embed = np.zeros_like(self.embed)
-        np.add.at(d_embed, ids.reshape(-1), d_x.reshape(-1, WIDTH))
+        d_flat, place = d_x.reshape(-1, WIDTH), ids.reshape(-1)
+        d_embed = np.stack([np.bincount(place, d_flat[:, k], len(self.embed)) for k in range(WIDTH)], 1)
         return loss, [d_embed, flat.T @ d_q.reshape(-1, WIDTH), d_bias, mixed.reshape(-1, WIDTH).T @ d, flat.T @ d, d.sum(0)]
 
 
@@ -133,7 +144,7 @@ def framed(ids: np.ndarray, bounds: np.ndarray, begin: int, end: int) -> tuple[n
 
 
 def _classes(ids: np.ndarray, n: int, rng: np.random.Generator, contexts: int = 200) -> np.ndarray:
-    """Ids grouped by what stands before and behind them in the sample (spherical k-means); ids not met share the last class."""
+    """Ids grouped by what stands before and behind them in one sequence; ids not met share the last class."""
     count = np.bincount(ids, minlength=n)
     frequent = np.argsort(-count, kind="stable")[:contexts]
     column = np.full(n, contexts, np.int64)
@@ -143,10 +154,22 @@ def _classes(ids: np.ndarray, n: int, rng: np.random.Generator, contexts: int =
     row[met] = np.arange(len(met))
     wide = 2 * (contexts + 1)
     table = np.bincount(row[ids[:-1]] * wide + column[ids[1:]], minlength=len(met) * wide) + np.bincount(row[ids[1:]] * wide + contexts + 1 + column[ids[:-1]], minlength=len(met) * wide)
-    v = np.sqrt(table.reshape(len(met), wide) + 0.0)
+    return grouped(table.reshape(len(met), wide), met, count, rng)
+
+
+def grouped(table: np.ndarray, met: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Classes of ids from counts of their neighbours, a row for each id met (spherical k-means)."""
+    n = len(count)
+    klass = np.full(n, CLASSES - 1, np.int64)
+    if not len(met):
+        return klass
+    row = np.full(n, -1, np.int64)
+    row[met] = np.arange(len(met))
+    v = np.sqrt(table + 0.0)
     v -= np.sqrt(v.mean(0) ** 2) * 0.5
     v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
     # The most frequent ids are seeds; classes weigh ids by their counts.
+    frequent = np.argsort(-count, kind="stable")
     centre = v[row[frequent[: CLASSES - 1]]].copy() if len(met) >= CLASSES else v[rng.integers(0, len(met), CLASSES - 1)]
     near = np.zeros(len(met), np.int64)
     for _ in range(12):
@@ -155,35 +178,49 @@ def _classes(ids: np.ndarray, n: int, rng: np.random.Generator, contexts: int =
             if (near == k).any():
                 mean = (v[near == k] * np.sqrt(count[met][near == k])[:, None]).sum(0)
                 centre[k] = mean / (np.linalg.norm(mean) + 1e-9)
-    klass = np.full(n, CLASSES - 1, np.int64)
     klass[met] = near
     return klass
 
 
-def train(texts: list[np.ndarray], vocabulary: int, begin: int, end: int, *, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Attention:
-    """Adam on the mean log-loss of classes over windows of the sample."""
-    rng = np.random.default_rng(seed)
-    draw = lambda *s: rng.normal(0, 0.2, s).astype(np.float32)
-    zero = lambda *s: np.zeros(s, np.float32)
+class _Adam:
+    def __init__(self, model: Attention):
+        self.model, self.step = model, 0
+        self.first, self.second = ([np.zeros_like(getattr(model, k)) for k in Attention._names] for _ in range(2))
+
+    def __call__(self, grads: list[np.ndarray], pace: float) -> None:
+        self.step += 1
+        for k, name in enumerate(Attention._names):
+            g = grads[k].astype(np.float32)
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.99 * self.second[k] + 0.01 * g * g
+            value = getattr(self.model, name)
+            value -= (pace * (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)).astype(np.float32)
+
+
+def train(texts: list[np.ndarray], vocabulary: int, begin: int, end: int, **options) -> Attention:
+    """Adam on the mean log-loss of classes over the windows of `texts`, whose neighbours give the classes."""
     if not texts:
-        return Attention(zero(vocabulary, WIDTH), zero(WIDTH, WIDTH), zero(WINDOW), zero(WIDTH, CLASSES), zero(WIDTH, CLASSES), zero(CLASSES), np.arange(vocabulary) % CLASSES)
+        return fitted(None, np.arange(vocabulary) % CLASSES, begin, end, **options)
     ids, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    inputs, targets, counted, _ = framed(ids, bounds, begin, end)
-    klass = _classes(np.insert(ids, bounds[1:], end), vocabulary, rng)
+    klass = _classes(np.insert(ids, bounds[1:], end), vocabulary, np.random.default_rng(options.get("seed", 7)))
+    return fitted(framed(ids, bounds, begin, end)[:3], klass, begin, end, **options)
+
+
+def fitted(windows: tuple[np.ndarray, ...] | None, klass: np.ndarray, begin: int, end: int, *, steps: int = 500, batch: int = 256, rate: float = 0.02, seed: int = 7) -> Attention:
+    """Weights from windows (inputs, targets, which count); ids that they lack look like the mean of the others."""
+    rng, vocabulary = np.random.default_rng(seed), len(klass)
+    draw = lambda *s: rng.normal(0, 0.2, s).astype(np.float32)
+    zero = lambda *s: np.zeros(s, np.float32)
+    if windows is None:
+        return Attention(zero(vocabulary, WIDTH), zero(WIDTH, WIDTH), zero(WINDOW), zero(WIDTH, CLASSES), zero(WIDTH, CLASSES), zero(CLASSES), klass)
+    inputs, targets, counted = windows
+    steps = steps if len(inputs) else 0
     model = Attention(draw(vocabulary, WIDTH), draw(WIDTH, WIDTH), zero(WINDOW), draw(WIDTH, CLASSES), draw(WIDTH, CLASSES), zero(CLASSES), klass)
-    first, second = ([np.zeros_like(getattr(model, k)) for k in Attention._names] for _ in range(2))
+    adam = _Adam(model)
     for step in range(1, steps + 1):
         pick = rng.integers(0, len(inputs), batch)
-        _, grads = model.gradients(inputs[pick], targets[pick], counted[pick])
-        pace = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-        for k, name in enumerate(Attention._names):
-            g = grads[k].astype(np.float32)
-            first[k] = 0.9 * first[k] + 0.1 * g
-            second[k] = 0.99 * second[k] + 0.01 * g * g
-            value = getattr(model, name)
-            value -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    # Ids that the sample lacks look like the mean of their class.
-    met = np.bincount(np.concatenate([ids, [begin, end]]), minlength=vocabulary) > 0
+        adam(model.gradients(inputs[pick], targets[pick], counted[pick])[1], rate * min(1.0, 2 * (1 - step / (steps + 1))))
+    met = np.bincount(np.concatenate([inputs[counted], targets[counted], [begin, end]]), minlength=vocabulary) > 0
     model.embed[~met] = model.embed[met].mean(0)
     return model
 
@@ -211,18 +248,25 @@ class _Words:
             place = self.model.lookup(own, second[one], part, s[one], e[one])
             yield lo, hi, rows, h, own, times, place, inverse
 
+    def sequence(self, rows: np.ndarray, n: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of `n` texts in order, and their bounds, from the rows and places of all words."""
+        length = self.model.bounds[place + 1] - self.model.bounds[place]
+        ids = R.gather(self.model.values, self.model.bounds, place).astype(np.int64)
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(rows, length, n).astype(np.int64))])
+
 
 def _held(id_col: str, held_out: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == held_out, F.lit(False))
 
 
 def corpus_counts(df: DataFrame, model_path: str) -> DataFrame:
-    """(kind, key, n, training) over all texts of (held_out, text): words by hash, subword ids, and texts."""
+    """(kind, key, n, training) over all texts of (held_out, text): words by hash, subword ids, texts, and of training texts neighbours (id, then the group of the one behind or before it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(model_path)
         size = words.model.size
         subs, texts = np.zeros((2, size), np.int64), np.zeros(2, np.int64)
+        near, wide = np.zeros(size * 2 * CONTEXTS, np.uint32), 2 * CONTEXTS
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
 
@@ -244,6 +288,11 @@ def corpus_counts(df: DataFrame, model_path: str) -> DataFrame:
                 rest = np.bincount(inverse, out_of[lo:hi][rows], len(own)).astype(np.int64)
                 if not len(own):
                     continue
+                kept = ~out_of[lo:hi][rows]
+                ids, bounds = words.sequence(rows[kept], hi - lo, place[inverse[kept]])
+                ids = np.insert(ids, bounds[1:][~out_of[lo:hi]], words.model.eos)
+                np.add.at(near, ids[:-1] * wide + ids[1:] % CONTEXTS, 1)
+                np.add.at(near, ids[1:] * wide + CONTEXTS + ids[:-1] % CONTEXTS, 1)
                 held.append((own, times - rest, rest))
                 length = words.model.bounds[place + 1] - words.model.bounds[place]
                 ids = R.gather(words.model.values, words.model.bounds, place)
@@ -257,6 +306,8 @@ def corpus_counts(df: DataFrame, model_path: str) -> DataFrame:
             yield flush()
         some = np.flatnonzero(subs.sum(0))
         yield emit(_SUB, some, subs[0, some], subs[1, some])
+        some = np.flatnonzero(near)
+        yield emit(_CONTEXT, some, near[some].astype(np.int64), np.zeros(len(some), np.int64))
         yield emit(_TEXTS, np.zeros(1, np.int64), texts[:1], texts[1:])
 
     rows = df.mapInArrow(run, "kind byte, key long, n long, training long")
@@ -287,6 +338,72 @@ def _sample(df: DataFrame, model_path: str, id_col: str, text_col: str, held_out
     return out
 
 
+def learn(texts: DataFrame, model_path: str, start: Attention) -> Attention:
+    """`start` carried on over every window of every one of `texts` (one column), partition by partition, and averaged."""
+    sent = texts.sparkSession.sparkContext.broadcast(start)
+    blocks = -(-len(start.klass) // BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, begun = _Words(model_path), sent.value
+        model = Attention(*(getattr(begun, k).copy() for k in Attention._names), begun.klass)
+        adam, met, n = _Adam(model), np.zeros(len(model.embed)), 0
+        again: list[tuple[np.ndarray, ...]] = []
+        rng = np.random.default_rng(11)
+
+        def pass_over(windows: tuple[np.ndarray, ...]) -> None:
+            order, a = rng.permutation(len(windows[0])), 0
+            while a < len(order):
+                pick = order[a : a + (SMALL if adam.step < LEAST_STEPS else BATCH)]
+                a += len(pick)
+                adam(model.gradients(*(w[pick] for w in windows))[1], 0.01 / np.sqrt(1 + adam.step / 50))
+
+        for batch in batches:
+            for lo, hi, rows, _, _, _, place, inverse in words.parts(batch.column(0)):
+                ids, bounds = words.sequence(rows, hi - lo, place[inverse])
+                if hi == lo:
+                    continue
+                windows = framed(ids, bounds, words.model.bos, words.model.eos)[:3]
+                met += np.bincount(windows[0][windows[2]], minlength=len(met))
+                n += int(windows[2].sum())
+                pass_over(windows)
+                if adam.step < LEAST_STEPS:
+                    again.append(windows)
+                else:
+                    again.clear()
+        while again and adam.step < LEAST_STEPS:
+            for windows in again:
+                pass_over(windows)
+        if n:
+            rest = np.concatenate([getattr(model, k).ravel() for k in Attention._names[1:]]).astype(np.float64)
+            parts = [(model.embed[k * BLOCK : (k + 1) * BLOCK] * met[k * BLOCK : (k + 1) * BLOCK, None]).astype(np.float64).ravel() for k in range(blocks)] + [rest * n]
+            weights = [met[k * BLOCK : (k + 1) * BLOCK] for k in range(blocks)] + [np.array([float(n)])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(blocks + 1)), pa.array([v.tobytes() for v in parts], pa.binary()), pa.array([v.tobytes() for v in weights], pa.binary())], names=["block", "total", "weight"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for k, *both in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = [np.frombuffer(v) for v in both]
+                sums[k] = [a + b for a, b in zip(sums[k], new, strict=True)] if k in sums else new
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), *(pa.array([v[i].tobytes() for v in sums.values()], pa.binary()) for i in (0, 1))], names=["block", "total", "weight"])
+
+    schema = "block long, total binary, weight binary"
+    found = {r.block: (np.frombuffer(r.total), np.frombuffer(r.weight)) for r in texts.mapInArrow(run, schema).repartition("block").mapInArrow(add, schema).collect()}
+    sent.unpersist()
+    if not found:
+        return start
+    met = np.concatenate([found[k][1] for k in range(blocks)])
+    embed = np.concatenate([found[k][0] for k in range(blocks)]).reshape(-1, WIDTH) / np.maximum(met, 1)[:, None]
+    # Ids that no training text has look like the mean of the others.
+    embed[met == 0] = embed[met > 0].mean(0)
+    rest, at, values = found[blocks][0] / found[blocks][1], 0, []
+    for name in Attention._names[1:]:
+        shape = getattr(start, name).shape
+        values.append(rest[at : (at := at + int(np.prod(shape)))].reshape(shape).astype(np.float32))
+    return Attention(embed.astype(np.float32), *values, start.klass)
+
+
 def scored(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", held_out: int = 1, max_docs: int = MAX_DOCS) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     spark = df.sparkSession
@@ -306,7 +423,18 @@ def scored(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
     for r in counts.where(F.col("kind") == _SUB).collect():
         sub[r.key] = r.training
     sub[pieces.eos] += ends
-    model = train(_sample(df, model_path, id_col, text_col, held_out, max_docs), pieces.size, pieces.bos, pieces.eos)
+    if ends:
+        near = np.zeros(pieces.size * 2 * CONTEXTS)
+        cells = counts.where(F.col("kind") == _CONTEXT).select("key", "n").toPandas()
+        near[cells["key"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+        met = np.flatnonzero(sub)
+        klass = grouped(near.reshape(pieces.size, -1)[met], met, sub, np.random.default_rng(7))
+        sample = _sample(df, model_path, id_col, text_col, held_out, max_docs)
+        ids, bounds = np.concatenate([*sample, np.empty(0, np.int64)]), np.concatenate([[0], np.cumsum([len(t) for t in sample], dtype=np.int64)])
+        start = fitted(framed(ids, bounds, pieces.bos, pieces.eos)[:3], klass, pieces.bos, pieces.eos)
+        model = learn(flagged.where(~F.col("held_out")).select("text"), model_path, start)
+    else:
+        model = train([], pieces.size, pieces.bos, pieces.eos)
     within = id_given_class(sub, model.klass)
     sent = spark.sparkContext.broadcast((known, times, model, within))
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])

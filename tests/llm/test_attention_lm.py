@@ -82,5 +82,20 @@ def test_each_id_is_predicted_once():
         assert all(inputs[w][p] == (1 if targets[w][p] == 5 or size == 0 else (targets[w][p] - 1 if targets[w][p] > 5 else size + 4)) for w, p in zip(*np.nonzero(counted)))
 
 
+def test_learns_from_texts_beyond_the_start(spark):
+    """Same words and counts; in the texts that the start doesn't reach their order is the held-out text's, or not."""
+    ids = [i for i in range(400) if not held(i)]
+    probe = next(i for i in range(400) if held(i))
+    chain = "red house stands near old river while green boat moves under stone bridge".split()
+    rng = np.random.default_rng(3)
+
+    def score(mixed):
+        rows = [(i, " ".join(chain[(i + k) % len(chain)] for k in range(60))) for i in ids]
+        rows = [(i, " ".join(rng.permutation(t.split())) if mixed else t) for i, t in rows] + [(probe, " ".join(chain * 4))]
+        return next(r.score for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), SP_MODEL, max_docs=0).collect() if r.held_out)
+
+    assert score(False) > score(True) + 20
+
+
 def test_empty_table(spark):
     assert lm.scored(spark.createDataFrame([], "doc_id long, text string"), SP_MODEL).collect() == []
