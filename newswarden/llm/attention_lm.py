@@ -10,7 +10,7 @@ by attention, and the id given its class, by counts over all training texts.
   inputs after the last, and of each but the first only the last `STRIDE` inputs
   predict, so each id is predicted once, with at least `WINDOW - STRIDE` ids before.
 * Classes group ids by the counts of their neighbours in all training texts.
-* Its weights start from a sample of `max_docs` training texts, on the
+* Its weights start from windows drawn by hash from `max_docs` training texts, on the
   driver. From there every partition learns from all windows of all its training
   texts, and the weights are averaged: by windows, and of each embedding by how often
   the partition met the id. Steps grow with the corpus; no text is left out or cut.
@@ -45,8 +45,8 @@ from .token_shards import stable
 
 WINDOW, STRIDE = 16, 12
 WIDTH, CLASSES = 8, 32
-#: Texts from which the weights start, and a bound on their ids.
-MAX_DOCS, MAX_SAMPLE_IDS = 1500, 400_000
+#: Texts from whose windows the weights start, and how many windows are drawn.
+MAX_DOCS, START_WINDOWS = 1500, 32_768
 #: Windows of a step over all texts; a partition's first LEAST_STEPS steps take SMALL windows, and one too small for them is gone over again.
 BATCH, LEAST_STEPS, SMALL = 2048, 100, 512
 #: Neighbouring ids are counted in so many groups on each side.
@@ -314,28 +314,27 @@ def corpus_counts(df: DataFrame, model_path: str) -> DataFrame:
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("training").alias("training"))
 
 
-def _sample(df: DataFrame, model_path: str, id_col: str, text_col: str, held_out: int, max_docs: int) -> list[np.ndarray]:
+def _start(df: DataFrame, model_path: str, id_col: str, text_col: str, held_out: int, max_docs: int) -> tuple[np.ndarray, ...]:
+    """Windows from which the weights start: those with the smallest hashes among all windows of `max_docs` training texts."""
     chosen = df.where(~_held(id_col, held_out)).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
-    texts = df.select(id_col, text_col).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
+    texts = df.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.min(text_col).alias(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words(model_path)
         for batch in batches:
             for lo, hi, rows, _, _, _, place, inverse in words.parts(batch.column(0)):
-                ids = R.gather(words.model.values, words.model.bounds, place[inverse])
-                length = (words.model.bounds[place + 1] - words.model.bounds[place])[inverse]
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, length, hi - lo).astype(np.int64))])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[bounds[r] : bounds[r + 1]].astype(np.uint16).tobytes() for r in range(hi - lo)], pa.binary()), pa.array(np.diff(bounds))], names=["ids", "n"])
-
-    rows = texts.select(text_col).mapInArrow(run, "ids binary, n long")
-    # A whole number of texts, up to a bound on their ids.
-    out, total = [], 0
-    for r in rows.toLocalIterator():
-        if total and total + r.n > MAX_SAMPLE_IDS:
-            break
-        out.append(np.frombuffer(r.ids, np.uint16).astype(np.int64))
-        total += r.n
-    return out
+                ids, bounds = words.sequence(rows, hi - lo, place[inverse])
+                inputs, targets, counted, text = framed(ids, bounds, words.model.bos, words.model.eos)
+                first = np.concatenate([[True], text[1:] != text[:-1]])
+                number = np.arange(len(text)) - np.maximum.accumulate(np.where(first, np.arange(len(text)), 0))
+                key = R.mix64(batch.column(1).to_numpy()[lo:hi].view(np.uint64)[text] ^ R.mix64(number.astype(np.uint64))).view(np.int64)
+                least = np.argsort(key, kind="stable")[:START_WINDOWS]
+                whole = np.concatenate([inputs[least], targets[least], counted[least]], 1).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array(key[least]), pa.array([w.tobytes() for w in whole], pa.binary())], names=["key", "window"])
+
+    found = texts.select(text_col, F.xxhash64(F.col(id_col).cast("string"))).mapInArrow(run, "key long, window binary").orderBy("key", "window").limit(START_WINDOWS).collect()
+    table = np.frombuffer(b"".join(r.window for r in found), np.uint16).reshape(len(found), 3, WINDOW).astype(np.int64)
+    return table[:, 0], table[:, 1], table[:, 2] > 0
 
 
 def learn(texts: DataFrame, model_path: str, start: Attention) -> Attention:
@@ -429,9 +428,7 @@ def scored(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
         near[cells["key"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
         met = np.flatnonzero(sub)
         klass = grouped(near.reshape(pieces.size, -1)[met], met, sub, np.random.default_rng(7))
-        sample = _sample(df, model_path, id_col, text_col, held_out, max_docs)
-        ids, bounds = np.concatenate([*sample, np.empty(0, np.int64)]), np.concatenate([[0], np.cumsum([len(t) for t in sample], dtype=np.int64)])
-        start = fitted(framed(ids, bounds, pieces.bos, pieces.eos)[:3], klass, pieces.bos, pieces.eos)
+        start = fitted(_start(df, model_path, id_col, text_col, held_out, max_docs), klass, pieces.bos, pieces.eos)
         model = learn(flagged.where(~F.col("held_out")).select("text"), model_path, start)
     else:
         model = train([], pieces.size, pieces.bos, pieces.eos)

@@ -97,5 +97,15 @@ def test_learns_from_texts_beyond_the_start(spark):
     assert score(False) > score(True) + 20
 
 
+def test_long_text_pushes_no_other_out_of_the_start(spark):
+    rows = [(0, "red house " * 250_000), *((i, f"green boat moves under bridge {i} " * 200) for i in range(2, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [lm._start(df.repartition(k, "doc_id"), SP_MODEL, "doc_id", "text", 1, 100) for k in (1, 4)]
+    assert all(np.array_equal(a, b) for a, b in zip(*found, strict=True))
+    long_ids = {x for w in ("red", "house") for x in sp_bpe.load(SP_MODEL).library.encode(w)}
+    others = ~np.isin(found[0][0], [*long_ids, 1]).all(1)
+    assert 0 < others.sum() < len(others) == lm.START_WINDOWS
+
+
 def test_empty_table(spark):
     assert lm.scored(spark.createDataFrame([], "doc_id long, text string"), SP_MODEL).collect() == []
