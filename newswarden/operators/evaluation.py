@@ -87,6 +87,51 @@ def threshold_suggestion(pairs: DataFrame) -> DataFrame:
     return s.withColumns({"overlap": F.col("same_max") >= F.col("different_min"), "middle": (F.col("same_max") + F.col("different_min")) / 2})
 
 
+def distance_limits(vectors: DataFrame, *, rows: int = 2048) -> DataFrame:
+    """One row, `same_max` and `different_min`: cosine distances of all pairs of vectors (id, label, embedding), as `numbers.cosine_distance` defines them.
+
+    Vectors are dealt into blocks of about `rows`; each pair of blocks is a tile of matrix products that returns two numbers. Work grows with the square of the table, as all pairs do.
+    """
+    import numpy as np
+    import pandas as pd
+
+    whole = vectors.where(F.col("id").isNotNull())
+    blocks = max(1, -(-whole.count() // rows))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    dealt = whole.select("id", "label", "embedding", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    dealt = dealt.select("id", "label", "embedding", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def tile(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        def side(block: int):
+            p = part[part["own"] == block]
+            vs = [np.asarray(v, np.float64) if v is not None else np.empty(0) for v in p["embedding"]]
+            size = np.array([len(v) for v in vs], np.int64)
+            m = np.zeros((len(vs), max(int(size.max(initial=0)), 1)))
+            for k, v in enumerate(vs):
+                m[k, : len(v)] = v
+            norm = np.sqrt((m * m).sum(1))
+            m[norm > 0] /= norm[norm > 0, None]
+            return m, size, p["id"].to_numpy(), p["label"].to_numpy()
+
+        (a, na, ia, la), (b, nb, ib, lb) = side(key[0]), side(key[1])
+        width = max(a.shape[1], b.shape[1])
+        a, b = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (a, b))
+        same, different = [], []
+        for k in range(0, len(a), 512):
+            w = slice(k, k + 512)
+            d = np.where(na[w, None] == nb, 1 - a[w] @ b.T, 1.0)
+            # A null label equals nothing.
+            alike, apart = (la[w, None] == lb) & pd.notna(la[w])[:, None], ia[w, None] != ib
+            same += [d[apart & alike].max(initial=-np.inf)]
+            different += [d[apart & ~alike].min(initial=np.inf)]
+        top, least = max(same, default=-np.inf), min(different, default=np.inf)
+        return pd.DataFrame({"same_max": [top], "different_min": [least]})
+
+    found = dealt.groupBy("low", "high").applyInPandas(tile, "same_max double, different_min double")
+    bound = lambda c, inf: F.nullif(c, F.lit(inf).cast("double"))
+    return found.agg(bound(F.max("same_max"), "-Infinity").alias("same_max"), bound(F.min("different_min"), "Infinity").alias("different_min"))
+
+
 def failure_bucket(expected: Column, negative: Column, products: Column, vendors: Column, critical: Column, medium: Column, summary: Column, same_tier: Column, score: Column, decision: Column, reason: Column) -> Column:
     """Why a sample failed: the first fitting cause. `expected` is a struct of what a human expects (product, vendor, critical, medium); the next are numbers of matches."""
     return (

@@ -59,6 +59,31 @@ def pairs_across(rows: DataFrame, group: str, item: str) -> DataFrame:
     return a.join(b, (F.col("ga") != F.col("gb")) & (F.col("a") < F.col("b"))).select("a", "b")
 
 
+def pair_counts(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(group, within, across): unordered pairs of different items inside each group, and between it and all others.
+
+    Counted from how often each item is in each group, so no pair becomes a row. A pair across groups counts for both.
+    """
+    m = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(F.count("*").alias("m"))
+    shared = m.groupBy(item).agg(F.sum("m").alias("all"))
+    by = m.join(shared, item).groupBy(group).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * (F.col("all") - F.col("m"))).alias("both"))
+    total = m.agg(F.sum("m").alias("total"))
+    within = ((F.col("n") * F.col("n") - F.col("mm")) / 2).cast("long")
+    return by.crossJoin(F.broadcast(total)).select(group, within.alias("within"), (F.col("n") * (F.col("total") - F.col("n")) - F.col("both")).alias("across"))
+
+
+def numbered(rows: DataFrame, column: str, parts: int = 32) -> DataFrame:
+    """`rows` with `place`, from 0 in the order of a numeric `column` (nulls last), by ranges between its quantiles: no task sorts all rows."""
+    c = F.col(column)
+    bounds = sorted(set(rows.approxQuantile(column, [k / parts for k in range(1, parts)], 0.001)))
+    dealt = rows.withColumn("_part", sum((F.coalesce((c > b).cast("int"), F.lit(1)) for b in bounds), F.lit(0)) + c.isNull().cast("int"))
+    sizes, before = {r._part: r.n for r in dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()}, {}
+    for k in sorted(sizes):
+        before[k] = sum(sizes[j] for j in before)
+    offset = F.coalesce(*(F.when(F.col("_part") == k, F.lit(n)) for k, n in before.items())) if before else F.lit(0)
+    return dealt.withColumn("place", F.row_number().over(Window.partitionBy("_part").orderBy(c)) - 1 + offset).drop("_part")
+
+
 def band(distance: Column, same: float, unsure: float) -> Column:
     return F.when(distance <= same, "same").when(distance <= unsure, "uncertain").otherwise("different")
 

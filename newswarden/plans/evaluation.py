@@ -105,6 +105,22 @@ def _(t):
     return evaluation.threshold_suggestion(pairs).select(F.round("same_max", 4).alias("same_max"), F.round("different_min", 4).alias("different_min"))
 
 
+@query("e_10_pairs_whole", "SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS label, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id GROUP BY 1")
+def _(t):
+    from ..operators.readmodels import pair_counts
+
+    # A pair across baskets counts for both of them.
+    c = pair_counts(t.embeddings, "label", "vec_id").agg(F.sum("within").alias("same_event"), (F.sum("across") / 2).cast("long").alias("different_event"))
+    rows = F.array(*(F.struct(F.lit(k).alias("label"), _C(k).alias("pairs")) for k in ("same_event", "different_event")))
+    return c.select(F.inline(rows)).where("pairs > 0")
+
+
+@query("e_11_threshold_whole", "SELECT round(max(CASE WHEN l = 'same_event' THEN d END), 4) AS same_max, round(min(CASE WHEN l <> 'same_event' THEN d END), 4) AS different_min FROM (SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS l, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)")
+def _(t):
+    limits = evaluation.distance_limits(t.embeddings.select(_C("vec_id").alias("id"), "label", "embedding"))
+    return limits.select(F.round("same_max", 4).alias("same_max"), F.round("different_min", 4).alias("different_min"))
+
+
 @query("e_12_extraction_sets", r"""SELECT count(*) AS n, round(CAST(sum(shared) AS DOUBLE) / sum(p), 9) AS precision, round(CAST(sum(shared) AS DOUBLE) / sum(g), 9) AS recall FROM (SELECT len(g) AS g, len(p) AS p, len(list_intersect(g, p)) AS shared FROM
   (SELECT list_distinct(list_transform(regexp_extract_all(title, '(?i)\bCVE-[0-9]{4}-[0-9]{4,}\b'), lambda x: lower(x))) AS g, list_distinct(list_transform(regexp_extract_all(lower(substring(title, 1, 40)), 'cve-[0-9]{4}-[0-9]{4,}'), lambda x: x)) AS p FROM v_articles))""")
 def _(t):
@@ -143,6 +159,16 @@ def _(t):
     return gold.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", _C("quality").isNotNull().alias("predicted"))
 
 
+@query("e_16_assist_valid_whole", "SELECT event_id, count(*) BETWEEN 2 AND 5 AS valid FROM v_event_articles GROUP BY 1")
+def _(t):
+    return t.event_articles.groupBy("event_id").agg(F.count("*").between(2, 5).alias("valid"))
+
+
+@query("e_17_run_join_whole", "SELECT d.doc_id, l.quality IS NOT NULL AS predicted FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def _(t):
+    return t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", _C("quality").isNotNull().alias("predicted"))
+
+
 _FAILED = f"SELECT id, tier, score, decision, negative, n_product, n_vendor, exploitation + incident AS critical, medium, (SELECT length(trim(rss_summary)) FROM v_articles a WHERE a.id = res.id) AS n FROM res WHERE {_IMP} AND decision = 'DROP'"
 
 

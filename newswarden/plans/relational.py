@@ -247,6 +247,16 @@ def _(t):
     return readmodels.pairs_across(e, "basket", "vec_id")
 
 
+@query("j_10_pairs_within_whole", "SELECT a.label AS basket, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
+def _(t):
+    return readmodels.pair_counts(t.embeddings, "label", "vec_id").where("within > 0").select(_C("label").alias("basket"), _C("within").alias("pairs"))
+
+
+@query("j_11_pairs_across_whole", "SELECT a.label AS basket, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.label <> b.label AND a.vec_id <> b.vec_id GROUP BY 1")
+def _(t):
+    return readmodels.pair_counts(t.embeddings, "label", "vec_id").where("across > 0").select(_C("label").alias("basket"), _C("across").alias("pairs"))
+
+
 @query("j_14_bands", "SELECT vec_id, CASE WHEN d <= 0.15 THEN 'same' WHEN d <= 0.35 THEN 'uncertain' ELSE 'different' END AS band FROM (SELECT vec_id, (vec_id % 100) / 100.0 AS d FROM embeddings)")
 def _(t):
     d = (_C("vec_id") % 100) / 100.0

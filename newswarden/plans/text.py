@@ -332,3 +332,10 @@ def _(t):
 def _(t):
     ids = t.cases.where("id < 200").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     return ids.select(F.posexplode("ids").alias("pos", "id")).select("id", F.floor(_T("pos") / 10).alias("chunk"))
+
+
+@query("r_11_chunks_whole", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 10) AS BIGINT) AS chunk FROM v_cases")
+def _(t):
+    from ..operators.readmodels import numbered
+
+    return numbered(t.cases, "id").select("id", F.floor(_T("place") / 10).alias("chunk"))

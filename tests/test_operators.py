@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newswarden.context import AS_OF, DEFAULT, Context, Product
 from newswarden.functions import dates, numbers, text
-from newswarden.operators import entities, events, filtering, latest, merges, monitoring, vectors
+from newswarden.operators import entities, evaluation, events, filtering, latest, merges, monitoring, readmodels, vectors
 
 NOW = datetime.fromisoformat(AS_OF)
 ARTICLE = "id long, source_name string, title string, rss_summary string, clean_text string, published_at timestamp, fetched_at timestamp"
@@ -149,3 +149,31 @@ def test_text_functions(spark):
     n = spark.createDataFrame([("a-a a",), ("",), (None,)], "t string").select(text.count_phrase(F.col("t"), F.lit("a"))).collect()
     assert [r[0] for r in n] == [2, 0, None]
     assert DEFAULT.lexicon.flat[0] == "0-day" and text._phrase("Out-of-band  patch") == "out of band patch"
+
+
+def test_pairs_of_whole_tables(spark):
+    from itertools import combinations
+
+    rows = [(i % 90, i % 7) for i in range(200)] + [(None, 1), (5, None)]
+    df = spark.createDataFrame(rows, "item long, basket int")
+    known = [r for r in rows if None not in r]
+    pairs = [(a, b) for a, b in combinations(known, 2) if a[0] != b[0]]
+    want = {k: (sum(a[1] == b[1] == k for a, b in pairs), sum(a[1] != b[1] and k in (a[1], b[1]) for a, b in pairs)) for k in range(7)}
+    assert {r.basket: (r.within, r.across) for r in readmodels.pair_counts(df, "basket", "item").collect()} == want
+
+
+def test_limits_and_places_of_whole_tables(spark):
+    import numpy as np
+
+    v = np.random.default_rng(5).normal(size=(150, 6))
+    v[149] = 0
+    rows = [(k, k % 4 if k % 50 else None, x.tolist()) for k, x in enumerate(v)] + [(150, 1, None), (151, 2, [1.0])]
+    df = spark.createDataFrame(rows, "id long, label int, embedding array<double>")
+    pairs = df.alias("a").join(df.alias("b"), F.col("a.id") < F.col("b.id")).select(F.when(F.col("a.label") == F.col("b.label"), "same_event").otherwise("different_event").alias("label"), numbers.cosine_distance(F.col("a.embedding"), F.col("b.embedding")).alias("distance"))
+    want = evaluation.threshold_suggestion(pairs).first()
+    for size in (20, 2048):
+        got = evaluation.distance_limits(df, rows=size).first()
+        assert got.same_max == pytest.approx(want.same_max) and got.different_min == pytest.approx(want.different_min)
+    ids = spark.range(0, 5000, 7).repartition(5).withColumn("id", F.col("id") * 3 - 400)
+    assert [r.place for r in readmodels.numbered(ids, "id").orderBy("id").collect()] == list(range(715))
+    assert readmodels.numbered(ids.limit(0), "id").collect() == []
