@@ -6,13 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..context import DEFAULT, Context
-from ..functions import dates, text
+from ..functions import dates, numbers, text
 from . import vectors
 
 # Order of severities and urgencies.
 SEVERITY, URGENCY = {"low": 0, "medium": 1, "high": 2, "critical": 3}, {"P4": 0, "P3": 1, "P2": 2, "P1": 3}
 
 
+def similar(queries: DataFrame, base: DataFrame, *, limit: int = 5, least: float = 0.82) -> DataFrame:
+    """(query_id, id, distance, rank) of the `limit` nearest with cosine >= `least`, to six digits."""
+    return vectors.top_k(queries, base, limit).where(F.col("distance") <= numbers.rounded(F.lit(1 - least), 6))
+
+
+def legacy_overrides(near: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, id, score, relationship) of the first similar event that structured signals decide (K-24).
+
+    `near` is from `similar`; `facts` has id, cves, vendors, products, event_type of all events in it. In order of rank,
+    a shared identifier is a material update, else a shared vendor and product of the same type a new source. Queries
+    that neither decides have no row.
+    """
+    named = ("cves", "vendors", "products", "event_type")
+    own, other = (facts.select(F.col("id").alias(key), *(F.col(n).alias(f"{side}_{n}") for n in named)) for key, side in (("query_id", "a"), ("id", "b")))
+    met = near.join(own, "query_id").join(other, "id")
+    shared = lambda n: F.coalesce(F.arrays_overlap(f"a_{n}", f"b_{n}"), F.lit(False))
+    alike = (F.col("a_event_type") == F.col("b_event_type")) & shared("vendors") & shared("products")
+    kind = F.when(shared("cves"), "same_event_material_update").when(alike, "same_event_new_source")
+    decided = met.withColumn("relationship", kind).where(F.col("relationship").isNotNull())
+    first = decided.groupBy("query_id").agg(F.min_by(F.struct("id", (1 - F.col("distance")).alias("score"), "relationship"), "rank").alias("m"))
+    return first.select("query_id", "m.*")
+
+
 def survivors(articles: DataFrame, mode: str = "spec") -> DataFrame:
     """Exact rungs of the duplicate ladder: adds content_hash, title_hash, duplicate_of and rung.
 

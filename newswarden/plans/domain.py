@@ -320,6 +320,18 @@ def _(t):
     return a.join(b, (_C("id") == _C("a")) & (_C("title") == _C("other"))).select("a", "b")
 
 
+@query("k_24_legacy_overrides")
+def _(t):
+    # The type of an event is its first attack word, in place of a model's judgement.
+    e = t.embeddings.select(_C("vec_id").alias("id"), "embedding")
+    near = events.similar(e.where("id % 100 = 0"), e)
+    # Entities are only needed of articles in a pair.
+    paired = near.select(F.explode(F.array("query_id", "id")).alias("id")).distinct()
+    d = entities.drafts(entities.extract(t.articles.join(paired, "id", "left_semi")))
+    facts = d.select(_C("article_id").alias("id"), "cves", "vendors", "products", F.coalesce(F.get("attacks", F.lit(0)), F.lit("other")).alias("event_type"))
+    return events.legacy_overrides(near, facts)
+
+
 @query("k_25_public_cases", "SELECT c.cve_id, count(ca.article_id) AS articles FROM v_cases c LEFT JOIN v_case_articles ca ON ca.case_id = c.id AND ca.state <> 'human_rejected' WHERE c.status = 'approved' GROUP BY 1")
 def _(t):
     links = t.case_articles.where("state <> 'human_rejected'").groupBy(_C("case_id").alias("id")).agg(F.count("*").alias("articles"))

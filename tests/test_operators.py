@@ -1,5 +1,6 @@
 """Decisions case by case, with nulls, empty texts, ties and empty tables."""
 
+import math
 from datetime import datetime, timedelta
 
 import pytest
@@ -177,3 +178,22 @@ def test_limits_and_places_of_whole_tables(spark):
     ids = spark.range(0, 5000, 7).repartition(5).withColumn("id", F.col("id") * 3 - 400)
     assert [r.place for r in readmodels.numbered(ids, "id").orderBy("id").collect()] == list(range(715))
     assert readmodels.numbered(ids.limit(0), "id").collect() == []
+
+
+def test_legacy_overrides(spark):
+    at = lambda degrees: [float(math.cos(math.radians(degrees))), float(math.sin(math.radians(degrees)))]
+    # 0: the nearest decides nothing, the next shares an identifier; 100: vendor, product and type; 200: near ones differ in type; 300: too far.
+    where = {0: 0, 1: 2, 2: 5, 3: 6, 100: 90, 101: 93, 200: 180, 201: 184, 300: 270, 301: 306}
+    vectors = spark.createDataFrame([(k, at(v)) for k, v in where.items()], "id long, embedding array<double>")
+    acme = ["Acme"], ["Acme Gateway"]
+    rows = [(0, ["CVE-1"], *acme, "rce"), (1, [], [], [], "rce"), (2, ["CVE-9", "CVE-1"], [], [], "breach"), (3, [], *acme, "rce"), (100, [], *acme, "rce"), (101, ["CVE-1"], *acme, "rce"), (200, [], *acme, "rce"), (201, [], *acme, "breach"), (300, ["CVE-2"], *acme, "rce"), (301, ["CVE-2"], *acme, "rce")]
+    facts = spark.createDataFrame(rows, "id long, cves array<string>, vendors array<string>, products array<string>, event_type string")
+    got = {r.query_id: (r.id, r.relationship) for r in events.legacy_overrides(events.similar(vectors.where("id % 100 = 0"), vectors), facts).collect()}
+    assert got == {0: (2, "same_event_material_update"), 100: (101, "same_event_new_source")}
+    # The limit itself is similar enough; a sixth nearest is not looked at.
+    edge = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.82, math.sqrt(1 - 0.82**2)])], "id long, embedding array<double>")
+    named = spark.createDataFrame([(k, ["CVE-1"], [], [], "x") for k in (0, 1)], facts.schema)
+    assert [r.id for r in events.legacy_overrides(events.similar(edge.where("id = 0"), edge), named).collect()] == [1]
+    many = spark.createDataFrame([(k, at(k)) for k in range(7)], "id long, embedding array<double>")
+    last = spark.createDataFrame([(k, ["CVE-1"] if k in (0, 6) else [], [], [], str(k)) for k in range(7)], facts.schema)
+    assert events.legacy_overrides(events.similar(many.where("id = 0"), many), last).collect() == []
