@@ -2,10 +2,10 @@
 
 Both label every line of a text good or bad (content or boilerplate) from its own
 bins and those of its neighbours (`lines.BINS`) and learn the weights from labelled
-documents, whose lines all have the document's label. The sample is bounded:
-`max_docs` labelled documents, those with the smallest hashes of their ids, and of
-each the first `max_lines` lines. Everything that is labelled or counted afterwards
-covers all lines of all texts.
+documents, whose lines all have the document's label. The sample is bounded by
+documents: `max_docs` labelled ones, those with the smallest hashes of their ids, each
+with all its lines. Everything that is labelled or counted afterwards covers all lines
+of all texts.
 
 * Quality rules: counts of words, symbols, repeated lines and repeated windows, then
   Viterbi decoding; the share of characters in content lines decides retention.
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import crf, lines, shared
 
-MAX_DOCS, MAX_LINES = 4000, 64
+MAX_DOCS = 4000
 #: Least share of characters in content lines of a retained document.
 CONTENT_SHARE = 0.5
 #: Least score of a document that is predicted good.
@@ -48,7 +48,7 @@ def remainder(id_col: str, modulus: int = 5) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
 
 
-def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int | None = None, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Trained:
+def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", held_out: int | None = None, max_docs: int = MAX_DOCS) -> Trained:
     """The field learnt from labelled documents; with `held_out`, never from ids of that remainder."""
     shared.prepare(documents.sparkSession)
     known = labels.select(id_col, label_col).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -60,7 +60,7 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
         for batch in batches:
             for t in lines.tables(batch.column(0)):
                 bounds = np.searchsorted(t.row, np.arange(t.hi - t.lo + 1))
-                out = [t.bins[bounds[r] : min(bounds[r + 1], bounds[r] + max_lines)].tobytes() for r in range(t.hi - t.lo)]
+                out = [t.bins[bounds[r] : bounds[r + 1]].tobytes() for r in range(t.hi - t.lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(t.lo, t.hi - t.lo), pa.array(out, pa.binary())], names=["label", "bins"])
 
     texts = documents.select(id_col, text_col).join(F.broadcast(known), id_col).dropDuplicates([id_col])

@@ -71,3 +71,12 @@ def test_rules_keep_good_documents(spark):
     kept = quality.rules(docs, quality.train(docs, labels)).join(labels, "doc_id").where("not base_failed").collect()
     assert np.mean([r.kept for r in kept if r.quality == 1]) > 0.99
     assert np.mean([r.kept for r in kept if r.quality == 0]) < 0.15
+
+
+def test_fit_takes_all_lines(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {k} of {i}" for k in range(n))) for i, n in enumerate((3, 64, 65, 500))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    taken, fit = [], crf.fit
+    monkeypatch.setattr(crf, "fit", lambda bins, row, *rest, **options: taken.extend(np.bincount(row).tolist()) or fit(bins, row, *rest, **options))
+    quality.train(docs, labels)
+    assert sorted(taken) == [3, 64, 65, 500]
