@@ -133,15 +133,19 @@ def excerpt(c: Column, n: int) -> Column:
 
 def zones(title: Column, summary: Column, body: Column) -> Column:
     """title, summary, lead (500), body, tail (the last 400 of more than 900)."""
-    b = trimmed(F.coalesce(body, F.lit("")))
-    n = F.length(b)
+    return zones_of(title, summary, trimmed(F.coalesce(body, F.lit(""))))
+
+
+def zones_of(title: Column, summary: Column, body: Column) -> Column:
+    """Zones of a body that is trimmed already."""
+    n = F.length(body)
     long = n > 900
     return F.struct(
         F.coalesce(title, F.lit("")).alias("title"),
         F.coalesce(summary, F.lit("")).alias("summary"),
-        F.substring(b, 1, 500).alias("lead"),
-        F.when(long, F.substring(b, F.lit(501), n - 900)).otherwise(F.substring(b, F.lit(501), F.lit(2147483647))).alias("body"),
-        F.when(long, F.right(b, F.lit(400))).otherwise("").alias("tail"),
+        F.substring(body, 1, 500).alias("lead"),
+        F.when(long, F.substring(body, F.lit(501), n - 900)).otherwise(F.substring(body, F.lit(501), F.lit(2147483647))).alias("body"),
+        F.when(long, F.right(body, F.lit(400))).otherwise("").alias("tail"),
     )
 
 

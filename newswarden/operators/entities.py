@@ -14,24 +14,33 @@ ZONES = (("title", 1.0), ("summary", 0.9), ("lead", 0.8), ("body", 0.6), ("tail"
 
 
 def extract(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
-    """(article_id, entity_type, entity_value, role, confidence) of title, rss_summary and clean_text."""
-    parts = text.zones(F.col("title"), F.col("rss_summary"), F.col("clean_text"))
+    """(article_id, entity_type, entity_value, role, confidence) of title, rss_summary and clean_text.
+
+    Every step is a column of its own, and the entities are taken out by an outer
+    explode with a filter after it: from an inner one the optimizer would infer
+    that there are entities, push that to the scan and compute everything again there.
+    """
     zone = [n for n, _ in ZONES]
-    z = articles.select(F.col("id").alias("article_id"), *(parts[n].alias(f"z_{n}") for n in zone))
+    z = articles.select(F.col("id").alias("article_id"), "title", "rss_summary", text.trimmed(F.coalesce("clean_text", F.lit(""))).alias("__body"))
+    parts = text.zones_of(F.col("title"), F.col("rss_summary"), F.col("__body"))
+    z = z.select("article_id", *(parts[n].alias(f"z_{n}") for n in zone))
     z = z.withColumn("whole", F.concat_ws("\n", *(f"z_{n}" for n in zone))).withColumn("low", F.lower("whole"))
     vendors, products = inventory_hits(F.col("whole"), context.inventory, F.col("low"))
     z = z.withColumns({"vendors": vendors, "products": products, "cve": text.cves(F.col("whole")), "attack": F.filter(F.array(*map(F.lit, context.lexicon.flat)), lambda w: F.contains(F.col("low"), w))})
-    kinds = {"vendor": F.col("vendors"), "product": F.col("products"), "cve": F.col("cve"), "ioc_ip": text.matches(F.col("whole"), text.IP), "ioc_domain": text.matches(F.col("whole"), text.DOMAIN, "lower"), "ioc_hash": text.matches(F.col("whole"), text.DIGEST, "lower"), "attack_type": F.col("attack")}
+    z = z.withColumns({"ip": text.matches(F.col("whole"), text.IP), "domain": text.matches(F.col("whole"), text.DOMAIN, "lower"), "digest": text.matches(F.col("whole"), text.DIGEST, "lower")})
+    kinds = {"vendor": "vendors", "product": "products", "cve": "cve", "ioc_ip": "ip", "ioc_domain": "domain", "ioc_hash": "digest", "attack_type": "attack"}
 
-    def typed(kind: str, values: Column) -> Column:
+    def typed(kind: str, values: str) -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("entity_value")))
 
     pairs = F.concat(*(typed(kind, values) for kind, values in kinds.items()))
-    # Entities first, as a column: rows leave with the zones only once they are exploded.
     z = z.withColumns({"corroborated": (F.size("cve") > 0) | (F.size("attack") > 0), "pairs": pairs})
-    rows = z.select("article_id", *(f"z_{n}" for n in zone), "corroborated", F.explode("pairs").alias("e")).select("*", "e.entity_type", "e.entity_value")
-    rows = rows.withColumns({f"t_{n}": text.count_phrase(F.col(f"z_{n}"), F.col("entity_value")) for n in zone})
+    rows = z.select("article_id", *(f"z_{n}" for n in zone), "corroborated", F.explode_outer("pairs").alias("e")).where(F.col("e").isNotNull())
+    rows = rows.select("*", "e.entity_type", "e.entity_value", F.lower("e.entity_value").alias("__low"))
+    for n in zone:
+        rows = rows.withColumn(f"t_{n}", F.when(F.contains(F.lower(f"z_{n}"), F.col("__low")), text.count_phrase(F.col(f"z_{n}"), F.col("entity_value"))).otherwise(0))
     rows = rows.withColumn("t", F.struct(*(F.col(f"t_{n}").alias(n) for n in zone)))
+    # An article's entities are distinct already; only a repeated article row brings the same ones again.
     return rows.select("article_id", "entity_type", "entity_value", F.when(F.col("entity_type").isin("vendor", "product"), "unknown").alias("role"), confidence().alias("confidence")).distinct()
 
 
