@@ -41,7 +41,6 @@ from pyspark.sql import types as T
 
 from . import ragged as R
 from . import shared, sp_bpe
-from .token_shards import stable
 
 WINDOW, STRIDE = 16, 12
 WIDTH, CLASSES = 8, 32
@@ -407,7 +406,7 @@ def scored(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability)."""
     spark = df.sparkSession
     shared.prepare(spark)
-    df = stable(df.select(F.col(id_col), F.col(text_col)))
+    df = shared.stable(df.select(F.col(id_col), F.col(text_col)))
     flagged = df.select(F.col(id_col).alias("id"), _held(id_col, held_out).alias("held_out"), F.col(text_col).alias("text"))
     counts = shared.written(corpus_counts(flagged.select("held_out", "text"), model_path), "counts")
     words = counts.where(F.col("kind") == _WORD)

@@ -11,12 +11,16 @@ from ..functions.workers import on_path
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the cluster sets it; only where it is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir as the cluster sets it, or the checkpoint folder of the context."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="newswarden-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    # Only with driver and executors in one process, as in tests, is a local folder a shared one.
+    found = tempfile.mkdtemp(prefix="newswarden-")
+    spark.sparkContext.setCheckpointDir(found)
+    return found
 
 
 #: Bytes of an Arrow batch on its way to Python, so that long texts come a few at a time.
@@ -36,10 +40,10 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/newswarden/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._nw_path = path
     return out
@@ -50,3 +54,10 @@ def drop(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._nw_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """`df` itself if its plan is a scan with projections and filters, else a table of it, for what reads it more than once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line.strip(" +-:").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()]
+    return df if all(s in ("Relation", "Project", "Filter") for s in steps) else written(df, "stable")

@@ -12,7 +12,7 @@ Texts are therefore cut there, each distinct segment of a worker is encoded once
 and rows are put together by gathers. Short segments take their agendas' best
 entries all at once, in rounds over arrays; long ones use a heap each. Every
 segment that is encoded is checked against the sentencepiece library, batch by
-batch, and so is one whole text of each batch; a difference raises.
+batch, and so is the first whole text of each batch; a difference raises.
 
 Defined results: null is empty; an empty text has the begin and end ids alone and
 decodes to the empty string; repeated rows are encoded alike; other columns are
@@ -198,10 +198,19 @@ class Model:
             a[np.repeat(unknown, width)] = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         return a, np.concatenate([[0], np.cumsum(np.bincount(b, minlength=n))]).astype(np.int64)
 
+    def _library(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) from the library, for users of the ids who don't ask for the agenda."""
+        theirs = self.library.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
+        for k in [k for k, x in enumerate(segments) if not x]:
+            # The library puts no mark before an empty text.
+            theirs[k] = self.heap(MARK)
+        size = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        return np.fromiter(chain.from_iterable(theirs), np.int32, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
+
     def _checked(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, bounds = self.encode_segments([MARK + s for s in segments])
         if not self.check:
-            return ids, bounds
+            return self._library(segments)
+        ids, bounds = self.encode_segments([MARK + s for s in segments])
         theirs = self.library.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
         for k in [k for k, x in enumerate(segments) if not x]:
             # The library puts no mark before an empty text, so this segment can't be asked for.
@@ -289,7 +298,7 @@ class Model:
 
 @lru_cache(maxsize=2)
 def load(path: str, check: bool = True) -> Model:
-    """One model per worker process; without `check` it doesn't ask the library about its results."""
+    """One model per worker process; without `check` distinct segments are encoded by the library alone, which costs a third."""
     return Model(path, check)
 
 

@@ -8,18 +8,22 @@ shard s is slot s * per_shard + k, at byte k * stride: a reader starts at any sl
 and reads on, and a run is resumed from the number of its next slot.
 
 A record is a header of eight 16-bit words (id of the document in four, place of the
-sequence in its document in two, number of ids in two), the ids in 16 bits each, and
+sequence in its document in two, number of ids in two, with the highest bit set where
+the id of the document is null), the ids in 16 bits each, and
 one closing word, all little-endian. The shards are written by Spark's own writer,
 raw bytes with the closing word as line separator, so they go to any store that
 Spark writes to and a lost executor's tasks are repeated without leftovers.
 
-Sequences are counted in a first pass and made in a second one, which costs encoding
-twice and needs no table of all ids. Both passes must see the same rows in the same
-partitions, which a scan of files gives; another input is written first.
+Texts are encoded once, into a compressed table of ids in the shared folder that also
+holds, for each piece of a partition, how many sequences came before it. What numbers
+the sequences is read from that table, so it doesn't matter how Spark splits it later,
+or whether executors come and go. Records travel to range partitions of whole shards,
+those of a batch for one partition together and compressed. After writing, the length
+of every shard is compared with its number of slots.
 
 Defined results: a null or empty text has one sequence with the end id alone;
-repeated rows have sequences of their own; a null id is written as -1. Other columns
-are not read.
+repeated rows have sequences of their own; a null id is a mark in the record's header,
+and null again when it is read. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +46,10 @@ LENGTH, PER_SHARD = 256, 8192
 HEADER = 8
 CLOSE = 0x0A0D
 ROUNDS = 6
+#: Bytes of records in a range partition, and how many partitions there are at most.
+PARTITION_BYTES, MAX_PARTITIONS = 64 << 20, 50_000
+#: Bit of the number of ids that marks a null id of a document.
+NO_NAME = np.uint32(1 << 31)
 
 
 @dataclass(frozen=True)
@@ -87,57 +96,102 @@ class Shards:
         return 2 * (HEADER + self.length + 1)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """`df` itself if its plan is a scan with projections and filters, else a table of it."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    steps = [line.strip(" +-:").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()]
-    return df if all(s in ("Relation", "Project", "Filter") for s in steps) else shared.written(df, "stable")
+def _encoded(df: DataFrame, model_path: str, length: int) -> DataFrame:
+    """(part, first, n, names, missing, sizes, ids): a row for each piece of a partition of (id, text).
+
+    `n` sequences, the first being number `first` of the partition; ids of the
+    documents (64 bits) and whether they are null (8 bits), the number of ids of
+    each (64 bits) and all ids (16 bits).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, first, part = sp_bpe.load(model_path, False), 0, TaskContext.get().partitionId()
+        for batch in batches:
+            missing = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            names = batch.column(0).fill_null(-1).to_numpy()
+            for lo, hi, ids, bounds in model.encode(batch.column(1)):
+                ids, size = np.insert(ids, bounds[1:], model.eos), np.diff(bounds) + 1
+                n = int(((size - 1) // length + 1).sum())
+                blobs = (names[lo:hi].astype("<i8"), missing[lo:hi].astype("u1"), size.astype("<i8"), ids.astype("<u2"))
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([first]), pa.array([n]), *(pa.array([x.tobytes()], pa.binary()) for x in blobs)], names=["part", "first", "n", "names", "missing", "sizes", "ids"])
+                first += n
+
+    return df.mapInArrow(run, "part long, first long, n long, names binary, missing binary, sizes binary, ids binary")
 
 
 def materialise(df: DataFrame, model_path: str, key: int, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, path: str | None = None) -> Shards:
     """Writes the shards under `path` (by default a new place in the shared folder)."""
     spark = df.sparkSession
     shared.prepare(spark)
-    df = stable(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, total = sp_bpe.load(model_path, False), 0
-        for batch in batches:
-            for n in model.lengths(batch.column(1)):
-                total += int((n // length + 1).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total])], names=["part", "n"])
-
-    sizes = {r.part: r.n for r in df.mapInArrow(count, "part long, n long").collect()}
-    parts = sorted(sizes)
-    base = dict(zip(parts, np.concatenate([[0], np.cumsum([sizes[p] for p in parts])]).tolist(), strict=False))
-    shards = Shards(path or shared.fresh(spark, "shards"), sum(sizes.values()), length, per_shard)
-    order = Order(shards.n, key)
+    if sp_bpe.load(model_path, False).size > 1 << 16:
+        raise ValueError("ids of this vocabulary don't fit 16 bits")
+    table = shared.written(_encoded(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model_path, length), "ids", compression="zstd")
+    # One row for each partition of the input, so this is bounded by their number.
+    sizes = table.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.col("first") + F.col("n")).alias("end")).orderBy("part").collect()
+    if any(r.n != r.end for r in sizes):
+        raise RuntimeError("the table of ids has gaps")
+    base = spark.sparkContext.broadcast(dict(zip((r.part for r in sizes), np.cumsum([0, *(r.n for r in sizes)]).tolist(), strict=False)))
+    shards = Shards(path or shared.fresh(spark, "shards"), sum(r.n for r in sizes), length, per_shard)
+    if not shards.n:
+        shared.drop(table)
+        return shards
+    n_shards = -(-shards.n // per_shard)
+    wanted = max(-(-shards.n * shards.stride // PARTITION_BYTES), 3 * spark.sparkContext.defaultParallelism)
+    group = -(-n_shards // min(wanted, n_shards, MAX_PARTITIONS))
+    order, width = Order(shards.n, key), 2 * (HEADER + length)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, at = sp_bpe.load(model_path, False), base.get(TaskContext.get().partitionId(), 0)
+        """Records of a batch, those for one range together: (range, their slots, the compressed records)."""
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for lo, hi, ids, bounds in model.encode(batch.column(1)):
-                full = np.diff(bounds) + 1
-                n = (full - 1) // length + 1
-                row = np.repeat(np.arange(hi - lo), n)
+            slots, records = [], []
+            for part, first, _, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                name, missing, size, flat = (np.frombuffer(x, kind) for x, kind in zip(blobs, ("<i8", "u1", "<i8", "<u2"), strict=True))
+                n = (size - 1) // length + 1
+                row = np.repeat(np.arange(len(size)), n)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                records = np.zeros((len(row), HEADER + length), "<u2")
-                name = np.array([-1 if x is None else x for x in batch.column(0).slice(lo, hi - lo).to_pylist()], "<i8")
-                records[:, :4] = name[row].view("<u2").reshape(-1, 4)
-                records[:, 4:6] = place.astype("<u4").view("<u2").reshape(-1, 2)
-                used = np.minimum(length, full[row] - place * length)
-                records[:, 6:8] = used.astype("<u4").view("<u2").reshape(-1, 2)
-                flat = np.insert(ids, bounds[1:], model.eos)
-                records[:, HEADER:][np.arange(length)[None, :] < used[:, None]] = flat
-                yield pa.RecordBatch.from_arrays([pa.array(order.slot(at + np.arange(len(row)))), pa.array([x.tobytes() for x in records], pa.binary())], names=["slot", "record"])
-                at += len(row)
-
-    rows = df.mapInArrow(make, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / per_shard))
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "slot")
-    dealt.select("shard", F.col("record").cast("string").alias("value")).write.option("lineSep", CLOSE.to_bytes(2, "little").decode("latin-1")).partitionBy("shard").text(shards.path)
+                used = np.minimum(length, size[row] - place * length)
+                made = np.zeros((len(row), HEADER + length), "<u2")
+                made[:, :4] = name[row].view("<u2").reshape(-1, 4)
+                made[:, 4:6] = place.astype("<u4").view("<u2").reshape(-1, 2)
+                made[:, 6:8] = (used.astype("<u4") | np.where(missing[row], NO_NAME, np.uint32(0)).astype("<u4")).view("<u2").reshape(-1, 2)
+                made[:, HEADER:][np.arange(length)[None, :] < used[:, None]] = flat
+                slots.append(order.slot(base.value[part] + first + np.arange(len(row))))
+                records.append(made)
+            slot, made = np.concatenate(slots), np.concatenate(records)
+            at = np.argsort(slot)
+            slot, made = slot[at], made[at]
+            zone = slot // (per_shard * group)
+            cuts = np.append(np.flatnonzero(np.concatenate([[True], zone[1:] != zone[:-1]])), len(slot))
+            blobs = [(slot[a:b].tobytes(), pack.compress(made[a:b].tobytes())) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(zone[cuts[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*blobs, strict=True))], names=["zone", "slots", "records"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for slots, records in zip(batch.column(1), batch.column(2), strict=True):
+                slot = np.frombuffer(slots.as_buffer(), np.int64)
+                raw = unpack.decompress(records.as_buffer())
+                ends = pa.py_buffer(np.arange(len(slot) + 1, dtype=np.int32) * width)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.Array.from_buffers(pa.binary(), len(slot), [None, ends, pa.py_buffer(raw)])], names=["slot", "record"])
+
+    packed = table.mapInArrow(make, "zone int, slots binary, records binary").repartitionById(-(-n_shards // group), "zone")
+    rows = packed.mapInArrow(spread, "slot long, record binary").withColumn("shard", F.floor(F.col("slot") / per_shard)).sortWithinPartitions("shard", "slot")
+    rows.select("shard", F.col("record").cast("string").alias("value")).write.option("lineSep", CLOSE.to_bytes(2, "little").decode("latin-1")).partitionBy("shard").text(shards.path)
+    files = _files(spark, shards).groupBy("shard").agg(F.sum("length").alias("length"))
+    full = F.least(F.lit(per_shard), shards.n - F.col("shard") * per_shard) * shards.stride
+    if files.where(F.col("length") == full).count() != n_shards:
+        raise RuntimeError("a shard is missing or has another length than its slots")
+    base.unpersist()
+    shared.drop(table)
     return shards
 
 
+def _files(spark: SparkSession, shards: Shards) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{shards.path}/shard=*/part-*")
+    return files.withColumn("shard", F.regexp_extract("path", "/shard=([0-9]+)/", 1).cast("long"))
+
+
 def read_back(spark: SparkSession, shards: Shards, first: int = 0, digests: bool = False) -> DataFrame:
     """(slot, shard, doc_id, place, ids) of the records from slot `first` on; shards before it are not opened.
 
@@ -157,8 +211,10 @@ def read_back(spark: SparkSession, shards: Shards, first: int = 0, digests: bool
                 slot = shard * per_shard + np.arange(len(records))
                 records, slot = records[slot >= first], slot[slot >= first]
                 head = np.ascontiguousarray(records[:, :HEADER])
-                used = head[:, 6:8].copy().view("<u4")[:, 0].astype(np.int64)
-                columns = [pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(head[:, :4].copy().view("<i8")[:, 0]), pa.array(head[:, 4:6].copy().view("<u4")[:, 0].astype(np.int64))]
+                used = head[:, 6:8].copy().view("<u4")[:, 0]
+                missing = (used & NO_NAME) > 0
+                used = (used & ~NO_NAME).astype(np.int64)
+                columns = [pa.array(slot), pa.array(np.full(len(slot), shard)), pa.array(head[:, :4].copy().view("<i8")[:, 0], mask=missing), pa.array(head[:, 4:6].copy().view("<u4")[:, 0].astype(np.int64))]
                 if digests:
                     columns += [pa.array(used), pa.array([sha256(r[HEADER : HEADER + n]).hexdigest() for r, n in zip(np.ascontiguousarray(records), used.tolist(), strict=True)], pa.string())]
                 else:
@@ -168,6 +224,4 @@ def read_back(spark: SparkSession, shards: Shards, first: int = 0, digests: bool
 
     if not shards.n:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{shards.path}/shard=*/part-*")
-    files = files.select(F.regexp_extract("path", "/shard=([0-9]+)/", 1).cast("long").alias("shard"), "content", "path").where(F.col("shard") >= first // per_shard)
-    return files.select("shard", "content").mapInArrow(run, schema)
+    return _files(spark, shards).where(F.col("shard") >= first // per_shard).select("shard", "content").mapInArrow(run, schema)

@@ -35,7 +35,7 @@ def test_round_trip(spark, tmp_path):
         want = {}
         for r in df.collect():
             ids = [*model.library.encode(r.text or ""), model.eos]
-            want.setdefault(-1 if r.doc_id is None else r.doc_id, []).extend(ids[i : i + 32] for i in range(0, len(ids), 32))
+            want.setdefault(r.doc_id, []).extend(ids[i : i + 32] for i in range(0, len(ids), 32))
         assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
         short = {r.slot: (r.n_ids, r.ids_sha256) for r in token_shards.read_back(spark, shards, digests=True).collect()}
         assert short == {r.slot: (len(r.ids), sha256(np.array(r.ids, "<u2").tobytes()).hexdigest()) for r in rows}
