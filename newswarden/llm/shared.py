@@ -36,6 +36,14 @@ def prepare(spark: SparkSession) -> None:
     on_path(spark)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has."""
+    taken, out = {c.lower() for f in frames for c in f.columns}, f"__nw_{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/newswarden/{name}-{uuid.uuid4().hex}"
 

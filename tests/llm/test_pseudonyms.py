@@ -8,14 +8,14 @@ from datetime import date
 from newswarden.llm import pseudonyms
 
 KEY = "k"
-LATIN = "àáâãäåæçèéêëìíîïðñòóôõö"
+CLASSES = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *("".join(map(chr, range(low, low + n))) for low, n in pseudonyms.LETTERS)]
 
 
 def moved(mine, other, r, sign=1):
-    out = []
-    for i, c in enumerate(mine, 1):
-        m = sign * int(hashlib.sha256(f"{KEY}|{r}|{i}|{other}".encode()).hexdigest()[:8], 16)
-        for alphabet in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", LATIN):
+    out, digest = [], hashlib.sha256(f"{pseudonyms.working_key(KEY)}|{r}|{other}".encode()).hexdigest()
+    for i, c in enumerate(mine):
+        m = sign * int(hashlib.sha256(f"{digest}|{i}".encode()).hexdigest()[:8], 16)
+        for alphabet in CLASSES:
             if c in alphabet:
                 c = alphabet[(alphabet.index(c) + m) % len(alphabet)]
                 break
@@ -52,7 +52,7 @@ def pseudonymised(df):
 def test_numbers_against_python(spark):
     rng = random.Random(1)
     cards = [p + str(luhn(p)) for p in ("".join(rng.choice("0123456789") for _ in range(15)) for _ in range(40))]
-    emails = ["réeux.41@mail3.example.com", "a@b.de", "X.y-9+z@sub.host.org"]
+    emails = ["réeux.41@mail3.example.com", "a@b.de", "X.y-9+z@sub.host.org", "øü@example.org", "иван.петров@example.org", "王小明@例え.example.org"[:3] + "@example.org", "ŁukÉØ@example.org"]
     phones = ["+1 (337) 555-7349", "(201) 555-0123", "+49 30 1234567"]
     got = run(spark, cards + emails + phones)
     for i, v in enumerate(cards):
@@ -60,8 +60,43 @@ def test_numbers_against_python(spark):
         assert p == permuted(v[:-1]) and permuted(p, back=True) == v[:-1] and int(got[i][0][-1]) == luhn(p) and got[i][1] == 1
     for i, v in enumerate(emails, len(cards)):
         assert got[i][0] == permuted(v.split("@")[0]) + "@" + v.split("@")[1]
-    assert got[len(cards) + 3][0] == "+1" + permuted(" (337) 555-7349") and got[len(cards) + 4][0] == permuted("(201) 555-0123")
-    assert re.fullmatch(r"\+49 \d\d \d{7}", got[len(cards) + 5][0]) and got[len(cards) + 5][0] != phones[2]
+    at, digits = len(cards) + len(emails), lambda x: re.sub("[^0-9]", "", x)
+    assert got[at][0].startswith("+1 (") and digits(got[at][0])[1:] == permuted("3375557349") and digits(got[at + 1][0]) == permuted("2015550123")
+    assert re.fullmatch(r"\+49 \d\d \d{7}", got[at + 2][0]) and got[at + 2][0] != phones[2]
+
+
+def test_one_pseudonym_however_it_is_written(spark):
+    same = [("4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"), ("+1 (337) 555-7349", "+1 337 555 7349", "+1-337-555-7349"), ("GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32")]
+    for group in same:
+        new = [t for t, _ in run(spark, list(group)).values()]
+        assert len({re.sub("[^0-9A-Z]", "", t) for t in new}) == 1 and all(re.sub("[0-9A-Z]", "0", a) == re.sub("[0-9A-Z]", "0", b) != a for a, b in zip(group, new))
+
+
+def test_social_security_numbers_are_permuted_among_the_valid(spark):
+    rng = random.Random(2)
+    numbers = sorted({f"{rng.choice([1, 2, 665, 667, 668, 898, 899]):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}" for _ in range(400)})
+    new = run(spark, [" ".join(numbers)])[0][0].split()
+    assert len(set(new)) == len(numbers) and all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", x) for x in new)
+
+
+def test_unlisted_letters_are_not_left_in_clear(spark):
+    (new, n), (again, _) = run(spark, ["ꙮa@example.org", "ꙮa@example.org and"]).values()
+    assert re.fullmatch("x[0-9a-f]{16}@example.org", new) and n == 1 and again.startswith(new)
+
+
+def test_long_repetitions_need_no_stack(spark):
+    n = 100_000
+    texts = ["a@" + "b." * n + "c", "a." * n + "b@c.de", "key=" + "a" * n, "1." * n, "+1 " + "22 " * n, "GB82" + " ABCD" * n, "1-" * n, "1234 " * n, "1" * n, "(201) " * n, "01.02.2000-" * n, "@" * n, "key=" * n]
+    got = run(spark, texts)
+    assert len(got) == len(texts) and got[0][0] != texts[0] and got[0][0].endswith("@" + "b." * n + "c")
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    df = spark.createDataFrame([("a@b.de", "own", 3)], "text string, __nw_hits string, __NW_hits_ int")
+    out = pseudonymised(df)
+    assert out.columns == [*df.columns, "n"] and out.first()[1:3] == ("own", 3)
+    assert KEY not in pseudonyms.working_key(KEY)[7:] or len(KEY) < 8
+    assert pseudonyms.working_key(KEY) not in out._jdf.queryExecution().toString()
 
 
 def test_dates_octets_and_checked_formats(spark):
