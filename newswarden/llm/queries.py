@@ -60,8 +60,36 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_documents(_read(spark, sf_dir, "documents"))
 
 
+#: The tools that the calls of `with_calls` are checked against.
+TOOLS = [chat.Tool("search", {"query": "string", "limit": "integer"}, ("query",)), chat.Tool("lookup", {"key": "string"}, ("key",))]
+
+
+def with_calls(conversations: DataFrame) -> DataFrame:
+    """All messages of `conversations`, which has no tool calls, with calls and results made from conversation and turn.
+
+    Every assistant's message calls one of six kinds in turn: a search that names the next call, a plain one, one
+    with a wrong argument, two lookups that name each other's, and an unknown tool; every fifth conversation's messages
+    another search without an identifier. Every user's message from turn 2 on brings a result for the call before it,
+    in every ninth conversation for one that doesn't exist.
+    """
+    c = conversations.select("conv_id", "turn", "role", "text")
+    k, turn = F.expr("(conv_id + turn div 2) % 6"), F.col("turn")
+    name = F.when(k < 3, "search").when(k < 5, "lookup").otherwise("tally")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    args = (
+        F.when(k == 0, text('{"limit":', turn, ',"query":"$c', turn + 2, '"}')).when(k == 1, text('{"limit":', turn, ',"query":"q', F.col("conv_id"), '"}'))
+        .when(k == 2, text('{"limit":"many","query":"q"}')).when(k == 3, text('{"key":"$c', turn + 2, '"}')).when(k == 4, text('{"key":"$c', turn - 2, '"}')).otherwise("{}")
+    )
+    call = lambda i, n, a: F.struct(i.alias("id"), n.alias("name"), a.alias("arguments"))
+    second = F.when(F.col("conv_id") % 5 == 0, call(F.lit(None).cast("string"), F.lit("search"), F.lit('{"query":1}')))
+    made = F.to_json(F.struct(F.col("text").alias("content"), F.array_compact(F.array(call(text("c", turn), name, args), second)).alias("tool_calls")))
+    spoken = c.withColumn("text", F.when((F.col("role") == "assistant") & F.col("conv_id").isNotNull() & turn.isNotNull(), made).otherwise(F.col("text")))
+    answer = F.to_json(F.struct(text("r", F.col("conv_id"), "-", turn).alias("content"), F.when(F.col("conv_id") % 9 == 0, text("z", turn)).otherwise(text("c", turn - 1)).alias("tool_call_id")))
+    return spoken.union(c.where("role = 'user' and turn >= 2 and conv_id is not null").select("conv_id", "turn", F.lit("tool").alias("role"), answer.alias("text")))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.formatted(_read(spark, sf_dir, "conversations"))
+    return chat.formatted(with_calls(_read(spark, sf_dir, "conversations")), TOOLS)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,10 +155,33 @@ _OP8 = f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, ':/
   SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(r.host, r.path)} THEN '{r.text}'" for r in _LONGEST)} END AS rule,
     CASE {" ".join(f"WHEN {_fits(r.host, r.path)} THEN '{r.action}'" for r in _LONGEST)} WHEN b >= {hosts.LEAST} THEN 'allow' ELSE 'block' END AS verdict FROM p JOIN bound USING (host)"""
 
-#: A table without tool calls, as the driver's is: messages in order as canonical JSON.
-_OP2 = """SELECT conv_id, CAST(floor(turn / 4096) AS BIGINT) AS part, count(*) AS n_messages, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_orphans, CAST(0 AS BIGINT) AS n_cyclic,
-    concat('{"conv_id":', conv_id, ',"messages":[', string_agg(concat('{"content":', to_json(text), ',"role":', to_json(role), ',"turn":', turn, '}'), ',' ORDER BY turn, role, text), ']}') AS chat
-  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) GROUP BY 1, 2"""
+_TYPED = "json_type(args, '$.{0}') {1}"
+#: The same calls and results; levels by paths of references (of up to 12 steps, as these conversations are short).
+_OP2 = f"""WITH RECURSIVE src AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+  a AS (SELECT conv_id, turn, (conv_id + turn // 2) % 6 AS k FROM src WHERE role = 'assistant'),
+  c0 AS (SELECT conv_id, turn, 0 AS pos, concat('c', turn) AS id, CASE WHEN k < 3 THEN 'search' WHEN k < 5 THEN 'lookup' ELSE 'tally' END AS name,
+      CASE k WHEN 0 THEN concat('{{"limit":', turn, ',"query":"$c', turn + 2, '"}}') WHEN 1 THEN concat('{{"limit":', turn, ',"query":"q', conv_id, '"}}') WHEN 2 THEN '{{"limit":"many","query":"q"}}'
+        WHEN 3 THEN concat('{{"key":"$c', turn + 2, '"}}') WHEN 4 THEN concat('{{"key":"$c', turn - 2, '"}}') ELSE '{{}}' END AS args FROM a
+    UNION ALL SELECT conv_id, turn, 1, NULL, 'search', '{{"query":1}}' FROM a WHERE conv_id % 5 = 0),
+  c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS place, list_filter(CASE name
+      WHEN 'search' THEN [CASE WHEN {_TYPED.format("limit", "NOT IN ('BIGINT', 'UBIGINT')")} THEN 'limit is no integer' END, CASE WHEN {_TYPED.format("query", "IS NULL")} THEN 'missing query' WHEN {_TYPED.format("query", "<> 'VARCHAR'")} THEN 'query is no string' END]
+      WHEN 'lookup' THEN [CASE WHEN {_TYPED.format("key", "IS NULL")} THEN 'missing key' WHEN {_TYPED.format("key", "<> 'VARCHAR'")} THEN 'key is no string' END] ELSE ['unknown tool'] END, lambda x: x IS NOT NULL) AS faults FROM c0),
+  e AS (SELECT x.conv_id, x.place, y.place AS ref FROM (SELECT conv_id, place, unnest(regexp_extract_all(args, '"\$([^"]+)"', 1)) AS id FROM c) x JOIN c y ON y.conv_id = x.conv_id AND y.id = x.id),
+  walk AS (SELECT conv_id, place, place AS at, 0 AS hops, 0 AS forward FROM c UNION ALL SELECT w.conv_id, w.place, e.ref, hops + 1, forward + CAST(e.ref >= e.place AS INT) FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.place = w.at WHERE hops < 12),
+  lv AS (SELECT conv_id, place, CASE WHEN max(hops) < 12 THEN max(forward) END AS level FROM walk GROUP BY 1, 2),
+  r AS (SELECT conv_id, turn, concat('r', conv_id, '-', turn) AS content, CASE WHEN conv_id % 9 = 0 THEN concat('z', turn) ELSE concat('c', turn - 1) END AS id FROM src WHERE role = 'user' AND turn >= 2),
+  f AS (SELECT conv_id, id, arg_min(content, turn) AS result FROM r GROUP BY 1, 2),
+  k AS (SELECT c.conv_id, c.turn, c.place, level, faults, result, concat('{{"arguments":', args, CASE WHEN len(faults) > 0 THEN concat(',"errors":', to_json(faults)) ELSE '' END, CASE WHEN c.id IS NULL THEN '' ELSE concat(',"id":"', c.id, '"') END,
+      CASE WHEN level IS NULL THEN '' ELSE concat(',"level":', level) END, ',"name":"', name, '"', CASE WHEN result IS NULL THEN '' ELSE concat(',"result":"', result, '"') END, '}}') AS j
+    FROM c JOIN lv ON lv.conv_id = c.conv_id AND lv.place = c.place LEFT JOIN f ON f.conv_id = c.conv_id AND f.id = c.id),
+  ck AS (SELECT conv_id, floor(turn / 4096) AS part, count(*) AS n, count(result) AS linked, count(*) FILTER (len(faults) > 0) AS invalid, count(*) FILTER (level IS NULL) AS cyclic, string_agg(j, ',' ORDER BY level NULLS LAST, place) AS j FROM k GROUP BY 1, 2),
+  lost AS (SELECT conv_id, floor(turn / 4096) AS part, count(*) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = r.conv_id AND c.id = r.id) GROUP BY 1, 2),
+  m AS (SELECT conv_id, turn, role, text, concat('{{"content":', to_json(text), ',"role":', to_json(role), ',"turn":', turn, '}}') AS j FROM src
+    UNION ALL SELECT conv_id, turn, 'tool', '', concat('{{"content":"', content, '","role":"tool","tool_call_id":"', id, '","turn":', turn, '}}') FROM r),
+  mk AS (SELECT conv_id, floor(turn / 4096) AS part, count(*) AS n, string_agg(j, ',' ORDER BY turn, role, text) AS j FROM m GROUP BY 1, 2)
+  SELECT mk.conv_id, CAST(mk.part AS BIGINT) AS part, CAST(0 AS BIGINT) AS piece, mk.n AS n_messages, coalesce(ck.n, 0) AS n_calls, coalesce(linked, 0) AS n_linked, coalesce(invalid, 0) AS n_invalid, coalesce(lost.n, 0) AS n_orphans, coalesce(cyclic, 0) AS n_cyclic,
+    concat('{{', CASE WHEN ck.n > 0 THEN concat('"calls":[', ck.j, '],') ELSE '' END, '"conv_id":', mk.conv_id, ',"messages":[', mk.j, ']}}') AS chat
+  FROM mk LEFT JOIN ck ON ck.conv_id = mk.conv_id AND ck.part = mk.part LEFT JOIN lost ON lost.conv_id = mk.conv_id AND lost.part = mk.part"""
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OP7 = f"""WITH b AS (SELECT item_id, w, least({decontam.WIDTH}, len(w)) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
