@@ -47,7 +47,7 @@ HEADER = 8
 CLOSE = 0x0A0D
 ROUNDS = 6
 #: Bytes of records in a range partition, and how many partitions there are at most.
-PARTITION_BYTES, MAX_PARTITIONS = 64 << 20, 50_000
+PARTITION_BYTES, MAX_PARTITIONS = 32 << 20, 50_000
 #: Bit of the number of ids that marks a null id of a document.
 NO_NAME = np.uint32(1 << 31)
 
@@ -142,7 +142,7 @@ def materialise(df: DataFrame, model_path: str, key: int, *, id_col: str = "doc_
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Records of a batch, those for one range together: (range, their slots, the compressed records)."""
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             slots, records = [], []
             for part, first, _, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
