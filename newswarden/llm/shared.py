@@ -51,7 +51,7 @@ def fresh(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.option("parquet.compression.codec.zstd.level", "6").parquet(path, compression=compression)
+    df.write.option("parquet.compression.codec.zstd.level", "12").parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._nw_path = path
     return out
