@@ -55,16 +55,17 @@ class Lexicon:
         "emergency update", "exploit", "exploited", "incident", "malware", "patch", "privilege escalation", "ransomware",
         "remote code execution", "rce", "supply chain", "vulnerability", "zero-day",
     )
-    #: Pairs of low phrases that together weigh more.
+    # Pairs of low phrases that together weigh more.
     pairs: tuple[tuple[str, str], ...] = (
         ("identity", "attack"), ("cloud", "vulnerability"), ("authentication", "bypass"), ("admin", "compromise"),
         ("api", "exposure"), ("account", "takeover"), ("password", "leak"), ("login", "bypass"),
     )
+    # Categories that speak of security.
     categories: tuple[str, ...] = (
         "security", "cybersecurity", "vulnerability", "vulnerabilities", "malware", "ransomware", "zero day", "zero-day", "data breach",
         "threat intelligence", "security advisory", "patch", "incident",
     )
-    #: Source tiers: the first tier with a part of the name wins.
+    # Source tiers; the first tier with a part of the name wins.
     tiers: tuple[tuple[str, tuple[str, ...]], ...] = (
         ("government_cert", ("cisa", "cert")),
         ("official_vendor", ("psirt", "msrc", "security advisories")),
@@ -91,9 +92,9 @@ class Context:
     min_alert_confidence: float = 0.75
     early_hours: int = 24
     suppression_hours: int = 6
-    attach_distance: float = 0.60
-    uncertain_distance: float = 0.65
-    duplicate_distance: float = 0.60
+    attach_distance: float = 0.15
+    uncertain_distance: float = 0.35
+    duplicate_distance: float = 0.18
 
 
 DEFAULT = Context()

@@ -6,10 +6,15 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .context import DEFAULT
+
+#: The random vectors of the tables are far from each other, so the limits of the rungs are wider here than by default.
+FIXTURE = replace(DEFAULT, attach_distance=0.60, uncertain_distance=0.65, duplicate_distance=0.60)
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _T0 = "TIMESTAMP '2024-01-01 00:00:00'"
 VIEWS = {
@@ -59,6 +64,8 @@ def with_views(sql: str, dialect: str = "duckdb") -> str:
     own = ", ".join(f"{v} AS ({VIEWS[v]})" for v in named)
     own = own.replace("AS STRING", "AS VARCHAR")
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {own}, {body[15:]}"
     return f"WITH {own}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {own} {body}"
 
 

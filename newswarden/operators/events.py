@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..context import DEFAULT, Context
 from ..functions import dates, numbers, text
-from . import vectors
+from . import skew, vectors
 
 # Order of severities and urgencies.
 SEVERITY, URGENCY = {"low": 0, "medium": 1, "high": 2, "critical": 3}, {"P4": 0, "P3": 1, "P2": 2, "P1": 3}
@@ -36,27 +36,97 @@ def legacy_overrides(near: DataFrame, facts: DataFrame) -> DataFrame:
     return first.select("query_id", "m.*")
 
 
-def survivors(articles: DataFrame, mode: str = "spec") -> DataFrame:
+def _chains(dated: DataFrame, days: int, array_rows: int) -> DataFrame:
+    """(title_hash, n, chain): of each title the articles that are no duplicates, each over `days` after the last.
+
+    Titles of at most `array_rows` articles are gone through in one sorted array. Of the others, of which there are
+    few, the next survivor is found for all at once, round by round, as many times as `days` fit into their time.
+    """
+    rows = dated.select("title_hash", F.struct(F.col("published_at").alias("at"), F.col("fetched_at").alias("f"), "id").alias("a"))
+    sizes = rows.groupBy("title_hash").agg(F.count("*").alias("n"))
+    later = lambda x, y: dates.hours(x["at"], y["at"]) > 24 * days
+    kind = f"array<{rows.schema['a'].dataType.simpleString()}>"
+    step = lambda acc, x: F.when((F.size(acc) == 0) | later(x, F.element_at(acc, -1)), F.concat(acc, F.array(x))).otherwise(acc)
+    large = sizes.where(F.col("n") > array_rows)
+    frequent = large.collect()
+    small = rows.join(F.broadcast(large.select("title_hash")), "title_hash", "left_anti") if frequent else rows
+    out = small.groupBy("title_hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("a")).alias("all"))
+    out = out.select("title_hash", "n", F.aggregate("all", F.array().cast(kind), step).alias("chain"))
+    if not frequent:
+        return out
+    spark, schema = dated.sparkSession, f"title_hash string, n long, chain {kind}"
+    hot = rows.join(F.broadcast(large.select("title_hash")), "title_hash").persist()
+    found: dict[str, list] = {r.title_hash: [r.a] for r in hot.groupBy("title_hash").agg(F.min("a").alias("a")).collect()}
+    last = {k: v[-1] for k, v in found.items()}
+    while last:
+        ends = spark.createDataFrame(list(last.items()), f"title_hash string, last {rows.schema['a'].dataType.simpleString()}")
+        nexts = hot.join(F.broadcast(ends), "title_hash").where(later(F.col("a"), F.col("last"))).groupBy("title_hash").agg(F.min("a").alias("a")).collect()
+        last = {r.title_hash: r.a for r in nexts}
+        for k, v in last.items():
+            found[k].append(v)
+    hot.unpersist()
+    return out.union(spark.createDataFrame([(r.title_hash, r.n, found[r.title_hash]) for r in frequent], schema))
+
+
+def survivors(articles: DataFrame, mode: str = "spec", *, days: int = 7, array_rows: int = 50_000, hot: int = skew.HOT) -> DataFrame:
     """Exact rungs of the duplicate ladder: adds content_hash, title_hash, duplicate_of and rung.
 
-    Survivor of a content hash, then of a title hash within seven days of it: in
-    spec mode the first by (published_at, fetched_at, id), unknown dates last; in
-    compat mode the last by the same keys descending, as rows handled newest first
-    leave it. Hashes are the shuffle keys and the survivor is an aggregate, so a
-    hash with very many articles doesn't gather in one task.
+    An article without text has no content hash, one without a title no title hash, and neither is a duplicate by it.
+    Survivor of a content hash: in spec mode the first by (published_at, fetched_at, id), unknown dates last; in compat
+    mode the last by the same keys descending, as rows handled newest first leave it. Of the others, one is a duplicate
+    by title if an article that is none was published within `days` before it; without a date it is not.
     """
-    a = articles.withColumns({"content_hash": F.sha2(text.trimmed(F.coalesce("clean_text", F.lit(""))), 256), "title_hash": F.sha2(text.normal_title(F.coalesce("title", F.lit(""))), 256)})
+    body, title = text.trimmed(F.coalesce("clean_text", F.lit(""))), text.normal_title(F.coalesce("title", F.lit("")))
+    a = articles.withColumns({"content_hash": F.when(body != "", F.sha2(body, 256)), "title_hash": F.when(title != "", F.sha2(title, 256))})
     unknown = F.col("published_at").isNull()
     # The survivor is the first dated row in spec mode; compat keeps an undated one if there is any, else the oldest.
     key = F.struct(unknown.alias("u") if mode == "spec" else (~unknown).alias("u"), F.col("published_at").alias("p"), F.col("fetched_at").alias("f"), F.col("id").alias("i"))
-    by_content = a.groupBy("content_hash").agg(F.min(key).alias("k")).select("content_hash", F.col("k.i").alias("content_first"))
-    dated = a.where(F.col("published_at").isNotNull())
-    by_title = dated.groupBy("title_hash").agg(F.min(F.struct("published_at", "fetched_at", "id")).alias("k")).select("title_hash", F.col("k.id").alias("title_first"), F.col("k.published_at").alias("title_at"))
-    out = a.join(by_content, "content_hash").join(by_title, "title_hash", "left")
-    near = F.coalesce((dates.hours(F.col("published_at"), F.col("title_at")) <= 7 * 24) & (F.col("title_first") != F.col("id")), F.lit(False))
-    rung = F.when(F.col("content_first") != F.col("id"), "content_hash").when(near, "title_hash").otherwise("unique")
-    first = F.when(rung == "content_hash", F.col("content_first")).when(rung == "title_hash", F.col("title_first"))
-    return out.withColumns({"rung": rung, "duplicate_of": first}).drop("content_first", "title_first", "title_at")
+    by_content = a.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min(key).alias("k"), F.count("*").alias("n")).select("content_hash", "n", F.col("k.i").alias("content_first"))
+    a = skew.attach(a, by_content, "content_hash", "n", "id", hot)
+    copy = F.coalesce(F.col("content_first") != F.col("id"), F.lit(False))
+    chains = _chains(a.where(~copy & F.col("title_hash").isNotNull() & ~unknown), days, array_rows)
+    out = skew.attach(a, chains, "title_hash", "n", "id", hot)
+    before = lambda c: (c["at"] <= F.col("published_at")) & (dates.hours(F.col("published_at"), c["at"]) <= 24 * days) & (c["id"] != F.col("id"))
+    near = F.get(F.filter("chain", before), F.lit(0))["id"]
+    rung = F.when(copy, "content_hash").when(near.isNotNull(), "title_hash").otherwise("unique")
+    out = out.withColumns({"rung": rung, "duplicate_of": F.when(copy, F.col("content_first")).otherwise(near)})
+    return out.drop("content_first", "chain")
+
+
+def semantic_candidates(queries: DataFrame, vectors_: DataFrame, context: Context = DEFAULT, *, k: int = 5, days: int = 14) -> DataFrame:
+    """(query_id, id, distance, rank) of the nearest articles (id, embedding, published_at) of the last `days`, within the duplicate distance."""
+    recent = dates.hours(dates.moment(context.as_of), F.col("published_at")) < 24 * days
+    return vectors.top_k(queries, vectors_.where(recent).select("id", "embedding"), k).where(F.col("distance") <= context.duplicate_distance)
+
+
+def dedup_ladder(articles: DataFrame, vectors_: DataFrame, asked: Column, context: Context = DEFAULT) -> DataFrame:
+    """The whole ladder for the articles that `asked` holds for, against all: (id, rung, duplicate_of, candidates).
+
+    `vectors_` has id and embedding of one model and length. What no exact rung catches is a semantic candidate if
+    recent articles are near enough; `candidates` are their ids by distance.
+    """
+    exact = survivors(articles)
+    own = exact.where(asked).select("id", "rung", "duplicate_of", "published_at")
+    dated = vectors_.join(articles.select("id", "published_at"), "id")
+    near = semantic_candidates(vectors_.join(own.where("rung = 'unique'").select("id"), "id", "left_semi"), dated, context)
+    near = near.groupBy(F.col("query_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("c")))).alias("n"))
+    out = own.join(near, "id", "left")
+    return out.select("id", F.when(F.col("n").isNotNull(), "semantic_candidate").otherwise(F.col("rung")).alias("rung"), "duplicate_of", F.coalesce(F.transform("n", lambda x: x["c"]), F.array().cast(f"array<{articles.schema['id'].dataType.simpleString()}>")).alias("candidates"))
+
+
+def open_match(drafts: DataFrame, events: DataFrame) -> DataFrame:
+    """Key rung against events there are: adds `key_event`, the open event of the grouping key seen last; the unknown key has none."""
+    last = events.where("event_status = 'open' and grouping_key <> 'unknown'").groupBy("grouping_key").agg(F.max_by("id", F.struct("last_seen_at", "id")).alias("key_event"))
+    sizes = drafts.groupBy("grouping_key").agg(F.count("*").alias("n"))
+    return skew.attach(drafts, last.join(sizes, "grouping_key"), "grouping_key", "n", "article_id")
+
+
+def event_vectors(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """(event_id, article_id, embedding): the vector of an event is that of its first article (by link time, id) in status EMBEDDED, GROUPED or CLASSIFIED, else of its first."""
+    ready = ~F.col("status").isin("EMBEDDED", "GROUPED", "CLASSIFIED")
+    member = links.join(articles.select(F.col("id").alias("article_id"), "status", "embedding"), "article_id").where(F.col("embedding").isNotNull())
+    first = member.groupBy("event_id").agg(F.min_by(F.struct("article_id", "embedding"), F.struct(ready.alias("late"), "created_at", "article_id")).alias("m"))
+    return first.select("event_id", "m.*")
 
 
 def group_by_key(drafts: DataFrame) -> DataFrame:
@@ -135,8 +205,10 @@ def recent_alerts(alerts: DataFrame, links: DataFrame, context: Context = DEFAUL
     return last.join(newest, "event_id", "left").select("event_id", F.col("a.alert_tier").alias("recent_tier"), F.col("a.created_at").alias("alerted_at"), F.coalesce(F.col("updated_at") > F.col("a.created_at"), F.lit(False)).alias("material"))
 
 
-def nearest_events(articles: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
-    return vectors.top_k(articles, events, k)
+def nearest_events(queries: DataFrame, events: DataFrame, context: Context = DEFAULT, *, k: int = 3, days: int = 30) -> DataFrame:
+    """(query_id, id, distance, rank) of the nearest events (id, embedding, last_seen_at) that were seen in the last `days`."""
+    recent = dates.hours(dates.moment(context.as_of), F.col("last_seen_at")) < 24 * days
+    return vectors.top_k(queries, events.where(recent).select("id", "embedding"), k, exclude_same=False)
 
 
 def processing_order() -> list[Column]:

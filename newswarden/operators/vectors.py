@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 
-#: Blocks in which the searched side is dealt; every query row meets every block.
-BLOCKS = 16
+#: Blocks in which the searched side is dealt, for each task that runs at once; every query row meets every block.
+BLOCKS = 2
 
 
-def top_k(queries: DataFrame, base: DataFrame, k: int, *, blocks: int = BLOCKS, exclude_same: bool = True) -> DataFrame:
+def top_k(queries: DataFrame, base: DataFrame, k: int, *, blocks: int | None = None, exclude_same: bool = True) -> DataFrame:
     """(query_id, id, distance, rank) of the k nearest rows of `base` (id, embedding) for each of `queries` (id, embedding).
 
     `queries` is the stated query set. Both sides are scaled to length one first, so
@@ -19,6 +19,7 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, *, blocks: int = BLOCKS,
     query is sent to every block; each block keeps k rows per query before the rest
     of the ranking, so what is shuffled is queries x blocks x k.
     """
+    blocks = blocks or max(16, BLOCKS * queries.sparkSession.sparkContext.defaultParallelism)
     q = queries.select(F.col("id").alias("query_id"), numbers.unit(F.col("embedding")).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     b = base.select("id", numbers.unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     met = q.join(b, "block")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..context import AS_OF, DEFAULT
+from ..fixtures import FIXTURE
 from ..functions import dates, numbers
 from ..operators import entities, events, filtering, latest, monitoring, vectors
 from .registry import query
-from .text import CVES, FORM, TIER, _found
+from .text import CVES, FORM, TIER, _found, _list
 
 _C = F.col
 _LEX = DEFAULT.lexicon
@@ -88,58 +91,98 @@ def _(t):
     return filtering.signals(t.articles).select("id", F.size("s.vendors").alias("vendors"), F.size("s.products").alias("products"))
 
 
-@query("k_08_entities")
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+_ZONE_VALUES = (("title", 1.0), ("summary", 0.9), ("lead", 0.8), ("body", 0.6), ("tail", 0.3))
+_KINDS = {
+    "vendor": "[" + ", ".join(f"CASE WHEN {v} THEN '{p.vendor}' END" for p, _, v in _ITEMS) + "]",
+    "product": "[" + ", ".join(f"CASE WHEN {i} THEN '{p.product}' END" for p, i, _ in _ITEMS) + "]",
+    "cve": CVES.format("txt"),
+    "ioc_ip": rf"regexp_extract_all(txt, '\b(?:{_OCTET}\.){{3}}{_OCTET}\b')",
+    "ioc_domain": r"list_transform(regexp_extract_all(txt, '(?i)(?:^|[^a-z0-9_])((?:[a-z0-9-]+\.)+[a-z]{2,})\b', 1), lambda x: lower(x))",
+    "ioc_hash": r"list_transform(regexp_extract_all(txt, '(?i)\b(?:[a-f0-9]{64}|[a-f0-9]{40}|[a-f0-9]{32})\b'), lambda x: lower(x))",
+    "attack_type": f"list_filter({_list(_LEX.flat)}, lambda w: contains(lower(txt), w))",
+}
+#: Entities of articles: zones, what is found in all of them, and the confidence by zones.
+_ENT = f"""zo AS (SELECT id, coalesce(title, '') AS z_title, coalesce(rss_summary, '') AS z_summary, substring(b, 1, 500) AS z_lead, CASE WHEN length(b) > 900 THEN substring(b, 501, length(b) - 900) ELSE substring(b, 501) END AS z_body, CASE WHEN length(b) > 900 THEN right(b, 400) ELSE '' END AS z_tail
+    FROM (SELECT *, trim(coalesce(clean_text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS b FROM v_articles)),
+  fo AS (SELECT *, {", ".join(f"list_distinct(list_filter({v}, lambda x: x IS NOT NULL)) AS k_{k}" for k, v in _KINDS.items())} FROM (SELECT *, concat_ws(chr(10), z_title, z_summary, z_lead, z_body, z_tail) AS txt FROM zo)),
+  va AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT id, '{k}' AS entity_type, unnest(k_{k}) AS entity_value FROM fo" for k in _KINDS)})),
+  oc AS (SELECT va.*, len(k_cve) > 0 OR len(k_attack_type) > 0 AS corroborated, {", ".join(f"len(regexp_extract_all(z_{z}, '(?i)(^|[^a-z0-9])' || regexp_escape(entity_value) || '([^a-z0-9]|$)')) AS t_{z}" for z, _ in _ZONE_VALUES)} FROM va JOIN fo ON fo.id = va.id),
+  lo AS (SELECT *, greatest({", ".join(f"CASE WHEN t_{z} > 0 THEN {w} ELSE 0 END" for z, w in _ZONE_VALUES)}) + CASE WHEN t_title + t_summary + t_lead + t_body + t_tail >= 2 THEN 0.1 ELSE 0 END AS loose FROM oc),
+  ent AS (SELECT DISTINCT id AS article_id, entity_type, entity_value, CASE WHEN entity_type IN ('vendor', 'product') THEN 'unknown' END AS role,
+    CAST(floor(CASE WHEN entity_type = 'cve' OR starts_with(entity_type, 'ioc_') THEN CASE WHEN t_tail > 0 AND t_title + t_summary + t_lead + t_body = 0 THEN 0.6 ELSE 0.95 END
+      WHEN entity_type IN ('vendor', 'product') AND NOT corroborated THEN least(loose, 0.45) ELSE least(loose, 1.0) END * 100 + 0.5) AS DOUBLE) / 100 AS confidence FROM lo),
+  dl AS (SELECT article_id, {", ".join(f"list_sort(coalesce(list(entity_value) FILTER (entity_type = '{k}'), [])) AS {n}" for k, n in (("vendor", "vendors"), ("product", "products"), ("cve", "cves"), ("attack_type", "attacks")))} FROM ent WHERE confidence >= 0.5 GROUP BY 1),
+  dr AS (SELECT *, CASE WHEN severe OR len(cves) > 0 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN severe THEN 'P1' WHEN len(cves) > 0 THEN 'P2' ELSE 'P3' END AS urgency,
+    concat(CASE WHEN subject = '' THEN 'Unknown cyber event' ELSE subject END, CASE WHEN len(cves) > 0 THEN ' vulnerability report' ELSE ' cyber report' END) AS title,
+    CASE WHEN len(cves) > 0 THEN 'cve:' || array_to_string(list_sort(list_transform(cves, lambda x: lower(x))), '|') WHEN rest = '' THEN 'unknown' ELSE rest END AS grouping_key
+    FROM (SELECT *, list_has_any(attacks, ['active exploitation', 'zero-day', 'ransomware', 'breach']) AS severe, coalesce(array_to_string((vendors || products || cves)[1:3], ' / '), '') AS subject,
+      concat_ws('::', nullif(array_to_string(list_sort(list_transform(vendors || products, lambda x: lower(x))), '|'), ''), nullif(array_to_string(list_sort(attacks), '|'), '')) AS rest FROM dl))"""
+
+
+@query("k_08_entities", f"WITH {_ENT} SELECT * FROM ent")
 def _(t):
     return entities.extract(t.articles)
 
 
-@query("k_07_entity_confidence", r"""SELECT id AS article_id, upper(regexp_extract(title, '(?i)\b(CVE-[0-9]{4}-[0-9]{4,})\b', 1)) AS entity_value, 0.95 AS confidence FROM v_articles WHERE regexp_matches(title, '(?i)\bCVE-[0-9]{4}-[0-9]{4,}\b')""")
+@query("k_07_entity_confidence", f"WITH {_ENT} SELECT entity_type, confidence, count(*) AS n FROM ent GROUP BY ALL")
 def _(t):
-    return entities.extract(t.articles).where("entity_type = 'cve'").select("article_id", "entity_value", "confidence")
+    return entities.extract(t.articles).groupBy("entity_type", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("k_08_vendor_counts", """SELECT vendor AS entity_value, count(*) AS n FROM (SELECT v.vendor FROM (SELECT array_to_string([title, rss_summary, clean_text], chr(10)) AS txt FROM v_articles) JOIN v_inventory v
-  ON regexp_matches(txt, '(?i)(^|[^a-z0-9])(' || v.vendor || '|' || v.product || '|' || v.alias || ')([^a-z0-9]|$)')) GROUP BY ALL""")
+@query("k_08_vendor_counts", f"WITH {_ENT} SELECT entity_value, count(*) AS n FROM ent WHERE entity_type = 'vendor' GROUP BY 1")
 def _(t):
     return entities.extract(t.articles).where("entity_type = 'vendor'").groupBy("entity_value").agg(F.count("*").alias("n"))
 
 
+@query("r_01_values_by_type", f"WITH {_ENT} SELECT article_id, entity_type, array_to_string(list_sort(list(entity_value)), ',') AS found FROM ent GROUP BY 1, 2")
+def _(t):
+    return entities.extract(t.articles).groupBy("article_id", "entity_type").agg(F.array_join(F.sort_array(F.collect_set("entity_value")), ",").alias("found"))
+
+
+@query("r_02_labels", f"WITH {_ENT} SELECT article_id, entity_type, array_to_string(list_sort(list(concat(entity_value, CASE WHEN role IS NOT NULL THEN ' (' || role || ')' ELSE '' END, ' · ', CAST(CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS VARCHAR), '%'))), '; ') AS labels FROM ent GROUP BY 1, 2")
+def _(t):
+    label = F.concat("entity_value", F.coalesce(F.concat(F.lit(" ("), "role", F.lit(")")), F.lit("")), F.lit(" · "), F.floor(_C("confidence") * 100 + 0.5).cast("string"), F.lit("%"))
+    return entities.extract(t.articles).groupBy("article_id", "entity_type").agg(F.array_join(F.sort_array(F.collect_list(label)), "; ").alias("labels"))
+
+
 @query("k_09_cross_check", "SELECT doc_id, floor(CASE WHEN toxic = 1 THEN 0.8 * 0.4 WHEN quality = 1 THEN least(1.0, 0.8 + 0.2) ELSE 0.8 END * 100 + 0.5) / 100 AS confidence FROM labels")
 def _(t):
     role = F.when(_C("toxic") == 1, "unrelated").when(_C("quality") == 1, "affected")
     return t.labels.select("doc_id", entities.cross_checked(F.lit(0.8), role).alias("confidence"))
 
 
-@query("t_11_mentions")
+@query("t_11_mentions", rf"""WITH z AS (SELECT id, 'title' AS zone, title AS txt FROM v_articles UNION ALL SELECT id, 'summary', rss_summary FROM v_articles UNION ALL SELECT id, 'body', clean_text FROM v_articles),
+  f AS (SELECT id, zone, txt, unnest(list_distinct({CVES.format('txt')})) AS cve_id FROM z WHERE txt IS NOT NULL), p AS (SELECT *, instr(upper(txt), cve_id) - 1 AS start FROM f),
+  q AS (SELECT *, greatest(start - 60, 0) AS b FROM p), r AS (SELECT *, substring(txt, b + 1, start - b + length(cve_id) + 60) AS raw FROM q),
+  s AS (SELECT *, CASE WHEN b > 0 THEN regexp_replace(raw, '^\S*\s', '') ELSE raw END AS s1 FROM r)
+  SELECT id AS article_id, zone, cve_id, CAST(start AS BIGINT) AS start, trim(CASE WHEN b + length(raw) >= length(txt) THEN s1 ELSE regexp_replace(s1, '\s\S*$', '') END, chr(32) || chr(9) || chr(10) || chr(13)) AS snippet FROM s""")
 def _(t):
     return entities.mentions(t.articles)
 
 
-@query("t_11_mention_offsets", r"""SELECT id AS article_id, CAST(instr(upper(title), 'CVE-') - 1 AS BIGINT) AS start FROM v_articles WHERE regexp_matches(title, '(?i)\bCVE-[0-9]{4}-[0-9]{4,}\b')""")
-def _(t):
-    return entities.mentions(t.articles).where("zone = 'title'").select("article_id", "start")
-
-
-@query("t_19_grouping_key")
+@query("t_19_grouping_key", f"WITH {_ENT} SELECT article_id, grouping_key FROM dr")
 def _(t):
     return entities.drafts(entities.extract(t.articles)).select("article_id", "grouping_key")
 
 
-@query("t_20_event_drafts")
+@query("t_20_event_drafts", f"WITH {_ENT} SELECT article_id, title, severity, urgency FROM dr")
 def _(t):
-    d = entities.drafts(entities.extract(t.articles))
-    return d.groupBy("severity", "urgency").agg(F.count("*").alias("n"))
+    return entities.drafts(entities.extract(t.articles)).select("article_id", "title", "severity", "urgency")
 
 
-_A = "(SELECT id, published_at, fetched_at, trim(clean_text, chr(32) || chr(9) || chr(10) || chr(13)) AS body, lower(trim(title, chr(32) || chr(9) || chr(10) || chr(13))) AS t FROM v_articles)"
+_A = "(SELECT id, published_at, fetched_at, trim(coalesce(clean_text, ''), chr(32) || chr(9) || chr(10) || chr(13)) AS body, lower(trim(coalesce(title, ''), chr(32) || chr(9) || chr(10) || chr(13))) AS t FROM v_articles)"
+#: Survivors of a title by stepping from one to the next: the first article over seven days after it that is no copy.
+_LADDER = """a AS (SELECT id, published_at, fetched_at, body, regexp_replace(translate(t, '“”‘’', chr(34) || chr(34) || chr(39) || chr(39)), '\\s+', ' ', 'g') AS t FROM <A>),
+  c AS (SELECT *, CASE WHEN body <> '' THEN first_value(id) OVER (PARTITION BY body ORDER BY published_at ASC NULLS <NULLS>, fetched_at, id) END AS c1 FROM a),
+  ok AS (SELECT t, {'at': published_at, 'f': fetched_at, 'id': id} AS s FROM c WHERE (c1 IS NULL OR c1 = id) AND t <> '' AND published_at IS NOT NULL),
+  chain AS (SELECT t, min(s) AS s FROM ok GROUP BY t UNION ALL SELECT chain.t, min(ok.s) FROM chain JOIN ok ON ok.t = chain.t AND ok.s.at > chain.s.at + INTERVAL 7 DAY GROUP BY chain.t, chain.s),
+  ex AS (SELECT c.id, c.published_at, CASE WHEN c1 <> c.id THEN 'content_hash' WHEN x.s IS NOT NULL THEN 'title_hash' ELSE 'unique' END AS rung, CASE WHEN c1 <> c.id THEN c1 ELSE x.s.id END AS duplicate_of
+    FROM c LEFT JOIN chain x ON x.t = c.t AND (c1 IS NULL OR c1 = c.id) AND x.s.at <= c.published_at AND c.published_at <= x.s.at + INTERVAL 7 DAY AND x.s.id <> c.id)""".replace("<A>", _A)
 
 
 def _dedup_sql(undated_last: bool) -> str:
-    return f"""WITH a AS (SELECT id, published_at, fetched_at, body, regexp_replace(t, '\\s+', ' ', 'g') AS t FROM {_A}),
-  c AS (SELECT *, first_value(id) OVER (PARTITION BY body ORDER BY published_at ASC NULLS {'LAST' if undated_last else 'FIRST'}, fetched_at, id) AS c1 FROM a),
-  ti AS (SELECT t, arg_min(id, (published_at, fetched_at, id)) AS t1, min(published_at) AS at1 FROM a WHERE published_at IS NOT NULL GROUP BY t)
-  SELECT c.id, CASE WHEN c1 <> c.id THEN 'content_hash' WHEN t1 <> c.id AND epoch(published_at) - epoch(at1) <= 604800 THEN 'title_hash' ELSE 'unique' END AS rung,
-    CASE WHEN c1 <> c.id THEN c1 WHEN t1 <> c.id AND epoch(published_at) - epoch(at1) <= 604800 THEN t1 END AS duplicate_of FROM c LEFT JOIN ti ON ti.t = c.t"""
+    return f"WITH RECURSIVE {_LADDER.replace('<NULLS>', 'LAST' if undated_last else 'FIRST')} SELECT id, rung, duplicate_of FROM ex"
 
 
 @query("k_10_dedup_spec", _dedup_sql(True))
@@ -152,25 +195,72 @@ def _(t):
     return events.survivors(t.articles, "compat").select("id", "rung", "duplicate_of")
 
 
-@query("k_10_semantic_duplicates", f"""WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, floor(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 1000000 + 0.5) / 1000000 AS distance FROM q JOIN embeddings b ON b.vec_id <> q.vec_id)
-  SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5 AND distance <= {DEFAULT.duplicate_distance}""")
+_DISTANCE = "floor(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 1000000 + 0.5) / 1000000"
+_WITHIN = "epoch({0}) - epoch({1}) < {2} * 86400"
+#: A time at which about half of the articles with vectors are of the last 14 days.
+_LATER = replace(FIXTURE, as_of="2024-01-20 00:00:00")
+_MID = f"TIMESTAMP '{_LATER.as_of}'"
+
+
+@query("k_10_ladder", f"""WITH RECURSIVE {_LADDER.replace('<NULLS>', 'LAST')},
+  q AS (SELECT e.vec_id, e.embedding FROM embeddings e JOIN ex ON ex.id = e.vec_id WHERE e.vec_id % 100 = 0 AND rung = 'unique'),
+  b AS (SELECT e.vec_id, e.embedding FROM embeddings e JOIN v_articles ar ON ar.id = e.vec_id WHERE {_WITHIN.format(_MID, 'published_at', 14)}),
+  d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, {_DISTANCE} AS distance FROM q JOIN b ON b.vec_id <> q.vec_id),
+  n AS (SELECT query_id, array_to_string(list(id ORDER BY rank), ',') AS candidates FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5 AND distance <= {FIXTURE.duplicate_distance} GROUP BY 1)
+  SELECT ex.id, CASE WHEN n.query_id IS NOT NULL THEN 'semantic_candidate' ELSE rung END AS rung, duplicate_of, coalesce(candidates, '') AS candidates FROM ex LEFT JOIN n ON n.query_id = ex.id WHERE ex.id % 100 = 0""")
 def _(t):
-    e = t.embeddings.select(_C("vec_id").alias("id"), "embedding")
-    return vectors.top_k(e.where("id % 100 = 0"), e, 5).where(_C("distance") <= DEFAULT.duplicate_distance).select("query_id", "id")
+    """The whole ladder for the stated query set (ids divisible by 100) against all articles."""
+    v = t.embeddings.select(_C("vec_id").alias("id"), "embedding")
+    found = events.dedup_ladder(t.articles, v, _C("id") % 100 == 0, _LATER)
+    return found.select("id", "rung", "duplicate_of", F.array_join("candidates", ",").alias("candidates"))
 
 
-@query("k_11_key_grouping", r"""WITH k AS (SELECT id, regexp_extract(lower(title), '(cve-[0-9]{4}-[0-9]{4,})', 1) AS key FROM v_articles), f AS (SELECT key, min(id) AS creator, count(*) AS n FROM k WHERE key <> '' GROUP BY key)
-  SELECT k.id AS article_id, f.creator, CASE WHEN f.creator = k.id THEN 'create' ELSE 'attach' END AS kind FROM k JOIN f ON f.key = k.key""")
+@query("k_11_key_grouping", f"WITH {_ENT}, k AS (SELECT article_id, CASE WHEN grouping_key = 'unknown' THEN 'unknown:' || article_id ELSE grouping_key END AS key FROM dr), f AS (SELECT key, min(article_id) AS creator FROM k GROUP BY 1) SELECT article_id, creator, CASE WHEN creator = article_id THEN 'create' ELSE 'attach' END AS kind FROM k JOIN f ON f.key = k.key")
 def _(t):
-    d = entities.drafts(entities.extract(t.articles)).where(F.startswith("grouping_key", F.lit("cve:")))
-    return events.group_by_key(d).select("article_id", "creator", "kind")
+    return events.group_by_key(entities.drafts(entities.extract(t.articles))).select("article_id", "creator", "kind")
+
 
+#: Events with a grouping key, a status and the time they were last seen; the vector of each is its first article's.
+_OPEN = """eo AS (SELECT id, concat('k', CAST(id % 7 AS VARCHAR)) AS grouping_key, CASE WHEN id % 3 = 0 THEN 'closed' ELSE 'open' END AS event_status, first_seen_at AS last_seen_at FROM v_cyber_events),
+  em AS (SELECT ea.event_id, ea.article_id, ea.created_at, a.status IN ('EMBEDDED', 'GROUPED', 'CLASSIFIED') AS ready, e.embedding FROM v_event_articles ea JOIN v_articles a ON a.id = ea.article_id JOIN embeddings e ON e.vec_id = ea.article_id),
+  ev AS (SELECT event_id, arg_min(article_id, (NOT ready, created_at, article_id)) AS article_id, arg_min(embedding, (NOT ready, created_at, article_id)) AS embedding FROM em GROUP BY 1)"""
 
-@query("k_11_grouping_ladder", f"""SELECT vec_id, CASE WHEN label < 3 AND vec_id % 2 = 0 THEN 'attach' WHEN d <= {DEFAULT.attach_distance} THEN 'attach' WHEN d <= {DEFAULT.uncertain_distance} THEN 'uncertain' ELSE 'create' END AS kind,
-  CASE WHEN label < 3 AND vec_id % 2 = 0 THEN 0.9 WHEN d <= {DEFAULT.attach_distance} THEN 0.75 END AS confidence FROM (SELECT vec_id, label, (vec_id % 100) / 100.0 AS d FROM embeddings)""")
+
+def _open_events(t):
+    e = t.cyber_events.select("id", F.concat(F.lit("k"), (_C("id") % 7).cast("string")).alias("grouping_key"), F.when(_C("id") % 3 == 0, "closed").otherwise("open").alias("event_status"), _C("first_seen_at").alias("last_seen_at"))
+    a = t.articles.select("id", "status").join(t.embeddings.select(_C("vec_id").alias("id"), "embedding"), "id")
+    return e, events.event_vectors(t.event_articles, a)
+
+
+@query("v_04_event_vector", f"WITH {_OPEN} SELECT event_id, article_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM ev")
 def _(t):
-    c = t.embeddings.select("vec_id", F.lit("k").alias("grouping_key"), F.when((_C("label") < 3) & (_C("vec_id") % 2 == 0), _C("label")).alias("key_event"), _C("label").alias("near_event"), ((_C("vec_id") % 100) / 100.0).alias("distance"))
-    return events.decide_grouping(c).select("vec_id", "kind", "confidence")
+    return _open_events(t)[1].select("event_id", "article_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+@query("k_11_open_match", f"WITH {_OPEN} SELECT v.vec_id AS article_id, x.id AS key_event FROM (SELECT vec_id, concat('k', CAST(vec_id % 11 AS VARCHAR)) AS k FROM embeddings) v LEFT JOIN (SELECT grouping_key, arg_max(id, (last_seen_at, id)) AS id FROM eo WHERE event_status = 'open' GROUP BY 1) x ON x.grouping_key = v.k")
+def _(t):
+    d = t.embeddings.select(_C("vec_id").alias("article_id"), F.concat(F.lit("k"), (_C("vec_id") % 11).cast("string")).alias("grouping_key"))
+    return events.open_match(d, _open_events(t)[0]).select("article_id", "key_event")
+
+
+_NEAR = f"""nv AS (SELECT ev.event_id AS vec_id, ev.embedding FROM ev JOIN eo ON eo.id = ev.event_id WHERE {_WITHIN.format(_NOW, 'last_seen_at', 30)}),
+  nd AS (SELECT q.vec_id AS query_id, b.vec_id AS id, {_DISTANCE} AS distance FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, nv b),
+  ne AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM nd QUALIFY rank <= 3)"""
+
+
+@query("k_11_grouping_ladder", f"""WITH {_OPEN}, {_NEAR}, q AS (SELECT vec_id, concat('k', CAST(vec_id % 11 AS VARCHAR)) AS k FROM embeddings WHERE vec_id % 100 = 0),
+  m AS (SELECT q.vec_id, x.id AS key_event, ne.id AS near_event, distance AS d FROM q LEFT JOIN (SELECT grouping_key, arg_max(id, (last_seen_at, id)) AS id FROM eo WHERE event_status = 'open' GROUP BY 1) x ON x.grouping_key = q.k LEFT JOIN ne ON ne.query_id = q.vec_id AND ne.rank = 1)
+  SELECT vec_id, CASE WHEN key_event IS NOT NULL OR d <= {FIXTURE.attach_distance} THEN 'attach' WHEN d <= {FIXTURE.uncertain_distance} THEN 'uncertain' ELSE 'create' END AS kind,
+    CASE WHEN key_event IS NOT NULL THEN key_event WHEN d <= {FIXTURE.uncertain_distance} THEN near_event END AS event, CASE WHEN key_event IS NOT NULL THEN 0.9 WHEN d <= {FIXTURE.attach_distance} THEN 0.75 END AS confidence FROM m""")
+def _(t):
+    """Key match on an open event, else the nearest of the last 30 days, for the stated query set (ids divisible by 100)."""
+    e, vector = _open_events(t)
+    asked = t.embeddings.where("vec_id % 100 = 0")
+    d = events.open_match(asked.select(_C("vec_id").alias("article_id"), F.concat(F.lit("k"), (_C("vec_id") % 11).cast("string")).alias("grouping_key")), e)
+    seen = vector.select(_C("event_id").alias("id"), "embedding").join(e.select("id", "last_seen_at"), "id")
+    near = events.nearest_events(asked.select(_C("vec_id").alias("id"), "embedding"), seen, FIXTURE).where("rank = 1")
+    c = d.join(near.select(_C("query_id").alias("article_id"), _C("id").alias("near_event"), "distance"), "article_id", "left")
+    return events.decide_grouping(c, FIXTURE).select(_C("article_id").alias("vec_id"), "kind", "event", "confidence")
 
 
 @query("k_12_comparator", "SELECT doc_id, CASE WHEN quality = 1 THEN 'attach' ELSE 'create' END AS kind, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 'same_event_material_update' ELSE 'same_event_new_source' END END AS relationship FROM labels")
@@ -196,8 +286,6 @@ _RECENT = f"""ra AS (SELECT event_id, arg_max(alert_tier, (created_at, id)) AS r
   SELECT id, CASE WHEN vendor IS NULL THEN 'no_affected_vendor' WHEN recent_tier IS NOT NULL AND material THEN 'material_update_bypasses_suppression' WHEN recent_tier = 'early_warning' AND confirmed THEN 'upgraded_to_confirmed'
     WHEN recent_tier IS NOT NULL THEN 'recent_alert_suppression' WHEN confirmed THEN 'confirmed_vendor_impact_event' WHEN early THEN 'early_warning_unconfirmed_signal' ELSE 'stale_event_below_confirmed_gate' END AS reason FROM x""")
 def _(t):
-    from dataclasses import replace
-
     wide = replace(DEFAULT, suppression_hours=120)
     e = t.cyber_events.join(events.recent_alerts(t.alerts, t.event_articles, wide), _C("id") == _C("event_id"), "left").withColumn("material", F.coalesce("material", F.lit(False)))
     return events.decide_alerts(e, wide).select("id", "reason")
@@ -236,8 +324,6 @@ def _(t):
 
 @query("w_06_recent_alert", f"WITH {_RECENT} SELECT event_id, recent_tier FROM ra")
 def _(t):
-    from dataclasses import replace
-
     return events.recent_alerts(t.alerts, t.event_articles, replace(DEFAULT, suppression_hours=120)).select("event_id", "recent_tier")
 
 
@@ -313,13 +399,6 @@ def _(t):
     return t.case_articles.where("state <> 'human_rejected'").groupBy("case_id").agg(F.min("article_id").alias("first_article"), F.count("*").alias("links"))
 
 
-@query("k_24_legacy_overlap", "SELECT a.id AS a, b.id AS b FROM v_articles a JOIN v_articles b ON b.id = a.id + 50 AND a.title = b.title WHERE a.title LIKE '%CVE-%'")
-def _(t):
-    a = t.articles.where("title like '%CVE-%'")
-    b = a.select((_C("id") - 50).alias("a"), _C("id").alias("b"), _C("title").alias("other"))
-    return a.join(b, (_C("id") == _C("a")) & (_C("title") == _C("other"))).select("a", "b")
-
-
 @query("k_24_legacy_overrides")
 def _(t):
     # The type of an event is its first attack word, in place of a model's judgement.
@@ -385,20 +464,24 @@ def _(t):
     return monitoring.latency(t.alerts, t.event_articles, t.articles).select("sampled", F.round("p50_hours", 6).alias("p50_hours"), F.round("p90_hours", 6).alias("p90_hours"), "breaches", "slo_violated")
 
 
-_KNN = "d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, floor((1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) * 1000000 + 0.5) / 1000000 AS distance FROM embeddings q JOIN embeddings b ON b.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0{0})"
-
-
-@query("v_03_top_k", f"WITH {_KNN.format('')} SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5")
+@query("v_03_top_k", f"""WITH b AS (SELECT e.vec_id, e.embedding FROM embeddings e JOIN v_articles a ON a.id = e.vec_id WHERE {_WITHIN.format(_MID, 'published_at', 14)}),
+  d AS (SELECT q.vec_id AS query_id, b.vec_id AS id, {_DISTANCE} AS distance FROM embeddings q JOIN b ON b.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+  SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5""")
 def _(t):
+    """Articles of the last 14 days, for the stated query set (ids divisible by 100)."""
     e = t.embeddings.select(_C("vec_id").alias("id"), "embedding")
-    return vectors.top_k(e.where("id % 100 = 0"), e, 5).select("query_id", "id", _C("rank").cast("long").alias("rank"))
+    recent = dates.hours(dates.moment(_LATER.as_of), _C("published_at")) < 14 * 24
+    base = e.join(t.articles.where(recent).select("id"), "id", "left_semi")
+    return vectors.top_k(e.where("id % 100 = 0"), base, 5).select("query_id", "id", _C("rank").cast("long").alias("rank"))
 
 
-@query("j_12_top_k_eligible", f"WITH {_KNN.format(' AND b.vec_id % 50 <> 0')} SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 3")
+@query("j_12_top_k_eligible", f"WITH {_OPEN}, {_NEAR} SELECT query_id, id, rank FROM ne")
 def _(t):
-    v = t.vectors
-    base = vectors.eligible(v, "model-a", 64).select(_C("vec_id").alias("id"), "embedding")
-    return vectors.top_k(v.where("vec_id % 100 = 0").select(_C("vec_id").alias("id"), "embedding"), base, 3).select("query_id", "id", _C("rank").cast("long").alias("rank"))
+    """Events of the last 30 days whose vector is of the same model and length, for the stated query set (ids divisible by 100)."""
+    e, vector = _open_events(t)
+    seen = vectors.eligible(vector.withColumn("embedding_model", F.lit("model-a")), "model-a", 64).select(_C("event_id").alias("id"), "embedding").join(e.select("id", "last_seen_at"), "id")
+    asked = t.embeddings.where("vec_id % 100 = 0").select(_C("vec_id").alias("id"), "embedding")
+    return events.nearest_events(asked, seen).select("query_id", "id", _C("rank").cast("long").alias("rank"))
 
 
 @query("p_12_eligible_vectors", "SELECT count(*) AS n FROM embeddings WHERE vec_id % 50 <> 0 AND len(embedding) = 64")
@@ -412,11 +495,6 @@ def _(t):
     return pair.groupBy("label").agg(F.round(F.avg(numbers.cosine_distance(_C("embedding"), _C("b"))), 4).alias("mean"))
 
 
-@query("v_04_event_vector", "SELECT label, arg_min(vec_id, vec_id) AS first_article FROM embeddings GROUP BY 1")
-def _(t):
-    return t.embeddings.groupBy("label").agg(F.min_by("vec_id", "vec_id").alias("first_article"))
-
-
 @query("d_04_epoch_difference", "SELECT user_id, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS seconds FROM events GROUP BY 1")
 def _(t):
     return t.events.groupBy("user_id").agg(F.round(dates.hours(F.max("ts"), F.min("ts")) * 3600).cast("long").alias("seconds"))

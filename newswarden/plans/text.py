@@ -287,22 +287,6 @@ def _(t):
     return t.articles.select("id", (F.lit(9999999999999) - F.unix_millis("published_at")).alias("recency"))
 
 
-@query("r_01_values_by_type")
-def _(t):
-    from ..operators.entities import extract
-
-    return extract(t.articles).groupBy("article_id", "entity_type").agg(F.array_join(F.sort_array(F.collect_set("entity_value")), ",").alias("found"))
-
-
-@query("r_02_labels")
-def _(t):
-    from ..operators.entities import extract
-
-    e = extract(t.articles)
-    label = F.concat("entity_value", F.coalesce(F.concat(F.lit(" ("), "role", F.lit(")")), F.lit("")), F.format_string(" · %.0f%%", _T("confidence") * 100))
-    return e.groupBy("article_id", "entity_type").agg(F.array_join(F.sort_array(F.collect_list(label)), "; ").alias("labels"))
-
-
 @query("r_04_nested_choice", "SELECT event_id, coalesce(CASE WHEN event_type = 'click' THEN value END, CASE WHEN event_type = 'view' THEN value / 2 END) AS base FROM events")
 def _(t):
     v = t.events.select("event_id", F.struct(F.struct(F.when(_T("event_type") == "click", _T("value")).alias("base")).alias("v3"), F.struct(F.when(_T("event_type") == "view", _T("value") / 2).alias("base")).alias("v2")).alias("v"))
