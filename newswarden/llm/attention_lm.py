@@ -3,13 +3,16 @@
 Texts are lower-cased (A-Z) and cut into words at white space; a word's subword ids
 come from a public vocabulary, word by word, and a text is the ids of its words and
 an end. The model factors an id's probability into its class given the ids before,
-by attention, and the id given its class, by counts over all training texts.
+by attention, and the id given its class and the id before, by counts over all
+training texts.
 
 * Attention: ids have embeddings; a window of `WINDOW` inputs is scored at once by
   masked attention with a bias per distance. Windows overlap: each begins `STRIDE`
   inputs after the last, and of each but the first only the last `STRIDE` inputs
   predict, so each id is predicted once, with at least `WINDOW - STRIDE` ids before.
 * Classes group ids by the counts of their neighbours in all training texts.
+* The id given its class mixes two counts of all training texts: how often it stands in
+  its class, and how often behind ids of the group (of `CONTEXTS`) of the one before it.
 * Its weights start from windows drawn by hash from `max_docs` training texts, on the
   driver. From there every partition learns from all windows of all its training
   texts, and the weights are averaged: by windows, and of each embedding by how often
@@ -42,7 +45,7 @@ from pyspark.sql import types as T
 from . import ragged as R
 from . import shared, sp_bpe
 
-WINDOW, STRIDE = 16, 12
+WINDOW, STRIDE = 32, 28
 WIDTH, CLASSES = 8, 32
 #: Texts from whose windows the weights start, and how many windows are drawn.
 MAX_DOCS, START_WINDOWS = 1500, 32_768
@@ -50,6 +53,12 @@ MAX_DOCS, START_WINDOWS = 1500, 32_768
 BATCH, LEAST_STEPS, SMALL = 2048, 100, 512
 #: Neighbouring ids are counted in so many groups on each side.
 CONTEXTS = 128
+#: Weight of the counts of a class against those behind a group, in occurrences.
+PRIOR = 8.0
+#: Scores and logits are limited to this, which float32 can exponentiate and sum.
+TOP = np.float32(60)
+#: Windows that go through the arrays together, so that these stay in a core's cache.
+TOGETHER = 128
 #: Ids whose embeddings are averaged together.
 BLOCK = 512
 #: Share of all words from which a word's count is broadcast.
@@ -75,52 +84,72 @@ class Attention:
         far = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
         return np.where(far >= 0, self.bias[np.maximum(far, 0)], np.float32(-1e9)).astype(np.float32)
 
-    def forward(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Log-probabilities of the next id's class at every place of every window, and what led there."""
+    def forward(self, ids: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For windows: embeddings, scaled queries, attention, and of the places that count their rows, features (attended and own embedding) and logits of the next id's class."""
         x = self.embed[ids]
-        a = (x @ self.m) @ x.transpose(0, 2, 1)
+        q = x @ self.m
+        a = q @ x.transpose(0, 2, 1)
         a += self._mask()
-        np.exp(a - a.max(2, keepdims=True), out=a)
-        a /= a.sum(2, keepdims=True)
-        mixed = a @ x
-        logits = mixed.reshape(-1, WIDTH) @ self.attended
-        logits += x.reshape(-1, WIDTH) @ self.own
+        np.minimum(a, TOP.astype(a.dtype), out=a)
+        np.exp(a, out=a)
+        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(len(a), WINDOW, 1)
+        rows = np.flatnonzero(counted.reshape(-1))
+        both = np.concatenate([(a @ x).reshape(-1, WIDTH)[rows], x.reshape(-1, WIDTH)[rows]], 1)
+        logits = both @ np.concatenate([self.attended, self.own])
         logits += self.out
-        return x, a, mixed, logits
-
-    def class_scores(self, ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each target's class."""
-        logits = self.forward(ids)[3]
-        top = logits.max(1, keepdims=True)
-        logits -= top
-        picked = logits[np.arange(len(logits)), self.klass[targets].reshape(-1)]
-        np.exp(logits, out=logits)
-        return (picked - np.log(logits.sum(1))).reshape(ids.shape)
+        np.minimum(logits, TOP.astype(logits.dtype), out=logits)
+        return x, q, a, rows, both, logits
+
+    def class_scores(self, ids: np.ndarray, targets: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
+        """Natural log-probability of each target's class, 0 at places that don't count."""
+        counted = np.ones(ids.shape, bool) if counted is None else counted
+        out = np.zeros(ids.size)
+        for at in range(0, len(ids), TOGETHER):
+            w = slice(at, at + TOGETHER)
+            rows, logits = self.forward(ids[w], counted[w])[3::2]
+            picked = logits[np.arange(len(rows)), self.klass[targets[w].reshape(-1)[rows]]]
+            np.exp(logits, out=logits)
+            out[at * WINDOW + rows] = picked - np.log(logits @ np.ones(CLASSES, logits.dtype))
+        return out.reshape(ids.shape)
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[float, list[np.ndarray]]:
-        x, a, mixed, logits = self.forward(ids)
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        p /= p.sum(1, keepdims=True)
-        gold, on = self.klass[targets].reshape(-1), counted.reshape(-1)
-        n = max(int(on.sum()), 1)
-        loss = -np.log(p[np.arange(len(p)), gold] + 1e-12)[on].sum() / n
+        """Mean log-loss over the places that count, and its gradients."""
+        n = max(int(counted.sum()), 1)
+        loss, rest, d_all = 0.0, None, np.empty((*ids.shape, WIDTH), self.embed.dtype)
+        for at in range(0, len(ids), TOGETHER):
+            w = slice(at, at + TOGETHER)
+            part, d_all[w], own = self._part(ids[w], targets[w], counted[w], n)
+            loss += part
+            rest = own if rest is None else [a + b for a, b in zip(rest, own, strict=True)]
+        if rest is None:
+            return 0.0, [np.zeros_like(getattr(self, k)) for k in Attention._names]
+        place, flat = ids.reshape(-1), d_all.reshape(-1, WIDTH)
+        return loss, [np.stack([np.bincount(place, flat[:, k], len(self.embed)) for k in range(WIDTH)], 1), *rest]
+
+    def _part(self, ids: np.ndarray, targets: np.ndarray, counted: np.ndarray, n: int) -> tuple[float, np.ndarray, list[np.ndarray]]:
+        x, q, a, rows, both, p = self.forward(ids, counted)
+        kind, gold = p.dtype, self.klass[targets.reshape(-1)[rows]]
+        picked = p[np.arange(len(p)), gold]
+        np.exp(p, out=p)
+        total = p @ np.ones(CLASSES, kind)
+        loss = float((np.log(total) - picked).sum()) / n
+        p /= total[:, None]
         p[np.arange(len(p)), gold] -= 1
-        d = p * (on[:, None] / n).astype(p.dtype)
-        flat = x.reshape(-1, WIDTH)
-        d_mixed = (d @ self.attended.T).reshape(x.shape)
-        d_x = (d @ self.own.T).reshape(x.shape)
-        d_a = d_mixed @ x.transpose(0, 2, 1)
+        p /= kind.type(n)
+        d_both = np.zeros((ids.size, 2 * WIDTH), kind)
+        d_both[rows] = p @ np.concatenate([self.attended, self.own]).T
+        d_mixed, d_x = np.ascontiguousarray(d_both[:, :WIDTH]).reshape(x.shape), np.ascontiguousarray(d_both[:, WIDTH:]).reshape(x.shape)
+        d_s = d_mixed @ x.transpose(0, 2, 1)
         d_x += a.transpose(0, 2, 1) @ d_mixed
-        d_s = a * (d_a - (d_a * a).sum(2, keepdims=True))
-        far = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        d_bias = np.bincount(np.maximum(far, 0).ravel(), (d_s.sum(0) * (far >= 0)).ravel(), WINDOW)
-        q = x @ self.m
+        d_s -= ((d_s * a).reshape(-1, WINDOW) @ np.ones(WINDOW, kind)).reshape(len(a), WINDOW, 1)
+        d_s *= a
         d_q = d_s @ x
-        d_x += d_s.transpose(0, 2, 1) @ q + d_q @ self.m.T
-        d_flat, place = d_x.reshape(-1, WIDTH), ids.reshape(-1)
-        d_embed = np.stack([np.bincount(place, d_flat[:, k], len(self.embed)) for k in range(WIDTH)], 1)
-        return loss, [d_embed, flat.T @ d_q.reshape(-1, WIDTH), d_bias, mixed.reshape(-1, WIDTH).T @ d, flat.T @ d, d.sum(0)]
+        d_x += d_s.transpose(0, 2, 1) @ q
+        d_x += d_q @ self.m.T
+        far = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        d_bias = np.bincount(np.maximum(far, 0).ravel(), (np.ones(len(a), kind) @ d_s.reshape(len(a), -1)) * (far >= 0).ravel(), WINDOW)
+        d_w = both.T @ p
+        return loss, d_x, [x.reshape(-1, WIDTH).T @ d_q.reshape(-1, WIDTH), d_bias, d_w[:WIDTH], d_w[WIDTH:], np.ones(len(p), kind) @ p]
 
 
 def windows_of(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,10 +253,17 @@ def fitted(windows: tuple[np.ndarray, ...] | None, klass: np.ndarray, begin: int
     return model
 
 
-def id_given_class(counts: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each id within its class, half a count added to each."""
+def id_given_class(counts: np.ndarray, klass: np.ndarray, behind: np.ndarray | None = None) -> np.ndarray:
+    """Natural log-probability of each id within its class, half a count added to each; by group of the id before it, if counts behind groups (ids x CONTEXTS) are given."""
     total = np.bincount(klass, counts, CLASSES) + 0.5 * np.bincount(klass, minlength=CLASSES)
-    return (np.log(counts + 0.5) - np.log(total[klass])).astype(np.float64)
+    alone = (counts + 0.5) / total[klass]
+    if behind is None:
+        return np.log(alone)
+    out = np.empty((behind.shape[1], len(counts)), np.float32)
+    for g in range(behind.shape[1]):
+        n = behind[:, g].astype(np.float64)
+        out[g] = np.log((n + PRIOR * alone) / (np.bincount(klass, n, CLASSES) + PRIOR)[klass])
+    return out
 
 
 class _Words:
@@ -422,16 +458,17 @@ def scored(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
         sub[r.key] = r.training
     sub[pieces.eos] += ends
     if ends:
-        near = np.zeros(pieces.size * 2 * CONTEXTS)
+        near = np.zeros(pieces.size * 2 * CONTEXTS, np.float32)
         cells = counts.where(F.col("kind") == _CONTEXT).select("key", "n").toPandas()
         near[cells["key"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
         met = np.flatnonzero(sub)
-        klass = grouped(near.reshape(pieces.size, -1)[met], met, sub, np.random.default_rng(7))
+        near = near.reshape(pieces.size, -1)
+        klass = grouped(near[met], met, sub, np.random.default_rng(7))
         start = fitted(_start(df, model_path, id_col, text_col, held_out, max_docs), klass, pieces.bos, pieces.eos)
         model = learn(flagged.where(~F.col("held_out")).select("text"), model_path, start)
     else:
-        model = train([], pieces.size, pieces.bos, pieces.eos)
-    within = id_given_class(sub, model.klass)
+        model, near = train([], pieces.size, pieces.bos, pieces.eos), np.zeros((pieces.size, 2 * CONTEXTS), np.float32)
+    within = id_given_class(sub, model.klass, near[:, CONTEXTS:])
     sent = spark.sparkContext.broadcast((known, times, model, within))
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("key", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("id", df.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("tokens", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
@@ -455,10 +492,12 @@ def scored(df: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col:
                 bounds = np.concatenate([[0], np.cumsum(np.bincount(rows, length, n).astype(np.int64))])
                 score = np.zeros(n)
                 inputs, targets, counted, text = framed(ids, bounds, pieces_ends[0], pieces_ends[1])
+                # A text begins behind the end of another, as in the counts.
+                group = np.where(inputs == pieces_ends[0], pieces_ends[1], inputs) % CONTEXTS
                 for a in range(0, len(inputs), 4096):
                     b = a + 4096
-                    each = np.where(counted[a:b], model.class_scores(inputs[a:b], targets[a:b]) + within[targets[a:b]], 0.0).sum(1)
-                    score += np.bincount(text[a:b], each, n)
+                    each = model.class_scores(inputs[a:b], targets[a:b], counted[a:b]) + np.where(counted[a:b], within[group[a:b], targets[a:b]], 0.0)
+                    score += np.bincount(text[a:b], each.sum(1), n)
                 words_in = R.counts(rows, n)
                 name = np.arange(at, at + n)
                 at += n

@@ -166,7 +166,7 @@ _OP2 = f"""WITH RECURSIVE src AS (SELECT DISTINCT conv_id, turn, role, text FROM
   c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) - 1 AS place, list_filter(CASE name
       WHEN 'search' THEN [CASE WHEN {_TYPED.format("limit", "NOT IN ('BIGINT', 'UBIGINT')")} THEN 'limit is no integer' END, CASE WHEN {_TYPED.format("query", "IS NULL")} THEN 'missing query' WHEN {_TYPED.format("query", "<> 'VARCHAR'")} THEN 'query is no string' END]
       WHEN 'lookup' THEN [CASE WHEN {_TYPED.format("key", "IS NULL")} THEN 'missing key' WHEN {_TYPED.format("key", "<> 'VARCHAR'")} THEN 'key is no string' END] ELSE ['unknown tool'] END, lambda x: x IS NOT NULL) AS faults FROM c0),
-  e AS (SELECT x.conv_id, x.place, y.place AS ref FROM (SELECT conv_id, place, unnest(regexp_extract_all(args, '"\$([^"]+)"', 1)) AS id FROM c) x JOIN c y ON y.conv_id = x.conv_id AND y.id = x.id),
+  e AS (SELECT x.conv_id, x.place, y.place AS ref FROM (SELECT conv_id, place, unnest(regexp_extract_all(args, '"\\$([^"]+)"', 1)) AS id FROM c) x JOIN c y ON y.conv_id = x.conv_id AND y.id = x.id),
   walk AS (SELECT conv_id, place, place AS at, 0 AS hops, 0 AS forward FROM c UNION ALL SELECT w.conv_id, w.place, e.ref, hops + 1, forward + CAST(e.ref >= e.place AS INT) FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.place = w.at WHERE hops < 12),
   lv AS (SELECT conv_id, place, CASE WHEN max(hops) < 12 THEN max(forward) END AS level FROM walk GROUP BY 1, 2),
   r AS (SELECT conv_id, turn, concat('r', conv_id, '-', turn) AS content, CASE WHEN conv_id % 9 = 0 THEN concat('z', turn) ELSE concat('c', turn - 1) END AS id FROM src WHERE role = 'user' AND turn >= 2),

@@ -48,9 +48,11 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     model = lm.train([rng.integers(3, 40, 200) for _ in range(20)], 40, 1, 2, steps=30)
     window = rng.integers(3, 40, (1, lm.WINDOW))
-    within = lm.id_given_class(rng.integers(0, 9, 40).astype(float), model.klass)
-    total = sum(np.exp(model.class_scores(window, np.full((1, lm.WINDOW), t)) + within[t]) for t in range(40))
-    assert np.allclose(total, 1, atol=1e-4)
+    counts, behind = rng.integers(0, 9, 40).astype(float), rng.integers(0, 9, (40, 3))
+    for within in (lm.id_given_class(counts, model.klass)[None], lm.id_given_class(counts, model.klass, behind)):
+        for before in within:
+            total = sum(np.exp(model.class_scores(window, np.full((1, lm.WINDOW), t)) + before[t]) for t in range(40))
+            assert np.allclose(total, 1, atol=1e-4)
 
 
 def test_attention_is_causal_and_gradients_are_right():
@@ -98,7 +100,7 @@ def test_learns_from_texts_beyond_the_start(spark):
 
 
 def test_long_text_pushes_no_other_out_of_the_start(spark):
-    rows = [(0, "red house " * 250_000), *((i, f"green boat moves under bridge {i} " * 200) for i in range(2, 40))]
+    rows = [(0, "red house " * 600_000), *((i, f"green boat moves under bridge {i} " * 200) for i in range(2, 40))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = [lm._start(df.repartition(k, "doc_id"), SP_MODEL, "doc_id", "text", 1, 100) for k in (1, 4)]
     assert all(np.array_equal(a, b) for a, b in zip(*found, strict=True))
