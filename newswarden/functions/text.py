@@ -16,8 +16,12 @@ TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "mkt_tok", "ref", "
 FURNITURE = ("subscribe", "sign up", "newsletter", "related articles", "read more", "share this", "follow us", "advertisement", "sponsored", "all rights reserved", "cookie")
 
 
+#: The characters of SPACE, for trimming without a pattern.
+SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapsed(c: Column) -> Column:

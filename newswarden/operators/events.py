@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,28 +38,30 @@ def legacy_overrides(near: DataFrame, facts: DataFrame) -> DataFrame:
     return first.select("query_id", "m.*")
 
 
-def _chains(dated: DataFrame, days: int, array_rows: int) -> DataFrame:
+#: SHA-256 of the empty text.
+_NOTHING = sha256(b"").hexdigest()
+
+
+def _chains(dated: DataFrame, days: int, frequent: list[str]) -> DataFrame:
     """(title_hash, n, chain): of each title the articles that are no duplicates, each over `days` after the last.
 
-    Titles of at most `array_rows` articles are gone through in one sorted array. Of the others, of which there are
-    few, the next survivor is found for all at once, round by round, as many times as `days` fit into their time.
+    Titles are gone through in one sorted array each, but for the `frequent` ones, of which there are few: their
+    next survivor is found for all at once, round by round, as many times as `days` fit into their time.
     """
     rows = dated.select("title_hash", F.struct(F.col("published_at").alias("at"), F.col("fetched_at").alias("f"), "id").alias("a"))
-    sizes = rows.groupBy("title_hash").agg(F.count("*").alias("n"))
     later = lambda x, y: dates.hours(x["at"], y["at"]) > 24 * days
     kind = f"array<{rows.schema['a'].dataType.simpleString()}>"
     step = lambda acc, x: F.when((F.size(acc) == 0) | later(x, F.element_at(acc, -1)), F.concat(acc, F.array(x))).otherwise(acc)
-    large = sizes.where(F.col("n") > array_rows)
-    frequent = large.collect()
-    small = rows.join(F.broadcast(large.select("title_hash")), "title_hash", "left_anti") if frequent else rows
+    spark = dated.sparkSession
+    listed = F.broadcast(spark.createDataFrame([(k,) for k in frequent], "title_hash string"))
+    small = rows.join(listed, "title_hash", "left_anti") if frequent else rows
     out = small.groupBy("title_hash").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("a")).alias("all"))
     out = out.select("title_hash", "n", F.aggregate("all", F.array().cast(kind), step).alias("chain"))
     if not frequent:
         return out
-    spark, schema = dated.sparkSession, f"title_hash string, n long, chain {kind}"
-    hot = rows.join(F.broadcast(large.select("title_hash")), "title_hash").persist()
-    found: dict[str, list] = {r.title_hash: [r.a] for r in hot.groupBy("title_hash").agg(F.min("a").alias("a")).collect()}
-    last = {k: v[-1] for k, v in found.items()}
+    hot = rows.join(listed, "title_hash").persist()
+    first = hot.groupBy("title_hash").agg(F.min("a").alias("a"), F.count("*").alias("n")).collect()
+    found, last = {r.title_hash: [r.a] for r in first}, {r.title_hash: r.a for r in first}
     while last:
         ends = spark.createDataFrame(list(last.items()), f"title_hash string, last {rows.schema['a'].dataType.simpleString()}")
         nexts = hot.join(F.broadcast(ends), "title_hash").where(later(F.col("a"), F.col("last"))).groupBy("title_hash").agg(F.min("a").alias("a")).collect()
@@ -65,7 +69,7 @@ def _chains(dated: DataFrame, days: int, array_rows: int) -> DataFrame:
         for k, v in last.items():
             found[k].append(v)
     hot.unpersist()
-    return out.union(spark.createDataFrame([(r.title_hash, r.n, found[r.title_hash]) for r in frequent], schema))
+    return out.union(spark.createDataFrame([(r.title_hash, r.n, found[r.title_hash]) for r in first], f"title_hash string, n long, chain {kind}"))
 
 
 def survivors(articles: DataFrame, mode: str = "spec", *, days: int = 7, array_rows: int = 50_000, hot: int = skew.HOT) -> DataFrame:
@@ -76,15 +80,20 @@ def survivors(articles: DataFrame, mode: str = "spec", *, days: int = 7, array_r
     mode the last by the same keys descending, as rows handled newest first leave it. Of the others, one is a duplicate
     by title if an article that is none was published within `days` before it; without a date it is not.
     """
-    body, title = text.trimmed(F.coalesce("clean_text", F.lit(""))), text.normal_title(F.coalesce("title", F.lit("")))
-    a = articles.withColumns({"content_hash": F.when(body != "", F.sha2(body, 256)), "title_hash": F.when(title != "", F.sha2(title, 256))})
+    # Null for the hash of nothing, by a filter that names the hash once: it would be computed for each time it is named.
+    hashed = lambda c: F.get(F.filter(F.array(F.sha2(c, 256)), lambda x: x != _NOTHING), F.lit(0))
+    titles = hashed(text.normal_title(F.col("title")))
+    # From titles alone, so that this pass doesn't read texts.
+    frequent = articles.select(titles.alias("title_hash")).where("title_hash is not null").groupBy("title_hash").agg(F.count("*").alias("n")).where(F.col("n") > array_rows)
+    frequent = [r.title_hash for r in frequent.collect()]
+    a = articles.withColumns({"content_hash": hashed(text.trimmed(F.col("clean_text"))), "title_hash": titles})
     unknown = F.col("published_at").isNull()
     # The survivor is the first dated row in spec mode; compat keeps an undated one if there is any, else the oldest.
     key = F.struct(unknown.alias("u") if mode == "spec" else (~unknown).alias("u"), F.col("published_at").alias("p"), F.col("fetched_at").alias("f"), F.col("id").alias("i"))
     by_content = a.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min(key).alias("k"), F.count("*").alias("n")).select("content_hash", "n", F.col("k.i").alias("content_first"))
     a = skew.attach(a, by_content, "content_hash", "n", "id", hot)
     copy = F.coalesce(F.col("content_first") != F.col("id"), F.lit(False))
-    chains = _chains(a.where(~copy & F.col("title_hash").isNotNull() & ~unknown), days, array_rows)
+    chains = _chains(a.where(~copy & F.col("title_hash").isNotNull() & ~unknown), days, frequent)
     out = skew.attach(a, chains, "title_hash", "n", "id", hot)
     before = lambda c: (c["at"] <= F.col("published_at")) & (dates.hours(F.col("published_at"), c["at"]) <= 24 * days) & (c["id"] != F.col("id"))
     near = F.get(F.filter("chain", before), F.lit(0))["id"]
