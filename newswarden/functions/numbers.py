@@ -42,3 +42,15 @@ def cvss_grade(score: Column) -> Column:
 
 def epss_grade(score: Column, percentile: Column) -> Column:
     return F.when((score >= 0.1) | (percentile >= 0.95), "critical").when((score >= 0.05) | (percentile >= 0.9), "high")
+
+
+def vector_text(v: Column) -> Column:
+    """A vector as a literal, `[1.0,2.5]`."""
+    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ","), F.lit("]"))
+
+
+def vector(text: Column) -> Column:
+    """The vector of such a literal; null where it is none."""
+    bare = F.regexp_extract(F.btrim(text), r"^\[(.*)\]$", 1)
+    parts = F.transform(F.split(bare, ","), lambda x: F.btrim(x).try_cast("float"))
+    return F.when(F.btrim(text) == "[]", F.array().cast("array<float>")).when(~F.exists(parts, lambda x: x.isNull()), parts)

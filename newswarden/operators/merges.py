@@ -65,3 +65,18 @@ def claimed(tasks: DataFrame, as_of: Column, n: int) -> DataFrame:
     """The n pending tasks that are due first, as running."""
     due = tasks.where((F.col("status") == "pending") & (F.col("next_attempt_at") <= as_of))
     return due.orderBy("next_attempt_at", "target_id", "task_name", "attempts").limit(n).withColumn("status", F.lit("running"))
+
+
+def attached(links: DataFrame, new: DataFrame) -> DataFrame:
+    """Links with the new ones, each once."""
+    return links.unionByName(new).distinct()
+
+
+def detached(links: DataFrame, gone: DataFrame) -> DataFrame:
+    return links.join(gone.select("event_id", "article_id"), ["event_id", "article_id"], "left_anti")
+
+
+def recounted(events: DataFrame, links: DataFrame) -> DataFrame:
+    """`events` with source_count, the number of their links."""
+    n = links.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("source_count"))
+    return events.drop("source_count").join(n, "id", "left").withColumn("source_count", F.coalesce("source_count", F.lit(0)))

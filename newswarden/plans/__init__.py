@@ -1,6 +1,6 @@
 """Registered queries: each name maps to a plan over the tables and, where SQL can express it, its SQL."""
 
-from . import domain, evaluation, relational, text  # noqa: F401
+from . import domain, evaluation, relational, review, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -371,22 +371,6 @@ def _(t):
     return latest.unresolved(latest.skim(t.cases, t.observations, None)).select("id", F.array_join("unresolved", ",").alias("unresolved"))
 
 
-@query("k_19_attention", "SELECT id, status = 'EXTRACTION_FAILED' OR coalesce(rss_recall < 0.6, false) AS attention FROM v_articles WHERE id NOT IN (SELECT article_id FROM v_verdicts)")
-def _(t):
-    seen = t.verdicts.select(_C("article_id").alias("id"))
-    return t.articles.join(seen, "id", "left_anti").select("id", ((_C("status") == "EXTRACTION_FAILED") | F.coalesce(_C("rss_recall") < 0.6, F.lit(False))).alias("attention"))
-
-
-@query("k_20_review_counters", "SELECT count(*) AS total, count(*) FILTER (status = 'EXTRACTION_FAILED') AS failed, count(*) FILTER (rss_recall < 0.6) AS low_recall, count(*) FILTER (published_at IS NULL) AS undated FROM v_articles")
-def _(t):
-    return t.articles.agg(F.count("*").alias("total"), F.count_if(_C("status") == "EXTRACTION_FAILED").alias("failed"), F.count_if(_C("rss_recall") < 0.6).alias("low_recall"), F.count_if(_C("published_at").isNull()).alias("undated"))
-
-
-@query("k_21_triage_signals", "SELECT event_id, CAST(count(DISTINCT article_id) AS BIGINT) AS articles, bool_or(is_material_update) AS material FROM v_event_articles GROUP BY 1")
-def _(t):
-    return t.event_articles.groupBy("event_id").agg(F.countDistinct("article_id").alias("articles"), F.bool_or("is_material_update").alias("material"))
-
-
 @query("k_22_task_plan", "SELECT id, n.task_name FROM v_articles CROSS JOIN (VALUES ('summary'), ('disposition')) n(task_name) WHERE status = 'DIGESTED' UNION ALL SELECT id, 'interpretation' FROM v_articles WHERE status = 'DIGESTED' AND regexp_matches(title, '(?i)cve-')")
 def _(t):
     ready = t.articles.where("status = 'DIGESTED'")
@@ -394,11 +378,6 @@ def _(t):
     return ready.select("id", F.explode(F.array_compact(names)).alias("task_name"))
 
 
-@query("k_23_consolidation", "SELECT case_id, min(article_id) AS first_article, count(*) AS links FROM v_case_articles WHERE state <> 'human_rejected' GROUP BY 1")
-def _(t):
-    return t.case_articles.where("state <> 'human_rejected'").groupBy("case_id").agg(F.min("article_id").alias("first_article"), F.count("*").alias("links"))
-
-
 @query("k_24_legacy_overrides")
 def _(t):
     # The type of an event is its first attack word, in place of a model's judgement.
@@ -452,7 +431,8 @@ def _(t):
     return monitoring.drift(t.drift).select("source_name", "sampled", F.round("median_recall", 9).alias("median_recall"), F.round("median_quality", 9).alias("median_quality"), "failure_rate", "drifted")
 
 
-@query("q_01_drift_reasons")
+@query("q_01_drift_reasons", f"""SELECT source_name, CASE WHEN sampled < 5 THEN '' ELSE concat_ws(',', CASE WHEN r < 0.6 THEN printf('median_recall_%.2f_below_0.6', r) END, CASE WHEN q < 0.3 THEN printf('median_quality_%.2f_below_0.3', q) END,
+  CASE WHEN f > 0.5 THEN printf('failure_rate_%.2f_above_0.5', f) END) END AS reasons FROM ({_DRIFT})""")
 def _(t):
     return monitoring.drift(t.drift).select("source_name", F.array_join("reasons", ",").alias("reasons"))
 

@@ -31,14 +31,18 @@ _RATE = "CASE WHEN count(*) FILTER ({1}) = 0 THEN 0.0 ELSE count(*) FILTER ({0})
 _CRIT, _IMP, _IRR = "human_label = 'CRITICAL_RELEVANT'", "human_label IN ('CRITICAL_RELEVANT', 'RELEVANT')", "human_label = 'IRRELEVANT'"
 
 
-@query("e_02_filter_metrics", f"""{_RES} SELECT count(*) AS dataset_size, {_RATE.format(_CRIT + " AND decision = 'KEEP'", _CRIT)} AS critical_recall, {_RATE.format(_IMP + " AND decision <> 'DROP'", _IMP)} AS relevant_recall,
+_METRICS = f"""SELECT count(*) AS dataset_size, {_RATE.format(_CRIT + " AND decision = 'KEEP'", _CRIT)} AS critical_recall, {_RATE.format(_IMP + " AND decision <> 'DROP'", _IMP)} AS relevant_recall,
   {_RATE.format(_IMP + " AND decision = 'DROP'", _IMP)} AS false_negative_rate, {_RATE.format(_CRIT + " AND decision <> 'KEEP'", _CRIT)} AS critical_miss_rate, {_RATE.format("decision <> 'DROP'", "true")} AS pass_through_rate,
-  {_RATE.format("decision = 'KEEP'", "true")} AS keep_rate, {_RATE.format("decision = 'MAYBE_KEEP'", "true")} AS maybe_keep_rate, {_RATE.format(_IRR + " AND decision <> 'DROP'", _IRR)} AS irrelevant_pass_rate FROM res""")
+  {_RATE.format("decision = 'KEEP'", "true")} AS keep_rate, {_RATE.format("decision = 'MAYBE_KEEP'", "true")} AS maybe_keep_rate, {_RATE.format(_IRR + " AND decision <> 'DROP'", _IRR)} AS irrelevant_pass_rate FROM res"""
+
+
+@query("e_02_filter_metrics", f"{_RES} {_METRICS}")
 def _(t):
     return evaluation.filter_metrics(_results(t))
 
 
-@query("e_02_gate")
+@query("e_02_gate", f"""{_RES}, m AS ({_METRICS}) SELECT failures = '' AS passed, failures, warnings FROM (SELECT concat_ws(',', CASE WHEN critical_recall < 1 THEN 'critical_recall' END, CASE WHEN relevant_recall < 0.9 THEN 'relevant_recall' END, CASE WHEN critical_miss_rate > 0 THEN 'critical_miss_rate' END) AS failures,
+  concat_ws(',', CASE WHEN dataset_size < 50 THEN 'small_dataset' END, CASE WHEN pass_through_rate > 0.6 THEN 'high_pass_through' END, CASE WHEN irrelevant_pass_rate > 0.5 THEN 'high_irrelevant_pass' END) AS warnings FROM m)""")
 def _(t):
     return evaluation.gate(evaluation.filter_metrics(_results(t))).select("passed", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
 
@@ -86,26 +90,7 @@ def _(t):
     return t.labels.select("doc_id", (_C("quality") == _C("doc_id") % 2).alias("exact"), F.when(_C("quality") == 1, _C("toxic") == 0).alias("vendor_match"))
 
 
-@query("e_10_pairs", "SELECT a, b, CASE WHEN la = lb THEN 'same_event' ELSE 'different_event' END AS label FROM (SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 60)")
-def _(t):
-    from ..operators.readmodels import pairs_across, pairs_within
-
-    e = t.embeddings.where("vec_id < 60").select(_C("label").alias("basket"), "vec_id")
-    same = pairs_within(e, "basket", "vec_id").select("a", "b", F.lit("same_event").alias("label"))
-    return same.union(pairs_across(e, "basket", "vec_id").select("a", "b", F.lit("different_event").alias("label")))
-
-
-@query("e_11_threshold", "SELECT round(max(CASE WHEN l = 'same_event' THEN d END), 4) AS same_max, round(min(CASE WHEN l <> 'same_event' THEN d END), 4) AS different_min FROM (SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS l, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 60)")
-def _(t):
-    from ..functions.numbers import cosine_distance
-
-    a = t.embeddings.where("vec_id < 60").select(_C("vec_id").alias("a"), _C("label").alias("la"), _C("embedding").alias("va"))
-    b = a.select(_C("a").alias("b"), _C("la").alias("lb"), _C("va").alias("vb"))
-    pairs = a.join(b, _C("a") < _C("b")).select(F.when(_C("la") == _C("lb"), "same_event").otherwise("different_event").alias("label"), cosine_distance(_C("va"), _C("vb")).alias("distance"))
-    return evaluation.threshold_suggestion(pairs).select(F.round("same_max", 4).alias("same_max"), F.round("different_min", 4).alias("different_min"))
-
-
-@query("e_10_pairs_whole", "SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS label, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id GROUP BY 1")
+@query("e_10_pairs", "SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS label, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id GROUP BY 1")
 def _(t):
     from ..operators.readmodels import pair_counts
 
@@ -115,7 +100,7 @@ def _(t):
     return c.select(F.inline(rows)).where("pairs > 0")
 
 
-@query("e_11_threshold_whole", "SELECT round(max(CASE WHEN l = 'same_event' THEN d END), 4) AS same_max, round(min(CASE WHEN l <> 'same_event' THEN d END), 4) AS different_min FROM (SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS l, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)")
+@query("e_11_threshold", "SELECT round(max(CASE WHEN l = 'same_event' THEN d END), 4) AS same_max, round(min(CASE WHEN l <> 'same_event' THEN d END), 4) AS different_min FROM (SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS l, list_cosine_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)")
 def _(t):
     limits = evaluation.distance_limits(t.embeddings.select(_C("vec_id").alias("id"), "label", "embedding"))
     return limits.select(F.round("same_max", 4).alias("same_max"), F.round("different_min", 4).alias("different_min"))
@@ -148,23 +133,12 @@ def _(t):
     return both.groupBy("article_id").agg(F.countDistinct("event_id").alias("n")).where("n > 1").select("article_id")
 
 
-@query("e_16_assist_valid", "SELECT event_id, count(*) BETWEEN 2 AND 5 AS valid FROM v_event_articles WHERE article_id < 60 GROUP BY 1")
-def _(t):
-    return t.event_articles.where("article_id < 60").groupBy("event_id").agg(F.count("*").between(2, 5).alias("valid"))
-
-
-@query("e_17_run_join", "SELECT d.doc_id, l.quality IS NOT NULL AS predicted FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0")
-def _(t):
-    gold = t.documents.where("doc_id % 2 = 0").select("doc_id")
-    return gold.join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", _C("quality").isNotNull().alias("predicted"))
-
-
-@query("e_16_assist_valid_whole", "SELECT event_id, count(*) BETWEEN 2 AND 5 AS valid FROM v_event_articles GROUP BY 1")
+@query("e_16_assist_valid", "SELECT event_id, count(*) BETWEEN 2 AND 5 AS valid FROM v_event_articles GROUP BY 1")
 def _(t):
     return t.event_articles.groupBy("event_id").agg(F.count("*").between(2, 5).alias("valid"))
 
 
-@query("e_17_run_join_whole", "SELECT d.doc_id, l.quality IS NOT NULL AS predicted FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query("e_17_run_join", "SELECT d.doc_id, l.quality IS NOT NULL AS predicted FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 def _(t):
     return t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left").select("doc_id", _C("quality").isNotNull().alias("predicted"))
 

@@ -235,24 +235,12 @@ def _(t):
     return readmodels.children(t.event_articles, ["event_id"], "article_id", "articles").select("event_id", F.array_join("articles", ",").alias("articles"))
 
 
-@query("j_10_pairs_within", "SELECT a.label AS basket, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 100 AND b.vec_id < 100")
-def _(t):
-    e = t.embeddings.where("vec_id < 100").select(_C("label").alias("basket"), "vec_id")
-    return readmodels.pairs_within(e, "basket", "vec_id")
-
-
-@query("j_11_pairs_across", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label <> b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 40 AND b.vec_id < 40")
-def _(t):
-    e = t.embeddings.where("vec_id < 40").select(_C("label").alias("basket"), "vec_id")
-    return readmodels.pairs_across(e, "basket", "vec_id")
-
-
-@query("j_10_pairs_within_whole", "SELECT a.label AS basket, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
+@query("j_10_pairs_within", "SELECT a.label AS basket, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1")
 def _(t):
     return readmodels.pair_counts(t.embeddings, "label", "vec_id").where("within > 0").select(_C("label").alias("basket"), _C("within").alias("pairs"))
 
 
-@query("j_11_pairs_across_whole", "SELECT a.label AS basket, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.label <> b.label AND a.vec_id <> b.vec_id GROUP BY 1")
+@query("j_11_pairs_across", "SELECT a.label AS basket, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.label <> b.label AND a.vec_id <> b.vec_id GROUP BY 1")
 def _(t):
     return readmodels.pair_counts(t.embeddings, "label", "vec_id").where("across > 0").select(_C("label").alias("basket"), _C("across").alias("pairs"))
 

@@ -70,9 +70,9 @@ def _(t):
     return t.articles.select("id", show(text.matches(_T("clean_text"), text.IP)).alias("ips"), show(text.matches(_T("clean_text"), text.DIGEST, "lower")).alias("hashes"))
 
 
-@query("t_08_domains")
+@query("t_08_domains", r"""SELECT id, coalesce(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(clean_text, '(?i)(?:^|[^a-z0-9_])((?:[a-z0-9-]+\.)+[a-z]{2,})\b', 1), lambda x: lower(x)))), ','), '') AS domains FROM v_articles""")
 def _(t):
-    return t.articles.select("id", F.array_join(text.matches(_T("clean_text"), text.DOMAIN, "lower"), ",").alias("domains"))
+    return t.articles.select("id", F.array_join(F.array_sort(text.matches(_T("clean_text"), text.DOMAIN, "lower")), ",").alias("domains"))
 
 
 @query("t_09_flat_keywords", f"SELECT id, coalesce(array_to_string(list_filter({_list(_LEX.flat)}, lambda w: contains(lower(title), w)), ','), '') AS words FROM v_articles")
@@ -293,7 +293,7 @@ def _(t):
     return v.select("event_id", F.coalesce("v.v3.base", "v.v2.base").alias("base"))
 
 
-@query("r_05_canonical_json")
+@query("r_05_canonical_json", "SELECT event_id, CAST(json(props) AS VARCHAR) AS canonical FROM events")
 def _(t):
     return t.events.select("event_id", F.to_json(F.try_parse_json("props")).alias("canonical"))
 
@@ -312,13 +312,7 @@ def _(t):
     return t.labels.select("doc_id", parsed_reply(reply, "quality int")["quality"].alias("quality"))
 
 
-@query("r_11_chunks", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 10) AS BIGINT) AS chunk FROM v_cases WHERE id < 200")
-def _(t):
-    ids = t.cases.where("id < 200").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return ids.select(F.posexplode("ids").alias("pos", "id")).select("id", F.floor(_T("pos") / 10).alias("chunk"))
-
-
-@query("r_11_chunks_whole", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 10) AS BIGINT) AS chunk FROM v_cases")
+@query("r_11_chunks", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 10) AS BIGINT) AS chunk FROM v_cases")
 def _(t):
     from ..operators.readmodels import numbered
 

@@ -36,23 +36,23 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(n, "id").withColumn("id", F.when(F.col("__n") == 1, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("repeated id "), F.col("id"))))).drop("__n")
 
 
-def vulnerabilities(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a vulnerability catalogue, one row per entry: English description or else the first; CVSS 3.1, 3.0 or 2.0, with base and vector."""
-    rows = spark.read.schema(NVD).option("multiLine", True).json(path).select(F.explode("vulnerabilities.cve").alias("c"))
+def vulnerabilities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pages of a vulnerability catalogue, each a file or, with `lines`, a line, one row per entry: English description or else the first; CVSS 3.1, 3.0 or 2.0, with base and vector."""
+    rows = spark.read.schema(NVD).option("multiLine", not lines).json(path).select(F.explode("vulnerabilities.cve").alias("c"))
     english = F.get(F.filter("c.descriptions", lambda d: d["lang"] == "en"), 0)
     whole = lambda name: F.get(F.filter(F.col(f"c.metrics.{name}.cvssData"), lambda m: m["baseScore"].isNotNull() & m["vectorString"].isNotNull()), 0)
     score = F.coalesce(whole("cvssMetricV31"), whole("cvssMetricV30"), whole("cvssMetricV2"))
     return rows.select(F.upper("c.id").alias("cve_id"), F.try_to_timestamp("c.lastModified").alias("modified_at"), F.coalesce(english["value"], F.get("c.descriptions", 0)["value"]).alias("description"), score["baseScore"].alias("cvss"), score["vectorString"].alias("vector"))
 
 
-def exploited(spark: SparkSession, path: str) -> DataFrame:
+def exploited(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """The catalogue of exploited vulnerabilities, one row per entry."""
-    return spark.read.schema("vulnerabilities array<struct<cveID: string, dateAdded: string>>").option("multiLine", True).json(path).select(F.explode("vulnerabilities").alias("v")).select(F.upper("v.cveID").alias("cve_id"), F.try_to_date("v.dateAdded").alias("added_on"))
+    return spark.read.schema("vulnerabilities array<struct<cveID: string, dateAdded: string>>").option("multiLine", not lines).json(path).select(F.explode("vulnerabilities").alias("v")).select(F.upper("v.cveID").alias("cve_id"), F.try_to_date("v.dateAdded").alias("added_on"))
 
 
-def probabilities(spark: SparkSession, path: str) -> DataFrame:
+def probabilities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Daily exploitation probabilities; numbers come as text, and what isn't finite is null with status no_score."""
-    rows = spark.read.schema("data array<struct<cve: string, epss: string, percentile: string>>").option("multiLine", True).json(path).select(F.explode("data").alias("d"))
+    rows = spark.read.schema("data array<struct<cve: string, epss: string, percentile: string>>").option("multiLine", not lines).json(path).select(F.explode("data").alias("d"))
     number = lambda c: F.when(F.expr(f"try_cast({c} as double)") < float("inf"), F.expr(f"try_cast({c} as double)"))
     return rows.select(F.upper("d.cve").alias("cve_id"), number("d.epss").alias("epss"), number("d.percentile").alias("percentile")).withColumn("status", F.when(F.col("epss").isNull(), "no_score").otherwise("ok"))
 

@@ -79,7 +79,7 @@ def test_alerts(spark, event, reason, tier):
 
 
 def test_grouping_ladder_and_assessment(spark):
-    rows = [("k", 7, 8, 0.1), ("unknown", 7, 8, 0.1), ("k", None, 8, 0.62), ("k", None, 8, 0.9), ("k", None, None, None)]
+    rows = [("k", 7, 8, 0.1), ("unknown", 7, 8, 0.1), ("k", None, 8, 0.3), ("k", None, 8, 0.9), ("k", None, None, None)]
     got = [(r.kind, r.event, r.method) for r in events.decide_grouping(spark.createDataFrame(rows, "grouping_key string, key_event long, near_event long, distance double")).collect()]
     assert got == [("attach", 7, "grouping_key"), ("attach", 8, "embedding"), ("uncertain", 8, None), ("create", None, "no_match"), ("create", None, "no_match")]
     rows = [("low", "P4", None, "high", "P2", 0.8, True, 3), ("critical", "P1", 0.9, "odd", "P2", 0.1, True, 1), ("high", None, 0.5, "high", "P3", 0.9, False, 9), (None, None, None, "low", "P4", 1.0, True, 99)]
