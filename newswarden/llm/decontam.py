@@ -8,8 +8,10 @@ collision can never mark a word.
 
 A broadcast set holds at most `max_bytes` of benchmark text (or one longer item). A
 larger benchmark is read item by item into several such sets; the documents then
-pass through one scan after the other in the same stage, each adding its verified
-hits to those before, so nothing is shuffled and the driver holds one set at a time.
+pass through one scan after the other, each adding its verified hits to those before,
+`TOGETHER` scans in a stage and then a written table, so nothing is shuffled, the
+driver holds one set at a time and the executors a bounded number. A window that many
+items share is verified and kept once, with the list of its items.
 
 Defined results: a null or empty text has no words and is never contaminated; a
 null or empty item has no window; a repeated item_id counts once; null item_ids
@@ -49,6 +51,7 @@ class NgramSet:
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
         wh, per = R.span_hashes(data, s, e), R.counts(rows, len(items))
         self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        self._items: list[list[str]] = []
         for size in range(1, width + 1):
             first, h = R.windows(wh, rows, size)
             first, h = (x[(per[rows[first]] == size) | (size == width)] for x in (first, h))
@@ -58,10 +61,27 @@ class NgramSet:
                 shift = 64 - max(16, int(np.ceil(np.log2(16 * len(h)))))
                 table = np.zeros(1 << (64 - shift), bool)
                 table[(h >> np.uint64(shift)).astype(np.int64)] = True
-                self.by_size[size] = h, at[first], at[first + size] - 1, rows[first], shift, table
+                begin, end = at[first], at[first + size] - 1
+                # Items of a window: one entry for each distinct text, in the order of hashes.
+                seen: dict[bytes, int] = {}
+                kept: list[int] = []
+                for p in range(len(h)):
+                    window = self.blob[begin[p] : end[p]]
+                    if (entry := seen.get(window)) is None:
+                        entry = seen[window] = len(self._items)
+                        self._items.append([])
+                        kept.append(p)
+                    if (name := self.names[rows[first[p]]]) is not None:
+                        self._items[entry].append(name)
+                one = np.array(kept, np.int64)
+                self.by_size[size] = h[one], begin[one], end[one], np.fromiter((seen[self.blob[begin[p] : end[p]]] for p in kept), np.int64, len(kept)), shift, table
+
+    def items_of(self, window: int) -> list[str]:
+        """Names of the items that have a window."""
+        return self._items[window]
 
     def scan(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words of each row, and of every verified hit: row, first word, number of words, item, first and last byte."""
+        """Words of each row, and of every verified hit: row, first word, number of words, window, first and last byte."""
         data, offsets = R.text_buffers(column)
         total = np.zeros(len(offsets) - 1, np.int64)
         hits: list[tuple[int, ...]] = []
@@ -108,23 +128,34 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], top[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(top) - 1]])]
 
 
-#: What earlier sets found, beside the caller's columns: spans of words and bytes, and item names.
-_HITS, _ITEMS = "__nw_hits", "__nw_items"
+#: Sets that one stage scans with; after them the rows are written, and their sets are let go.
+TOGETHER = 8
 
 
 def _scanned(df: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, item_text: str, width: int, max_bytes: int, finish: Callable, schema: T.StructType) -> DataFrame:
     """`finish(batch, words, hits by row, items by row)` makes the rows of `schema` from each batch after the last set."""
     shared.prepare(df.sparkSession)
     context = df.sparkSession.sparkContext
-    sets = [context.broadcast(x) for x in ngram_sets(benchmark, id_col, item_text, width, max_bytes)]
-    carry = T.StructType([*df.schema.fields, T.StructField(_HITS, T.BinaryType()), T.StructField(_ITEMS, T.ArrayType(T.StringType()))])
-    for k, one in enumerate(sets):
-        last = k == len(sets) - 1
-        df = df.mapInArrow(_step(one, text_col, k > 0, finish if last else None), schema if last else carry)
+    # What earlier sets found, beside the caller's columns: spans of words and bytes, and item names.
+    hits, items = shared.unused("hits", df), shared.unused("items", df)
+    carry = T.StructType([*df.schema.fields, T.StructField(hits, T.BinaryType()), T.StructField(items, T.ArrayType(T.StringType()))])
+    sets, k, sent = ngram_sets(benchmark, id_col, item_text, width, max_bytes), 0, []
+    one = next(sets)
+    while one is not None:
+        after = next(sets, None)
+        sent.append(context.broadcast(one))
+        df = df.mapInArrow(_step(sent[-1], text_col, hits, items, k > 0, None if after else finish), carry if after else schema)
+        k += 1
+        if after and k % TOGETHER == 0:
+            df = shared.written(df, "scanned")
+            for x in sent:
+                x.destroy()
+            sent = []
+        one = after
     return df
 
 
-def _step(one, text_col: str, later: bool, finish: Callable | None):
+def _step(one, text_col: str, hits_col: str, items_col: str, later: bool, finish: Callable | None):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = one.value
         for batch in batches:
@@ -135,17 +166,17 @@ def _step(one, text_col: str, later: bool, finish: Callable | None):
             cuts = np.flatnonzero(np.diff(hits[:, 0])) + 1
             for own in np.split(hits, cuts) if len(hits) else []:
                 rows[own[0, 0]] = own[:, [1, 2, 4, 5]]
-                names[own[0, 0]] = [x for x in {known.names[i] for i in own[:, 3].tolist()} if x is not None]
+                names[own[0, 0]] = list({x for i in np.unique(own[:, 3]).tolist() for x in known.items_of(i)})
             if later:
-                for r, (old, found) in enumerate(zip(batch.column(_HITS).to_pylist(), batch.column(_ITEMS).to_pylist(), strict=True)):
+                for r, (old, found) in enumerate(zip(batch.column(hits_col).to_pylist(), batch.column(items_col).to_pylist(), strict=True)):
                     if old:
                         rows[r] = np.concatenate([np.frombuffer(old, np.int64).reshape(-1, 4), rows[r]])
                         names[r] = [*{*names[r], *found}]
-                batch = batch.drop_columns([_HITS, _ITEMS])
+                batch = batch.drop_columns([hits_col, items_col])
             if finish:
                 yield finish(batch, total, rows, names)
             else:
-                yield batch.append_column(_HITS, pa.array([x.tobytes() for x in rows], pa.binary())).append_column(_ITEMS, pa.array(names, pa.list_(pa.string())))
+                yield batch.append_column(hits_col, pa.array([x.tobytes() for x in rows], pa.binary())).append_column(items_col, pa.array(names, pa.list_(pa.string())))
 
     return step
 
@@ -195,7 +226,10 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text"
             new = out.column(k).to_pylist()
             for at, (_, (a, b)) in texts.items():
                 raw = new[at].encode()
-                parts = [raw[i:j].decode().strip() for i, j in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)]
+                parts = [raw[i:j].decode() for i, j in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True)]
+                # White space goes at the cuts, and stays at the ends of the text.
+                parts = [(x.lstrip() if i else x) for i, x in enumerate(parts)]
+                parts = [(x.rstrip() if i < len(parts) - 1 else x) for i, x in enumerate(parts)]
                 new[at] = " ".join(x for x in parts if x)
             out = out.set_column(k, out.schema.field(k), pa.array(new, out.schema.field(k).type))
         return out

@@ -17,8 +17,9 @@ with less than a thousandth of the rows.
 
 Defined results: a null url, or one without ://, has an empty host and an empty path
 and is judged as that host. Null outcomes are none; repeated pages are judged row by
-row. The registered domain is the last two labels, or three where the last two are
-in `suffixes`; the suffix is what stands behind its first label.
+row. The registered domain is the last two labels, or three where the last is a
+country's (two letters) behind one of `suffixes`; the suffix is what stands behind its
+first label. Ports don't count, and an address of numbers is its own domain.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "co.nz", "co.za", "com.cn", "co.in", "com.mx")
+#: Labels that make a suffix of two labels before a country's.
+SUFFIXES = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 Z, LEAST = 1.645, 0.6
 HOT = 1000
 
@@ -74,11 +77,13 @@ def _matched(rules: list[Rule], host: str, path: str) -> Column:
 
 
 def _levels(host: str, suffixes: tuple[str, ...]) -> tuple[Column, Column]:
-    """(registered domain, suffix)."""
-    labels = F.split(host, "[.]")
-    last = lambda n: F.when(F.size(labels) > n, F.array_join(F.slice(labels, -n, n), ".")).otherwise(F.col(host))
-    wide = last(2).isin(*suffixes) if suffixes else F.lit(False)
-    return F.when(wide, last(3)).otherwise(last(2)), F.when(wide, last(2)).otherwise(last(1))
+    """(registered domain, suffix) of a host without its port; an address of numbers is its own domain and suffix."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    labels = F.split(name, "[.]")
+    last = lambda n: F.when(F.size(labels) > n, F.array_join(F.slice(labels, -n, n), ".")).otherwise(name)
+    address = name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") | F.startswith(name, F.lit("["))
+    wide = name.rlike(rf"(^|\.)({'|'.join(suffixes)})\.[a-z]{{2}}$") if suffixes else F.lit(False)
+    return F.when(address, name).when(wide, last(3)).otherwise(last(2)), F.when(address, name).when(wide, last(2)).otherwise(last(1))
 
 
 def _strength(children: DataFrame) -> float:
@@ -98,7 +103,8 @@ def reputation(pages: DataFrame, *, good: str, suffixes: tuple[str, ...] = SUFFI
     seen = F.col(good).isNotNull()
     hosts = pages.groupBy("host").agg(F.count("*").alias("pages"), F.count_if(seen).alias("n"), F.count_if(seen & F.col(good)).alias("good"))
     domain, suffix = _levels("host", suffixes)
-    hosts = hosts.select("*", domain.alias("domain"), suffix.alias("suffix"))
+    # Counted once; the levels above and their strengths are read from this table.
+    hosts = shared.written(hosts.select("*", domain.alias("domain"), suffix.alias("suffix")), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = tops.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")).first()

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.skew import attach
 from . import ragged as R
 from . import shared
 from .components import components
@@ -47,6 +48,7 @@ from .components import components
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS = 64
 BUCKET, TILE, DEEPEST = 1500, 256, 12
+HOT_BUCKETS = 1000
 #: Runs of the first batch.
 RUNS = 8
 _SALT = R.mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -96,8 +98,8 @@ def _sketch(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, sig, n, sketch) of every row."""
-    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
+    """(id, hash, sig, n, sketch) of every row; the hash is the text's."""
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("hash", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,11 +107,11 @@ def _signed(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 size = np.diff(bounds).astype(np.int32)
                 sketches = iter(_sketch(h, bounds))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(_signature(h, bounds), pa.binary()), pa.array(size), pa.array([next(sketches).tobytes() if k else None for k in size], pa.binary())],
-                    names=["id", "sig", "n", "sketch"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(_signature(h, bounds), pa.binary()), pa.array(size), pa.array([next(sketches).tobytes() if k else None for k in size], pa.binary())],
+                    names=["id", "hash", "sig", "n", "sketch"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
 
 
 _ROW = "key long, sig binary, n int, sketch binary"
@@ -198,7 +200,7 @@ def _brute(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.select("key", "sig", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
 
 
-def _pivots(rows: DataFrame, threshold: float) -> DataFrame:
+def _pivots(rows: DataFrame, threshold: float, hot: int) -> DataFrame:
     """Rows of large buckets with their pivot's tokens: adds `near` (a candidate of the pivot) and `stays` (in the recursion).
 
     Distances add up: with the pivot at most `reach` away, every set linked to a row
@@ -216,9 +218,9 @@ def _pivots(rows: DataFrame, threshold: float) -> DataFrame:
             away = 1 - (mine == theirs).mean(1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "sig", "n", "sketch", "pivot")), pa.array(away <= reach), pa.array(away > 0.3)], names=[f.name for f in schema.fields])
 
-    pivot = rows.groupBy("key").agg(F.min_by(F.struct("sig", "sketch"), F.xxhash64("sig", "key")).alias("p"))
-    pivot = pivot.select("key", F.col("p.sig").alias("pivot"), F.col("p.sketch").alias("other"))
-    return rows.join(pivot, "key").select("key", "sig", "n", "sketch", "pivot", "other").mapInArrow(run, schema)
+    pivot = rows.groupBy("key").agg(F.min_by(F.struct("sig", "sketch"), F.xxhash64("sig", "key")).alias("p"), F.count("*").alias("size"))
+    pivot = pivot.select("key", "size", F.col("p.sig").alias("pivot"), F.col("p.sketch").alias("other"))
+    return attach(rows, pivot, "key", "size", "sig", hot).select("key", "sig", "n", "sketch", "pivot", "other").mapInArrow(run, schema)
 
 
 def survival(depth: int, threshold: float) -> float:
@@ -234,19 +236,21 @@ def candidate_links(sets: DataFrame, *, threshold: float = THRESHOLD, recall: fl
     if not 0.5 <= threshold < 1:
         raise ValueError("the threshold must be at least 0.5 and under 1")
     links: list[DataFrame] = []
+    # Facts of a bucket with more rows than this are broadcast; there are at most HOT_BUCKETS such buckets in a run's level.
+    hot = max(bucket, sets.count() // HOT_BUCKETS)
     done, need, depth = 0, RUNS, 1
     while done < need:
         runs, level, rows = list(range(done, need)), 1, None
         while True:
             rows = _children(sets.select("sig", "n", "sketch") if rows is None else rows, runs if level == 1 else None, threshold)
-            sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-            dealt = shared.written(rows.join(sizes, "key"), "paths")
+            sizes = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("size", F.col("rows"))
+            dealt = shared.written(attach(rows, sizes, "key", "rows", "sig", hot).where("size > 1"), "paths")
             small = dealt.where(F.col("size") <= bucket)
             large = dealt.where(F.col("size") > bucket).drop("size")
             found = _brute(small, threshold)
             deeper = not large.isEmpty()
             if deeper:
-                met = shared.written(_pivots(large, threshold), "pivots")
+                met = shared.written(_pivots(large, threshold, hot), "pivots")
                 near = met if level == deepest else met.where("near")
                 found = found.union(near.where("sig != pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
                 rows = met.where("stays").select("key", "sig", "n", "sketch")
@@ -346,13 +350,20 @@ def linked_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Per row: id, class_id (least id of its connected texts), n_links (other documents at the threshold or above), n_copies (documents with an equal set), n_linked_sets (other sets linked)."""
     shared.prepare(df.sparkSession)
     docs = shared.written(_signed(df, id_col, text_col, words), "signed")
-    sets = shared.written(docs.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    row = F.struct("id", "hash")
+    named = F.coalesce(F.min(F.when(F.col("id").isNotNull(), row)), F.min(row))
+    sets = shared.written(docs.where("n > 0").groupBy("sig").agg(named.alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
     links = candidate_links(sets, threshold=threshold, recall=recall, bucket=bucket, deepest=deepest)
     comps = components(links, "a", "b").withColumnRenamed("node", "sig")
-    members = shared.written(comps.join(sets.select("sig", "rep", "copies", "n"), "sig"), "members")
+    whole = sets
+    sets = sets.withColumn("rep", F.col("rep.id"))
+    members = shared.written(comps.join(whole.select("sig", "rep", "copies", "n"), "sig"), "members")
     tiles = _tiles(members, threshold, tile).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
-    wanted = members.select(F.col("rep").alias("want"), "sig", "copies").join(tiles, "sig")
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, F.col("rep").eqNullSafe(F.col("want")))
+    # A set's text is that of one row: by id and hash, so rows that share an id, or have none, don't meet each other's sets.
+    wanted = members.select(F.col("rep.id").alias("want"), F.col("rep.hash").alias("wanted_hash"), "sig", "copies").join(tiles, "sig")
+    texts = df.select(F.col(id_col).alias("rep"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    texts = texts.join(wanted, F.col("rep").eqNullSafe(F.col("want")) & (F.col("hash") == F.col("wanted_hash")))
+    texts = texts.where("rep is not null").unionByName(texts.where("rep is null").dropDuplicates(["sig"]))
     placed = _resets(texts.select("text", "sig", "copies", "tiles"), words).select("sig", "copies", "set", F.inline("tiles"))
     found = shared.written(_verified(placed.select("tile", "side", "sig", "copies", "set"), threshold), "verified")
     counted = found.groupBy("sig").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))

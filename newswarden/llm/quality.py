@@ -14,8 +14,8 @@ of all texts.
 
 Defined results: a null, empty or blank text has no lines; its content share is 0
 and its quality is the labelled documents' own share of good ones. Repeated ids are
-judged row by row; of several labels of one document the lowest counts; with no
-labels every score is 0.5. Null labels are no labels.
+judged row by row; of several labels of one document the lowest counts, and of several
+texts of a labelled id the first in order is learnt from; with no labels every score is 0.5. Null labels are no labels.
 """
 
 from __future__ import annotations
@@ -63,8 +63,8 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
                 out = [t.bins[bounds[r] : bounds[r + 1]].tobytes() for r in range(t.hi - t.lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(t.lo, t.hi - t.lo), pa.array(out, pa.binary())], names=["label", "bins"])
 
-    texts = documents.select(id_col, text_col).join(F.broadcast(known), id_col).dropDuplicates([id_col])
-    rows = texts.select(text_col, F.col("__nw_label").cast("int")).mapInArrow(look, "label int, bins binary").collect()
+    texts = documents.select(id_col, text_col).join(F.broadcast(known), id_col).groupBy(id_col).agg(F.min(text_col).alias("__nw_text"), F.first("__nw_label").alias("__nw_label"))
+    rows = texts.select("__nw_text", F.col("__nw_label").cast("int")).mapInArrow(look, "label int, bins binary").collect()
     label = np.array([int(r.label > 0) for r in rows], np.int64)
     bins = [np.frombuffer(r.bins, np.int8).reshape(-1, len(lines.BINS)) for r in rows]
     size = np.array([len(b) for b in bins], np.int64)

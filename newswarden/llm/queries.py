@@ -100,7 +100,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     scored = quality.classify(documents, quality.train(documents, _read(spark, sf_dir, "labels"), held_out=0))
-    return scored.select("doc_id", (quality.remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
+    held_out = F.coalesce(quality.remainder("doc_id") == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,16 +137,17 @@ def _fits(host: str, path: str) -> str:
 
 
 _LONGEST = sorted(URL_RULES, key=lambda r: -len(r.text))
-_WIDE = "(" + ", ".join(f"'{x}'" for x in hosts.SUFFIXES) + ")"
-_LAST = "CASE WHEN len(l) > {0} THEN array_to_string(l[-{0}:], '.') ELSE host END"
+_WIDE = rf"regexp_matches(name, '(^|\.)({'|'.join(hosts.SUFFIXES)})\.[a-z]{{2}}$')"
+_ADDRESS = r"(regexp_matches(name, '^[0-9]{1,3}(\.[0-9]{1,3}){3}$') OR starts_with(name, '['))"
+_LAST = "CASE WHEN len(l) > {0} THEN array_to_string(l[-{0}:], '.') ELSE name END"
 #: The same levels and bound in SQL; the rules as one ladder, longest first.
 _OP8 = f"""WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', '{"abcdefghijklmnopqrstuvwxyz"}'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
     try_cast(regexp_extract(url, '://[^/?#]*/(?:[^/?#]*/)?([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT) AS doc_id FROM pages),
   lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY 1),
   o AS (SELECT page_id, min(q) > 0 AS good FROM p JOIN lab ON lab.doc_id = p.doc_id GROUP BY 1),
   h0 AS (SELECT host, count(o.good) AS n, count(*) FILTER (o.good) AS good FROM p LEFT JOIN o ON o.page_id = p.page_id GROUP BY 1),
-  h1 AS (SELECT *, string_split(host, '.') AS l FROM h0), h2 AS (SELECT *, {_LAST.format(2)} IN {_WIDE} AS wide FROM h1),
-  h AS (SELECT host, n, good, CASE WHEN wide THEN {_LAST.format(3)} ELSE {_LAST.format(2)} END AS domain, CASE WHEN wide THEN {_LAST.format(2)} ELSE {_LAST.format(1)} END AS suffix FROM h2),
+  h1 AS (SELECT *, string_split(name, '.') AS l FROM (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM h0)), h2 AS (SELECT *, {_WIDE} AS wide, {_ADDRESS} AS address FROM h1),
+  h AS (SELECT host, n, good, CASE WHEN address THEN name WHEN wide THEN {_LAST.format(3)} ELSE {_LAST.format(2)} END AS domain, CASE WHEN address THEN name WHEN wide THEN {_LAST.format(2)} ELSE {_LAST.format(1)} END AS suffix FROM h2),
   d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY 1, 2), t AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM d GROUP BY 1),
   g AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM t),
   {_level("sa", "t", "g")}, {_level("sb", "d", "t")}, {_level("sc", "h", "d")},
