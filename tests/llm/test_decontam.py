@@ -53,3 +53,21 @@ def test_removal_keeps_columns_and_clean_rows(spark):
     out = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench).collect()}
     assert set(out) == {1, 3, 4} and "w5" not in out[1] and out[1].endswith("more tail") and out[3] == "clean"
     assert {r.doc_id for r in decontam.decontaminate(docs, bench, remove="documents").collect()} == {3, 4}
+
+
+def test_many_sets_clashing_columns_and_shared_windows(spark, monkeypatch):
+    """Sets are let go after each two scans; a window that many items share names them all."""
+    monkeypatch.setattr(decontam, "TOGETHER", 2)
+    docs = spark.createDataFrame([(1, f"x {LONG} y", "own"), (2, "nothing", None)], "doc_id long, text string, __nw_hits string")
+    bench = spark.createDataFrame([(i, LONG) for i in range(30)], "item_id int, text string")
+    for max_bytes in (decontam.MAX_BYTES, 400):
+        got = {r.doc_id: (r.n_hit, len(r["items"])) for r in decontam.contamination(docs, bench, max_bytes=max_bytes).collect()}
+        assert got == {1: (40, 30), 2: (0, 0)}
+        clean = {r.doc_id: (r.text, r["__nw_hits"]) for r in decontam.decontaminate(docs, bench, max_bytes=max_bytes, drop_share=1.0).collect()}
+        assert clean == {1: ("x y", "own"), 2: ("nothing", None)}
+
+
+def test_white_space_at_the_ends_stays(spark):
+    docs = spark.createDataFrame([(1, f"\n  a {LONG} b \n")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, LONG)], "item_id int, text string")
+    assert decontam.decontaminate(docs, bench, drop_share=1.0).first().text == "\n  a b \n"

@@ -81,3 +81,10 @@ def test_empty_tables(spark):
     assert hosts.judged(pages, none, URL_RULES).collect() == []
     one = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], "page_id long, url string")
     assert hosts.judged(one, none, []).count() == 3
+
+
+def test_levels_of_ports_addresses_and_country_suffixes(spark):
+    names = {"a.b.co.uk": ("b.co.uk", "co.uk"), "a.b.com": ("b.com", "com"), "x.gov.br:8080": ("x.gov.br", "gov.br"), "a.b.com:80": ("b.com", "com"), "10.0.0.1:99": ("10.0.0.1", "10.0.0.1"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.nic.io": ("nic.io", "io")}
+    df = spark.createDataFrame([(h,) for h in names], "host string")
+    domain, suffix = hosts._levels("host", hosts.SUFFIXES)
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == names

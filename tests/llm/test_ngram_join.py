@@ -88,3 +88,21 @@ def test_odd_tables_and_filter(spark):
 def test_survival_is_a_lower_bound_of_recall():
     q = [ngram_join.survival(d, 0.8) for d in range(1, 6)]
     assert q == sorted(q, reverse=True) and abs(q[0] - 0.84) < 1e-9 and q[-1] > 0.5
+
+
+def test_hot_buckets_and_rows_without_a_name(spark, monkeypatch):
+    """Small limits force pivots and broadcast facts; sets are found by id and text, so rows that share an id don't mix."""
+    monkeypatch.setattr(ngram_join, "HOT_BUCKETS", 1_000_000)
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        own[int(rng.integers(60))] = f"x{k}"
+        texts.append(" ".join(own))
+    rows = [(None if k % 3 == 0 else k % 20, t) for k, t in enumerate(texts)] + [(None, "something else altogether in here now")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.linked_documents(df, bucket=8, tile=16).collect()
+    sets = [shingles(t) for _, t in rows]
+    want = sorted(sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets) - 1 for a in sets)
+    assert sorted(r.n_links for r in got) == want

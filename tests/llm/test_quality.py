@@ -80,3 +80,11 @@ def test_fit_takes_all_lines(spark, monkeypatch):
     monkeypatch.setattr(crf, "fit", lambda bins, row, *rest, **options: taken.extend(np.bincount(row).tolist()) or fit(bins, row, *rest, **options))
     quality.train(docs, labels)
     assert sorted(taken) == [3, 64, 65, 500]
+
+
+def test_null_ids_are_not_held_out_and_repeated_ids_learn_alike(spark):
+    rows = [(None, "one line of words here"), (3, "b text"), (3, "a text"), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (5, 0)], "doc_id long, quality int")
+    both = [quality.classify(d, quality.train(d, labels)).collect() for d in (df, df.repartition(3))]
+    assert sorted(map(str, both[0])) == sorted(map(str, both[1]))
