@@ -326,8 +326,8 @@ def corpus_counts(df: DataFrame, model_path: str) -> DataFrame:
                 kept = ~out_of[lo:hi][rows]
                 ids, bounds = words.sequence(rows[kept], hi - lo, place[inverse[kept]])
                 ids = np.insert(ids, bounds[1:][~out_of[lo:hi]], words.model.eos)
-                np.add.at(near, ids[:-1] * wide + ids[1:] % CONTEXTS, 1)
-                np.add.at(near, ids[1:] * wide + CONTEXTS + ids[:-1] % CONTEXTS, 1)
+                np.add.at(near, ids[:-1] * wide + ids[1:] % CONTEXTS, np.uint32(1))
+                np.add.at(near, ids[1:] * wide + CONTEXTS + ids[:-1] % CONTEXTS, np.uint32(1))
                 held.append((own, times - rest, rest))
                 length = words.model.bounds[place + 1] - words.model.bounds[place]
                 ids = R.gather(words.model.values, words.model.bounds, place)
