@@ -158,3 +158,30 @@ def suggested_fix(bucket: Column, tier: Column, score: Column) -> Column:
         .when(bucket.isin("rss_summary_too_short", "signal_only_in_body"), "consider_source_tier_boost_or_shadow_sampling")
         .otherwise("manual_review_required")
     )
+
+
+def exact_agreement(rows: DataFrame) -> DataFrame:
+    """From gold_related, gold_vendors, gold_products, gold_cves and the predicted related, vendors, products, cves: whether each agrees; vendors and products null unless gold is related."""
+    same = lambda n: F.array_sort(canonical(F.col(f"gold_{n}"))) == F.array_sort(canonical(F.col(n)))
+    only = lambda n: F.when(F.col("gold_related"), same(n))
+    return rows.withColumns({"related": F.col("gold_related") == F.col("related"), "vendors": only("vendors"), "products": only("products"), "cves": same("cves")})
+
+
+def agreement_rates(agreed: DataFrame) -> DataFrame:
+    """One row of rates: no samples give 0, no judged vendors or products null."""
+    n = agreed.agg(F.count("*").alias("samples"), *(F.count_if(c).alias(c) for c in ("related", "vendors", "products", "cves")), *(F.count(c).alias(f"n_{c}") for c in ("vendors", "products")))
+    judged = lambda c: F.when(F.col(f"n_{c}") > 0, F.col(c) / F.col(f"n_{c}"))
+    return n.select("samples", ratio(F.col("related"), F.col("samples")).alias("related_rate"), judged("vendors").alias("vendor_rate"), judged("products").alias("product_rate"), ratio(F.col("cves"), F.col("samples")).alias("cve_rate"))
+
+
+def disagreement(label: Column, decision: Column, score: Column, assessment: Column) -> Column:
+    """How a judge's label and the filter's decision differ: the first fitting kind."""
+    critical, irrelevant = label == "CRITICAL_RELEVANT", label == "IRRELEVANT"
+    return (
+        F.when(critical & (decision == "DROP"), "false_negative_risk")
+        .when(critical & (score < 40), "under_scored_critical")
+        .when(irrelevant & (decision == "KEEP"), "false_positive_risk")
+        .when(irrelevant & (score >= 40), "over_scored_irrelevant")
+        .when(assessment == "REASONABLE", "reasonable")
+        .otherwise("minor_difference")
+    )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..context import DEFAULT
 from ..operators import evaluation, filtering
 from ..functions import text
-from .domain import _SIGNALS
+from .domain import _ITEMS, _SIGNALS
 from .registry import query
+from .text import CVES
 
 _C = F.col
 _LABEL = "CASE id % 4 WHEN 0 THEN 'CRITICAL_RELEVANT' WHEN 1 THEN 'RELEVANT' WHEN 2 THEN 'WEAK_RELEVANT' ELSE 'IRRELEVANT' END"
@@ -85,9 +87,40 @@ def _(t):
     return evaluation.binary_metrics(t.labels.select((_C("quality") == 1).alias("g"), (_C("doc_id") % 5 != 0).alias("p")), "g", "p").drop("f1")
 
 
-@query("e_09_agreement", "SELECT doc_id, quality = CAST(doc_id % 2 AS INTEGER) AS exact, CASE WHEN quality = 1 THEN toxic = 0 END AS vendor_match FROM labels")
+def _vendors(column: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN {v} THEN '{p.vendor}' END" for p, _, v in _ITEMS).replace("txt", column) + "], lambda x: x IS NOT NULL)"
+
+
+_AGREE = f"""ag AS (SELECT id, len(gv) > 0 AS gold_related, len(pv) > 0 AS pred_related, list_sort(gv) = list_sort(pv) AS v, list_sort(list_distinct(gc)) = list_sort(list_distinct(pc)) AS c
+    FROM (SELECT id, {_vendors("title")} AS gv, {_vendors("body")} AS pv, {CVES.format("title")} AS gc, {CVES.format("body")} AS pc FROM (SELECT id, title, concat(title, ' ', clean_text) AS body FROM v_articles)))"""
+
+
+@query("e_09_agreement", f"WITH {_AGREE} SELECT id, gold_related = pred_related AS related, CASE WHEN gold_related THEN v END AS vendors, c AS cves FROM ag")
+def _(t):
+    return evaluation.exact_agreement(_gold_and_predicted(t)).select("id", "related", "vendors", "cves")
+
+
+@query("e_09_agreement_rates", f"WITH {_AGREE} SELECT count(*) AS samples, count(*) FILTER (gold_related = pred_related) / count(*) AS related_rate, count(*) FILTER (gold_related AND v) / nullif(count(*) FILTER (gold_related), 0) AS vendor_rate, count(*) FILTER (c) / count(*) AS cve_rate FROM ag")
+def _(t):
+    return evaluation.agreement_rates(evaluation.exact_agreement(_gold_and_predicted(t))).select("samples", "related_rate", "vendor_rate", "cve_rate")
+
+
+def _gold_and_predicted(t):
+    """What a title says as gold, what title and body say as predicted."""
+    body = F.concat("title", F.lit(" "), "clean_text")
+    gold, predicted = (filtering.inventory_hits(c, DEFAULT.inventory) for c in (_C("title"), body))
+    a = t.articles.select("id", gold[0].alias("gold_vendors"), gold[1].alias("gold_products"), text.cves(_C("title")).alias("gold_cves"), predicted[0].alias("vendors"), predicted[1].alias("products"), text.cves(body).alias("cves"))
+    return a.withColumns({"gold_related": F.size("gold_vendors") > 0, "related": F.size("vendors") > 0})
+
+
+_KIND = """CASE WHEN human_label = 'CRITICAL_RELEVANT' AND decision = 'DROP' THEN 'false_negative_risk' WHEN human_label = 'CRITICAL_RELEVANT' AND score < 40 THEN 'under_scored_critical' WHEN human_label = 'IRRELEVANT' AND decision = 'KEEP' THEN 'false_positive_risk'
+  WHEN human_label = 'IRRELEVANT' AND score >= 40 THEN 'over_scored_irrelevant' WHEN id % 3 = 0 THEN 'reasonable' ELSE 'minor_difference' END"""
+
+
+@query("e_06_disagreements", f"{_RES} SELECT kind, count(*) AS n FROM (SELECT {_KIND} AS kind FROM res) GROUP BY 1")
 def _(t):
-    return t.labels.select("doc_id", (_C("quality") == _C("doc_id") % 2).alias("exact"), F.when(_C("quality") == 1, _C("toxic") == 0).alias("vendor_match"))
+    assessed = F.when(_C("id") % 3 == 0, "REASONABLE").otherwise("TOO_LOW")
+    return _results(t).select(evaluation.disagreement(_C("human_label"), _C("decision"), _C("score"), assessed).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("e_10_pairs", "SELECT CASE WHEN a.label = b.label THEN 'same_event' ELSE 'different_event' END AS label, count(*) AS pairs FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id GROUP BY 1")

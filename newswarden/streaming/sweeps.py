@@ -33,11 +33,12 @@ def observed(events: DataFrame, late: str = "2 minutes", window: str = "1 day")
     return at.groupBy(F.window("retrieved_at", window), "source").agg(F.count("*").alias("n"), F.max("value").alias("highest"))
 
 
-def merged_by(table_path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def merged_by(table_path: str, merge: Callable[[DataFrame, DataFrame], DataFrame], keep: int = 3) -> Callable[[DataFrame, int], None]:
     """A sink that merges each batch into a snapshot and writes the next one beside it.
 
     The snapshot of batch n is `table_path`/v=n, made from the last one before n, so a
-    batch that is run again writes the same snapshot again.
+    batch that is run again writes the same snapshot again. The last `keep` snapshots
+    stay, for readers and for a batch that is run again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -48,6 +49,8 @@ def merged_by(table_path: str, merge: Callable[[DataFrame, DataFrame], DataFrame
         before = [v for v in there if v < number]
         old = spark.read.parquet(f"{table_path}/v={max(before)}") if before else batch.limit(0)
         merge(old, batch).write.mode("overwrite").parquet(f"{table_path}/v={number}")
+        for v in sorted(before)[: -max(keep - 1, 1)]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v={v}"), True)
 
     return write
 

@@ -87,3 +87,19 @@ def test_markdown_report(spark, tmp_path):
     path = landing.report(df, str(tmp_path / "r"), "Title")
     assert spark.read.json(path).count() == 2
     assert [r.value for r in spark.read.text(f"{path}.md").collect()] == ["# Title", "", "| name | n |", "| --- | --- |", "| a\\|b | 1 |", "|  | 2 |"]
+
+
+def test_exact_quantiles_by_narrowing(spark):
+    import random
+
+    from newswarden.operators import quantiles
+
+    rng = random.Random(1)
+    for values in ([rng.random() for _ in range(3000)], [rng.choice([1.0, 2.0]) for _ in range(2001)], [5.0], [1.0, 2.0]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+        for q in (0.0, 0.1, 0.5, 0.99, 1.0):
+            s, place = sorted(values), q * (len(values) - 1)
+            low, high = s[int(place)], s[min(int(place) + (place > int(place)), len(s) - 1)]
+            want = low + (high - low) * (place - int(place))
+            assert all(abs(quantiles.interpolated(df, "x", q, few) - want) < 1e-12 for few in (50, 10_000))
+    assert quantiles.interpolated(spark.createDataFrame([], "x double"), "x", 0.5) is None
