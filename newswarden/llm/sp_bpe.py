@@ -199,8 +199,8 @@ class Model:
         return a, np.concatenate([[0], np.cumsum(np.bincount(b, minlength=n))]).astype(np.int64)
 
     def _library(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) from the library, for users of the ids who don't ask for the agenda."""
-        theirs = self.library.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
+        """(ids, bounds) of segments from the library, for users of the ids who don't ask for the agenda."""
+        theirs = self.library.encode(segments, num_threads=1)
         for k in [k for k, x in enumerate(segments) if not x]:
             # The library puts no mark before an empty text.
             theirs[k] = self.heap(MARK)
@@ -208,8 +208,6 @@ class Model:
         return np.fromiter(chain.from_iterable(theirs), np.int32, int(size.sum())), np.concatenate([[0], np.cumsum(size)])
 
     def _checked(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not self.check:
-            return self._library(segments)
         ids, bounds = self.encode_segments([MARK + s for s in segments])
         theirs = self.library.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
         for k in [k for k, x in enumerate(segments) if not x]:
@@ -274,8 +272,12 @@ class Model:
         new = np.flatnonzero(out < 0)
         if len(new):
             raw = part.tobytes()
-            segments = [raw[a:b].decode().replace(" ", MARK) for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
-            out[new] = self._store(second[new], *self._checked(segments))
+            segments = [raw[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)]
+            if self.check:
+                found = self._checked([x.replace(" ", MARK) for x in segments])
+            else:
+                found = self._library([x.replace(MARK, " ") for x in segments] if MARK.encode() in raw else segments)
+            out[new] = self._store(second[new], *found)
             (old, places), (some, their) = self.runs
             at = np.searchsorted(some, own[new])
             some, their = np.insert(some, at, own[new]), np.insert(their, at, out[new])
