@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, chat, decontam, hosts, ngram_join, pseudonyms, quality, sp_bpe, token_shards
+from . import attention_lm, chat, collocations, decontam, fingerprints, hosts, ngram_join, pseudonyms, quality, sp_bpe, spelling, token_shards
 
 SP_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -104,6 +104,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.of_documents(_read(spark, sf_dir, "documents"), slips=97)
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(_read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_host_reputation": op8_host_reputation,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
 
@@ -196,4 +211,33 @@ _OP7 = f"""WITH b AS (SELECT item_id, w, least({decontam.WIDTH}, len(w)) AS s FR
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
   FROM d LEFT JOIN n USING (r) LEFT JOIN it USING (r)"""
 
-ORACLES: dict[str, str] = {"op2_chat_format": _OP2, "op7_decontamination": _OP7, "op8_host_reputation": _OP8}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 by its table of 256 numbers, made here bit by bit; near words by leaving out one code point of each.
+_OP11 = rf"""WITH RECURSIVE bits AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS tab),
+  runs AS (SELECT id, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY 1, 2),
+  coded AS (SELECT run, n, list_prepend(4294967295, flatten(list_transform(string_split(concat(id, ':', run), ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + CAST(unicode(c) AS BIGINT) // 64, 128 + CAST(unicode(c) AS BIGINT) % 64] END))) AS b FROM runs),
+  summed AS (SELECT run, n, xor(list_reduce(b, lambda s, x: xor(s // 256, tab[xor(s, x) % 256 + 1])), 4294967295) AS h FROM coded, bits),
+  slipped AS (SELECT CASE WHEN h % 97 = 0 THEN concat(run[: h % length(run)], run[h % length(run) + 2 :]) ELSE run END AS word, n FROM summed),
+  w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+  v AS (SELECT word, i, concat(word[: i - 1], word[i + 1 :]) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+  shorter AS (SELECT DISTINCT v.word AS long, w.word AS short FROM v JOIN w ON w.word = v.d),
+  near AS (SELECT a.word, b.word AS other FROM v a JOIN v b ON a.i = b.i AND a.d = b.d AND a.word <> b.word UNION ALL SELECT long, short FROM shorter UNION ALL SELECT short, long FROM shorter),
+  best AS (SELECT near.word, count(*) AS n_near, first(other ORDER BY o.n DESC, other) AS form, max(o.n) AS form_n FROM near JOIN w o ON o.word = near.other GROUP BY 1),
+  f AS (SELECT w.word, CASE WHEN form_n >= 2 * n THEN form END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM w LEFT JOIN best USING (word)),
+  walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL),
+  root AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+  SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
+
+_OP13 = rf"""WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+  g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k)),
+  f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3),
+  c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+  cuts AS (SELECT c.*, cut, array_to_string(w[1 : cut], ' ') AS x, array_to_string(w[cut + 1 :], ' ') AS y FROM c, (VALUES (1), (2)) AS s(cut) WHERE cut < k),
+  s AS (SELECT cuts.lang, cuts.phrase, a, cut, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY 1, 2),
+  t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+  kept AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE longer IS NULL OR longer * 100 < a * 50)
+  SELECT kept.lang, rank, phrase, a, l, r, n, score FROM kept JOIN t ON t.lang = kept.lang WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op11_spelling_variants": _OP11, "op13_collocations": _OP13, "op2_chat_format": _OP2, "op7_decontamination": _OP7, "op8_host_reputation": _OP8}
