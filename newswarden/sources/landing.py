@@ -31,3 +31,10 @@ def report(df: DataFrame, path: str, title: str | None = None) -> str:
         spark = df.sparkSession
         spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.md")
     return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared storage, for what is read more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
