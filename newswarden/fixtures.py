@@ -35,6 +35,8 @@ VIEWS = {
       CASE doc_id % 11 WHEN 0 THEN NULL ELSE (doc_id * 17 % 100) / 100.0 END AS rss_recall,
       n_chars FROM documents""",
     "v_inventory": "SELECT * FROM (VALUES ('Acme','Acme Gateway','Acme GW','critical','quiet'),('Globex','Globex Cloud','Globex','high','noisy'),('Initech','Initech Vault','Vault PAM','medium','quiet')) AS t(vendor, product, alias, criticality, news_volume)",
+    # An item for each document, named by words that stand in the texts.
+    "v_dictionary": "SELECT doc_id AS place, concat('vendor-', CAST(doc_id AS STRING)) AS vendor, regexp_extract(text, '[^ ]+ [^ ]+', 0) AS product, regexp_extract(text, '([^ ]+) [^ ]+$', 1) AS alias_a, regexp_extract(text, '([A-Za-z]+) [^ ]+ [^ ]+$', 1) AS alias_b, doc_id % 7 = 0 AS noisy FROM documents",
     "v_observations": """SELECT event_id AS id, user_id AS case_id,
       CASE event_type WHEN 'click' THEN 'nvd' WHEN 'view' THEN 'kev' WHEN 'signup' THEN 'epss' ELSE 'nvd' END AS source,
       CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'transient_failure' WHEN event_id % 7 = 0 THEN 'not_found' ELSE 'ok' END AS status,

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from ..context import DEFAULT, Context
 from ..functions import numbers, text
-from .filtering import inventory_hits
+from .filtering import inventory_hits, with_inventory
 
 # What each zone is worth.
 ZONES = (("title", 1.0), ("summary", 0.9), ("lead", 0.8), ("body", 0.6), ("tail", 0.3))
 
 
-def extract(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
-    """(article_id, entity_type, entity_value, role, confidence) of title, rss_summary and clean_text.
+def extract(articles: DataFrame, context: Context = DEFAULT, inventory: DataFrame | None = None) -> DataFrame:
+    """(article_id, entity_type, entity_value, role, confidence) of title, rss_summary and clean_text; `inventory` as in `filtering.signals`.
 
     Every step is a column of its own, and the entities are taken out by an outer
     explode with a filter after it: from an inner one the optimizer would infer
@@ -25,8 +25,12 @@ def extract(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
     parts = text.zones_of(F.col("title"), F.col("rss_summary"), F.col("__body"))
     z = z.select("article_id", *(parts[n].alias(f"z_{n}") for n in zone))
     z = z.withColumn("whole", F.concat_ws("\n", *(f"z_{n}" for n in zone))).withColumn("low", F.lower("whole"))
-    vendors, products = inventory_hits(F.col("whole"), context.inventory, F.col("low"))
-    z = z.withColumns({"vendors": vendors, "products": products, "cve": text.cves(F.col("whole")), "attack": F.filter(F.array(*map(F.lit, context.lexicon.flat)), lambda w: F.contains(F.col("low"), w))})
+    if inventory is not None:
+        z = with_inventory(z.withColumn("id", F.col("article_id")), "whole", inventory, "").drop("id", "noisy")
+    else:
+        vendors, products = inventory_hits(F.col("whole"), context.inventory, F.col("low"))
+        z = z.withColumns({"vendors": vendors, "products": products})
+    z = z.withColumns({"cve": text.cves(F.col("whole")), "attack": F.filter(F.array(*map(F.lit, context.lexicon.flat)), lambda w: F.contains(F.col("low"), w))})
     z = z.withColumns({"ip": text.matches(F.col("whole"), text.IP), "domain": text.matches(F.col("whole"), text.DOMAIN, "lower"), "digest": text.matches(F.col("whole"), text.DIGEST, "lower")})
     kinds = {"vendor": "vendors", "product": "products", "cve": "cve", "ioc_ip": "ip", "ioc_domain": "domain", "ioc_hash": "digest", "attack_type": "attack"}
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..context import DEFAULT, Context, Product
 from ..functions import dates, text
+from . import phrases
 
 
 def _any(flags: list[Column]) -> Column:
@@ -28,8 +29,20 @@ def inventory_hits(words: Column, inventory: tuple[Product, ...], low: Column |
     return clean(vendors), clean(products)
 
 
-def signals(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
-    """Adds struct `s` with everything the filter looks at. Needs title, rss_summary, source_name, published_at; uses rss_categories and source_tier if there."""
+def with_inventory(rows: DataFrame, words: str, inventory: DataFrame, prefix: str) -> DataFrame:
+    """`rows` (with an `id`) and the vendors, products and noise that the inventory table finds in column `words`; rows of one id are told apart by their text."""
+    keyed = rows.withColumn("__key", F.struct("id", F.xxhash64(words).alias("h"), F.length(words).alias("n")))
+    hits = phrases.detected(keyed, inventory, "__key", words)
+    named = hits.select(F.col("key").alias("__key"), *(F.col(c).alias(f"{prefix}{c}") for c in ("vendors", "products", "noisy")))
+    none = F.array().cast("array<string>")
+    return keyed.join(named, "__key", "left").drop("__key").withColumns({f"{prefix}vendors": F.coalesce(f"{prefix}vendors", none), f"{prefix}products": F.coalesce(f"{prefix}products", none), f"{prefix}noisy": F.coalesce(f"{prefix}noisy", F.lit(False))})
+
+
+def signals(articles: DataFrame, context: Context = DEFAULT, inventory: DataFrame | None = None) -> DataFrame:
+    """Adds struct `s` with everything the filter looks at. Needs title, rss_summary, source_name, published_at; uses rss_categories and source_tier if there.
+
+    With `inventory`, a table as in `phrases.phrase_index`, that takes the place of the context's list; then an `id` is needed.
+    """
     lex = context.lexicon
     categories = F.coalesce(F.col("rss_categories"), F.array().cast("array<string>")) if "rss_categories" in articles.columns else F.array().cast("array<string>")
     tier = text.tier(F.col("source_name"), lex.tiers)
@@ -39,8 +52,11 @@ def signals(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
     # Each signal is a column of its own before the struct: a struct of expressions would be
     # taken apart by the optimizer and computed once for every use of a field.
     out = articles.withColumn("__text", whole).withColumns({"__low": F.lower("__text"), "__form": text.keyword_form(F.col("__text"))})
-    vendors, products = inventory_hits(F.col("__text"), context.inventory, F.col("__low"))
-    out = out.withColumns({"__s_vendors": vendors, "__s_products": products})
+    if inventory is not None:
+        out = with_inventory(out, "__text", inventory, "__s_")
+    else:
+        vendors, products = inventory_hits(F.col("__text"), context.inventory, F.col("__low"))
+        out = out.withColumns({"__s_vendors": vendors, "__s_products": products})
     noisy = {p.product for p in context.inventory if p.noisy}, {p.vendor for p in context.inventory if p.noisy}
     with_product = F.arrays_overlap("__s_products", F.array(*map(F.lit, sorted(noisy[0])))) if noisy[0] else F.lit(False)
     with_vendor = F.arrays_overlap("__s_vendors", F.array(*map(F.lit, sorted(noisy[1])))) if noisy[1] else F.lit(False)
@@ -54,7 +70,7 @@ def signals(articles: DataFrame, context: Context = DEFAULT) -> DataFrame:
         "negative": text.keywords(F.col("__form"), lex.negative),
         "tier": tier,
         "categories": security,
-        "noisy": F.when(F.size("__s_products") > 0, with_product).otherwise(with_vendor),
+        "noisy": F.col("__s_noisy") if inventory is not None else F.when(F.size("__s_products") > 0, with_product).otherwise(with_vendor),
         "recent": dates.recent(F.col("published_at"), context.as_of),
         "old": dates.old(F.col("published_at"), context.as_of),
     }
@@ -87,7 +103,7 @@ def score(context: Context = DEFAULT) -> Column:
     return F.least(F.greatest(total, F.lit(0)), F.lit(100))
 
 
-def decide(articles: DataFrame, context: Context = DEFAULT, mode: str = "gating") -> DataFrame:
+def decide(articles: DataFrame, context: Context = DEFAULT, mode: str = "gating", inventory: DataFrame | None = None) -> DataFrame:
     """Adds s, score, decision, reasons, blocking_reasons and processing_status.
 
     Columns named s, score, decision, reasons, blocking_reasons or
@@ -125,7 +141,7 @@ def decide(articles: DataFrame, context: Context = DEFAULT, mode: str = "gating"
         code(vendor & ~dominated & ~cyber, "cheap_filter_l2_no_cyber_context"),
         code(drop, "cheap_filter_insufficient_rss_signal"), code(lost & (points < 15), "cheap_filter_low_score"),
     ]
-    out = signals(articles, context).withColumn("__points", score(context))
+    out = signals(articles, context, inventory).withColumn("__points", score(context))
     routed = F.when(F.col("decision") == "KEEP", "EXTRACTION_PENDING").when(F.col("decision") == "MAYBE_KEEP", "EXTRACTION_PENDING_LOW_PRIORITY")
     routed = routed.otherwise("EXTRACTION_PENDING_LOW_PRIORITY" if mode == "advisory" else "IGNORED")
     out = out.withColumns({"score": F.when(~vendor & hatch, F.least(points, F.lit(49))).otherwise(points), "decision": decision, "reasons": F.array_compact(F.array(*reasons)), "blocking_reasons": F.array_compact(F.array(*blocking))})

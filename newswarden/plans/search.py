@@ -47,7 +47,7 @@ def _(t):
     return counts.crossJoin(F.broadcast(hit)).select("indexed", "asked", "wanted", (_C("hit") >= LEAST * _C("wanted")).alias("reached"))
 
 
-@query("s_20_vector_upsert", """SELECT vec_id AS id, round(CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END, 5) AS first, count(*) OVER () AS rows FROM embeddings""")
+@query("s_20_vector_upsert", """SELECT vec_id AS id, round(CAST(CASE WHEN vec_id % 3 = 0 THEN -embedding[1] ELSE embedding[1] END AS DOUBLE), 5) AS first, count(*) OVER () AS rows FROM embeddings""")
 def _(t):
     """An index of the ids not divisible by five, then the others and every third turned round as changes."""
     e = t.embeddings.select(_C("vec_id").alias("id"), "embedding")
