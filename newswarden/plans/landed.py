@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import landing, rss
+from ..sources import catalogue, datasets, landing, rss
 from .registry import query
 
 _C = F.col
@@ -26,3 +26,37 @@ def _(t):
     entry.write.format("xml").options(rowTag="entry", rootTag="feed").save(f"{path}/atom")
     found = rss.normalised(rss.items(t.spark, f"{path}/*"))
     return found.select(F.regexp_extract("canonical_url", "([0-9]+)$", 1).cast("long").alias("id"), "kind", F.trim(F.regexp_replace("title", "\\s+", " ")).alias("title"), "canonical_url", "url_hash", "rss_summary", F.array_join(F.sort_array("rss_categories"), "|").alias("categories"), F.unix_seconds("published_at").alias("published_at"))
+
+
+_SOUND = "id % 23 <> 0 AND id % 17 <> 0 AND id % 13 <> 0 AND id % 19 <> 0"
+
+
+@query("s_06_line_errors", f"""SELECT place, reason FROM (SELECT row_number() OVER (ORDER BY id) AS place, CASE WHEN id % 23 = 0 THEN NULL WHEN id % 17 = 0 THEN 'no JSON object' WHEN id % 13 = 0 THEN 'bad publishedAt' WHEN id % 19 = 0 THEN 'bad humanLabel'
+  WHEN id % 29 = 0 AND id > (SELECT min(id) FROM v_articles WHERE id % 29 = 0 AND {_SOUND}) THEN 'repeated id' END AS reason FROM v_articles) WHERE reason IS NOT NULL""")
+def _(t):
+    """A line for each article in the order of ids, some blank, broken, of an unknown label or date, and some with one address; the faults with their lines over all files."""
+    fields = F.struct(
+        _C("source_name").alias("sourceName"), F.lit("unknown").alias("sourceTier"), F.concat(F.lit("https://example.org/"), F.when(_C("id") % 29 == 0, "same").otherwise(_C("id").cast("string"))).alias("url"), _C("title"), F.coalesce("rss_summary", F.lit("")).alias("rssSummary"),
+        F.array(F.lit("security")).alias("rssCategories"), F.when(_C("id") % 13 == 0, "lately").otherwise("2024-01-05T00:00:00Z").alias("publishedAt"), F.when(_C("id") % 19 == 0, "GREAT").otherwise("RELEVANT").alias("humanLabel"), F.lit("as seen").alias("humanReason"),
+    )
+    line = F.when(_C("id") % 23 == 0, F.lit(" ")).when(_C("id") % 17 == 0, F.lit("{")).otherwise(F.to_json(fields))
+    path = landing.scratch(t.spark, "lines")
+    t.articles.select("id", line.alias("value")).repartitionByRange(8, "id").sortWithinPartitions("id").select("value").write.text(path)
+    found = datasets.checked(t.spark, path).where("reason is not null")
+    return found.select("place", F.split("reason", ",")[0].alias("reason"))
+
+
+@query("s_10_sweeps", """SELECT cve_id, CAST(epoch(m) AS BIGINT) AS modified, CASE WHEN m <= TIMESTAMP '2024-01-09 23:58:00' THEN 1 ELSE 2 END AS sweep, cvss
+  FROM (SELECT cve_id, TIMESTAMP '2024-01-01 00:00:00' + (id * 797 % 28800) * INTERVAL '1' MINUTE AS m, CASE id % 3 WHEN 0 THEN 9.5 END AS cvss FROM v_cases) WHERE m <= TIMESTAMP '2024-01-19 11:58:00'""")
+def _(t):
+    """Entries landed by day, and two sweeps with one checkpoint, nine and a half days apart: each entry comes once, none of the last two minutes."""
+    spark = t.spark
+    metric = F.array(F.struct(F.struct(F.lit(9.5).alias("baseScore"), F.lit("CVSS:3.1/AV:N").alias("vectorString")).alias("cvssData")))
+    moment = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id * 797 % 28800 as int), 0)")
+    entries = t.cases.select(_C("cve_id").alias("id"), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("lastModified"), F.array(F.struct(F.lit("en").alias("lang"), F.lit("about").alias("value"))).alias("descriptions"), F.struct(F.when(_C("id") % 3 == 0, metric).alias("cvssMetricV31")).alias("metrics"))
+    landed, out, state = (landing.scratch(spark, x) for x in ("catalogue", "sweeps", "state"))
+    catalogue.land(entries, landed)
+    for k, now in enumerate(("2024-01-10T00:00:00", "2024-01-19T12:00:00"), 1):
+        stream = catalogue.modified(spark, landed, now=now).withColumn("sweep", F.lit(k))
+        stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).select("cve_id", F.unix_seconds("modified_at").alias("modified"), "sweep", "cvss")

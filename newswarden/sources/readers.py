@@ -11,7 +11,8 @@ FEED = "source_name string, url string, title string, rss_summary string, rss_ca
 SAMPLE = "sourceName string, sourceTier string, url string, title string, rssSummary string, rssCategories array<string>, publishedAt string, humanLabel string, humanReason string"
 INVENTORY = "id string, vendor string, product string, aliases array<string>, criticality string, inProduction boolean, newsVolume string"
 _METRIC = "array<struct<cvssData: struct<baseScore: double, vectorString: string>>>"
-NVD = f"vulnerabilities array<struct<cve: struct<id: string, lastModified: string, descriptions: array<struct<lang: string, value: string>>, metrics: struct<cvssMetricV31: {_METRIC}, cvssMetricV30: {_METRIC}, cvssMetricV2: {_METRIC}>>>>"
+ENTRY = f"id string, lastModified string, descriptions array<struct<lang: string, value: string>>, metrics struct<cvssMetricV31: {_METRIC}, cvssMetricV30: {_METRIC}, cvssMetricV2: {_METRIC}>"
+NVD = f"vulnerabilities array<struct<cve: struct<{ENTRY}>>>"
 
 
 def feed(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +39,11 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def vulnerabilities(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Pages of a vulnerability catalogue, each a file or, with `lines`, a line, one row per entry: English description or else the first; CVSS 3.1, 3.0 or 2.0, with base and vector."""
-    rows = spark.read.schema(NVD).option("multiLine", not lines).json(path).select(F.explode("vulnerabilities.cve").alias("c"))
+    return entry_columns(spark.read.schema(NVD).option("multiLine", not lines).json(path).select(F.explode("vulnerabilities.cve").alias("c")))
+
+
+def entry_columns(rows: DataFrame) -> DataFrame:
+    """The columns of a catalogue's entries in struct `c`."""
     english = F.get(F.filter("c.descriptions", lambda d: d["lang"] == "en"), 0)
     whole = lambda name: F.get(F.filter(F.col(f"c.metrics.{name}.cvssData"), lambda m: m["baseScore"].isNotNull() & m["vectorString"].isNotNull()), 0)
     score = F.coalesce(whole("cvssMetricV31"), whole("cvssMetricV30"), whole("cvssMetricV2"))
