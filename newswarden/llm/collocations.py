@@ -8,9 +8,11 @@ next pass counts a phrase only if both phrases of one word less are marked as fr
 (Apriori) and its own bucket is marked (PCY); and it counts the next length by buckets only
 where both parts passed (DHP). Marks never miss a frequent phrase, so the counts are exact.
 
-Counters leave a task in ranges of 65,536 buckets and are added range by range in a stream,
-so no task holds more than its own counters and one range. Words of a batch are numbered,
-and phrases are made, hashed and counted as arrays.
+There are about `SPREAD` buckets for each word of the input, as a power of two, up to
+`MOST_BUCKETS`: with too few, all are marked and only Apriori prunes. A task keeps only the
+buckets that it met, hands them on in ranges of 65,536 when they are `MET`, and ranges are
+added in a stream, so no task holds more than that, two bitmaps and one range. Words of
+a batch are numbered, and phrases are made, hashed and counted as arrays.
 
 Defined results: a null text has no words, a null language is `und`; repeated rows count
 again; the empty table has no phrases. Words are bytes of UTF-8 and of any length; A-Z are
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Buckets of the hashed counts (a power of two): a bitmap has an eighth as many bytes.
-BUCKETS = 1 << 23
-#: Buckets of a range, and distinct phrases that a task counts before it hands them on.
-RANGE, PENDING = 1 << 16, 300_000
+#: Buckets at most (powers of two; a bitmap has an eighth as many bytes), and for each word of the input, of about six characters.
+LEAST_BUCKETS, MOST_BUCKETS, SPREAD, WORD_CHARS = 1 << 16, 1 << 28, 2, 6
+#: Buckets of a range, and phrases and buckets that a task counts before it hands them on.
+RANGE, PENDING, MET = 1 << 16, 300_000, 1 << 23
 #: What ends a piece, what parts its words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _TABLE = bytes(10 if c in ENDS else 32 if c in GAPS else c for c in range(256))
@@ -80,8 +82,40 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def _bits(marks: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(marks, np.uint8)).view(bool)
+class _Bitmap:
+    def __init__(self, marks: bytes):
+        self.marks = np.frombuffer(marks, np.uint8)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return (self.marks[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0
+
+
+class _Met:
+    """Counts of the buckets that a task met, handed on by ranges: two bytes for each place in the range, then the counts."""
+
+    def __init__(self, least: int):
+        self.least, self.width, self.parts, self.size = least, np.uint8 if least < 256 else np.uint32, [], 0
+
+    def add(self, buckets: np.ndarray) -> None:
+        where, n = np.unique(buckets, return_counts=True)
+        self.parts.append((where, np.minimum(n, self.least)))
+        self.size += len(where)
+
+    def ranges(self) -> pa.RecordBatch:
+        where = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
+        n = np.concatenate([p[1] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
+        if len(self.parts) > 1:
+            order = np.argsort(where, kind="stable")
+            where, n = where[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+            where, n = where[first], np.minimum(np.add.reduceat(n, first), self.least)
+        self.parts, self.size = [], 0
+        part = where // RANGE
+        cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+        place, n = (where % RANGE).astype("<u2"), n.astype(self.width)
+        marks = [place[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        m = len(marks)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array(part[cuts[:-1]], pa.int32()), pa.array(marks, pa.binary())], schema=_ARROW)
 
 
 class _Texts:
@@ -122,8 +156,8 @@ def _passed(documents: DataFrame, k: int, least: int, buckets: int, more: bool,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        counters = np.zeros(buckets if more else 0, np.uint32)
-        known, own = (None if x is None else _bits(x.value) for x in (shorter, marked))
+        met = _Met(least)
+        known, own = (None if x is None else _Bitmap(x.value) for x in (shorter, marked))
 
         def out() -> pa.RecordBatch:
             m = len(held)
@@ -152,30 +186,30 @@ def _passed(documents: DataFrame, k: int, least: int, buckets: int, more: bool,
                     h, there = t.phrases(k + 1)
                     longer.append(_bucket(h[there & chosen[:-1] & chosen[1:]], buckets))
             if longer:
-                counters += np.bincount(np.concatenate(longer), minlength=buckets).astype(np.uint32)
-                np.minimum(counters, least, out=counters)
+                met.add(np.concatenate(longer))
+                if met.size > MET:
+                    yield met.ranges()
         yield out()
-        width = np.uint8 if least < 256 else np.uint32
-        for start in range(0, len(counters), RANGE):
-            if (part := counters[start : start + RANGE]).any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([start // RANGE], pa.int32()), pa.array([part.astype(width).tobytes()], pa.binary())], schema=_ARROW)
+        yield met.ranges()
 
     return shared.written(documents.mapInArrow(work, _SCHEMA), f"phrases-{k}", "zstd")
 
 
 def _summed(least: int) -> Callable:
     """Adds the counters of each range, which come one behind the other, and marks the buckets that reach `least`."""
+    width = 1 if least < 256 else 4
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, None
+        at, total = None, np.zeros(RANGE, np.uint64)
         done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["part", "marks"])
         for b in batches:
             for part, marks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if part != at:
                     if at is not None:
                         yield done()
-                    at, total = part, np.zeros(len(marks) // (1 if least < 256 else 4), np.uint64)
-                total += np.frombuffer(marks, np.uint8 if least < 256 else np.uint32)
+                    at, total = part, np.zeros(RANGE, np.uint64)
+                m = len(marks) // (2 + width)
+                total[np.frombuffer(marks, "<u2", m)] += np.frombuffer(marks, np.uint8 if width == 1 else np.uint32, m, 2 * m)
         if at is not None:
             yield done()
 
@@ -183,12 +217,11 @@ def _summed(least: int) -> Callable:
 
 
 def _bitmap(counters: DataFrame, least: int, buckets: int) -> bytes:
-    """One bit a bucket: what the driver collects is `buckets` / 8 bytes, whatever the input."""
-    parts = max(1, buckets // RANGE)
-    out = bytearray(buckets // 8)
-    rows = counters.where("part is not null").select("part", "marks").repartition(min(parts, 64), "part").sortWithinPartitions("part").mapInArrow(_summed(least), "part int, marks binary")
+    """One bit a bucket: what the driver collects is `buckets` / 8 bytes at most."""
+    out = bytearray(max(RANGE, buckets) // 8)
+    rows = counters.where("part is not null").select("part", "marks").repartition(64, "part").sortWithinPartitions("part").mapInArrow(_summed(least), "part int, marks binary")
     for r in rows.collect():
-        out[r["part"] * RANGE // 8 : r["part"] * RANGE // 8 + len(r.marks)] = r.marks
+        out[r["part"] * RANGE // 8 : (r["part"] + 1) * RANGE // 8] = r.marks
     return bytes(out)
 
 
@@ -196,24 +229,27 @@ def _marks(phrases: DataFrame, buckets: int) -> bytes:
     """The buckets of the phrases."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.zeros(buckets, np.uint8)
+        met = _Met(1)
         for b in batches:
             if b.num_rows:
-                there[_bucket(phrase_hashes(b.column(0).to_pylist(), b.column(1).to_pylist()), buckets)] = 1
-        for start in range(0, buckets, RANGE):
-            if there[start : start + RANGE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([start // RANGE], pa.int32()), pa.array([there[start : start + RANGE].tobytes()], pa.binary())], names=["part", "marks"])
+                met.add(_bucket(phrase_hashes(b.column(0).to_pylist(), b.column(1).to_pylist()), buckets))
+                if met.size > MET:
+                    yield met.ranges().select(["part", "marks"])
+        yield met.ranges().select(["part", "marks"])
 
     return _bitmap(phrases.select("lang", "phrase").mapInArrow(work, "part int, marks binary"), 1, buckets)
 
 
-def frequencies(documents: DataFrame, longest: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def frequencies(documents: DataFrame, longest: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(lang, phrase, k, f): every word with its count, and every phrase of 2 to `longest` words that occurs `least` times or more."""
-    if buckets & (buckets - 1) or buckets < 8:
+    if buckets is not None and (buckets & (buckets - 1) or buckets < 8):
         raise ValueError("the number of buckets must be a power of two")
     spark = documents.sparkSession
     shared.prepare(spark)
     rows = shared.stable(documents.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null"))
+    if buckets is None:
+        words = (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // WORD_CHARS
+        buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, 1 << (SPREAD * words).bit_length()))
     shorter = marked = None
     found = []
     for k in range(1, longest + 1):
@@ -235,7 +271,7 @@ def frequencies(documents: DataFrame, longest: int = 3, least: int = 10, lang_co
     return out
 
 
-def collocations(documents: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, share: int = 50, lang_col: str = "lang", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def collocations(documents: DataFrame, longest: int = 3, least: int = 10, top: int = 2000, share: int = 50, lang_col: str = "lang", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """The first `top` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     A phrase's score is that of its worst cut, floor(1000000 a a / (l r)), with ties to the shortest first part. A phrase that
