@@ -146,6 +146,31 @@ def group_by_key(drafts: DataFrame) -> DataFrame:
     return w.join(first, "__key").withColumn("kind", F.when(F.col("article_id") == F.col("creator"), "create").otherwise("attach")).drop("__key")
 
 
+def group_until_quiet(drafts: DataFrame, quiet_hours: float = 24 * 30, as_of: Column | None = None) -> DataFrame:
+    """Key rung with closing: an event of a key is open until `quiet_hours` have passed since its last article, and the next article opens another.
+
+    From (article_id, grouping_key, seen_at): article_id, event_id (its first article), kind (create, attach), at, articles (how many so far);
+    with `as_of` also a row of kind close, without an article, for each event that was quiet by then. A key's events are found by session
+    windows, merged before the shuffle where they can be, and a much-reported key's rows are spread.
+    """
+    quiet = int(quiet_hours * 3_600_000_000)
+    rows = drafts.select("article_id", "grouping_key", F.unix_micros(F.col("seen_at").cast("timestamp")).alias("us"))
+    lone = rows.where("grouping_key is null or grouping_key = 'unknown'").select("article_id", F.col("article_id").alias("event_id"), F.lit("create").alias("kind"), "us", F.lit(1).cast("long").alias("articles"))
+    known = rows.where("grouping_key <> 'unknown'")
+    # A session goes on where the next row is exactly at its end, an event does not.
+    found = known.groupBy("grouping_key", F.session_window(F.timestamp_micros("us"), f"{quiet - 1} microseconds").alias("s")).agg(F.min(F.struct("us", "article_id")).alias("first"), F.max("us").alias("last"), F.count("*").alias("n"))
+    found = found.select("grouping_key", F.struct(F.col("first.us").alias("start"), F.col("first.article_id").alias("event"), "last", "n").alias("e"))
+    facts = found.groupBy("grouping_key").agg(F.sum("e.n").alias("__n"), F.sort_array(F.collect_list("e")).alias("events"))
+    own = F.get(F.filter("events", lambda e: (e["start"] <= F.col("us")) & (F.col("us") <= e["last"])), F.lit(0))
+    each = skew.attach(known, facts, "grouping_key", "__n", "article_id").withColumn("e", own)
+    order = Window.partitionBy("grouping_key", "e.event").orderBy("us", "article_id")
+    each = each.select("article_id", F.col("e.event").alias("event_id"), F.when(F.col("article_id") == F.col("e.event"), "create").otherwise("attach").alias("kind"), "us", F.row_number().over(order).cast("long").alias("articles"))
+    out = each.union(lone)
+    if as_of is not None:
+        out = out.union(found.where(F.col("e.last") + quiet <= F.unix_micros(as_of)).select(F.lit(None).cast("long"), "e.event", F.lit("close"), F.col("e.last") + quiet, "e.n"))
+    return out.select("article_id", "event_id", "kind", F.timestamp_micros("us").alias("at"), "articles")
+
+
 def decide_grouping(candidates: DataFrame, context: Context = DEFAULT) -> DataFrame:
     """From grouping_key, key_event (null if none), near_event and distance: kind, event, confidence and method."""
     by_key = F.col("key_event").isNotNull() & (F.col("grouping_key") != "unknown")
