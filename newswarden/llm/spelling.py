@@ -92,13 +92,15 @@ def one_edit(a: str, b: str) -> bool:
 
 
 class Block:
-    """Words as rows of bytes, from the left and from the right, with their lengths; longer than WIDE is zero."""
+    """Words as rows of bytes, from the left and from the right, with their lengths and the set of their letters (as bits, by 64); longer than WIDE is zero."""
 
     def __init__(self, words: list[str]):
         self.words, self.lengths = words, np.fromiter(map(len, words), np.int64, len(words))
         coded = [w.encode("latin-1") if len(w) <= WIDE else b"" for w in words]
         self.left = np.frombuffer(b"".join(c.ljust(WIDE, b"\0") for c in coded), np.uint8).reshape(-1, WIDE)
         self.right = np.frombuffer(b"".join(c[::-1].ljust(WIDE, b"\0") for c in coded), np.uint8).reshape(-1, WIDE)
+        bits = np.where(self.left > 0, np.left_shift(np.uint64(1), (self.left & 63).astype(np.uint64)), np.uint64(0))
+        self.letters = np.bitwise_or.reduce(bits, axis=1) if len(words) else np.zeros(0, np.uint64)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,6 +159,10 @@ class Shard:
         place = np.repeat(start - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
         u, second = np.repeat(who, many), np.repeat(kind, many) > 0
         w = np.where(second, self.members[1][place], self.members[0][place])
+        # One edit takes one letter from the set and brings one, at most; most candidates differ by more. (Long words have no set here.)
+        alike = np.bitwise_count(block.letters[u] ^ self.block.letters[w]) <= 2
+        alike |= (block.lengths[u] > WIDE) | (self.block.lengths[w] > WIDE)
+        u, w, second = u[alike], w[alike], second[alike]
         lu, lw = block.lengths[u], self.block.lengths[w]
         least, near, halved = np.minimum(lu, lw), np.zeros(len(u), bool), lw // 2
         small = np.maximum(lu, lw) <= WIDE
