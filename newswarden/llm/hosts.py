@@ -70,8 +70,8 @@ def _matched(rules: list[Rule], host: str, path: str) -> Column:
     for r in rules:
         of.setdefault(r.host, []).append(r)
     known = F.create_map(*(x for h, own in of.items() for x in (F.lit(h), F.array(*(F.struct(F.lit(r.path).alias("path"), F.lit(r.text).alias("rule"), F.lit(r.action).alias("action")) for r in own)))))
-    labels = F.split(host, "[.]")
-    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    # Of a host's endings only those with as many labels as a rule's host has.
+    ends = F.array(*(F.substring_index(host, ".", -k) for k in sorted({h.count(".") + 1 for h in of})))
     fits = F.filter(F.flatten(F.filter(F.transform(ends, lambda e: F.element_at(known, e)), lambda x: x.isNotNull())), lambda x: F.startswith(F.col(path), x["path"]))
     return F.array_max(F.transform(fits, lambda x: F.struct(F.length(x["rule"]).alias("size"), x["rule"].alias("rule"), x["action"].alias("action"))))
 

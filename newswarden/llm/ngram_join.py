@@ -348,6 +348,12 @@ def _tiles(members: DataFrame, threshold: float, tile: int) -> DataFrame:
 
 def linked_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE, deepest: int = DEEPEST) -> DataFrame:
     """Per row: id, class_id (least id of its connected texts), n_links (other documents at the threshold or above), n_copies (documents with an equal set), n_linked_sets (other sets linked)."""
+    out = _linked(df, id_col, text_col, words, threshold, recall, bucket, tile, deepest)
+    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "n_copies", "n_linked_sets")
+
+
+def _linked(df: DataFrame, id_col: str, text_col: str, words: int, threshold: float, recall: float, bucket: int, tile: int, deepest: int) -> DataFrame:
+    """The rows of `linked_documents`, with the hash of the text and that of the class's first text, which is null for a text without words."""
     shared.prepare(df.sparkSession)
     docs = shared.written(_signed(df, id_col, text_col, words), "signed")
     row = F.struct("id", "hash")
@@ -356,7 +362,6 @@ def linked_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     links = candidate_links(sets, threshold=threshold, recall=recall, bucket=bucket, deepest=deepest)
     comps = components(links, "a", "b").withColumnRenamed("node", "sig")
     whole = sets
-    sets = sets.withColumn("rep", F.col("rep.id"))
     members = shared.written(comps.join(whole.select("sig", "rep", "copies", "n"), "sig"), "members")
     tiles = _tiles(members, threshold, tile).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
     # A set's text is that of one row: by id and hash, so rows that share an id, or have none, don't meet each other's sets.
@@ -369,13 +374,14 @@ def linked_documents(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     counted = found.groupBy("sig").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))
     roots = components(found.select("sig", "root"), "sig", "root").withColumnRenamed("node", "sig")
     named = roots.join(sets.select("sig", "rep"), "sig")
-    least = named.groupBy("root").agg(F.min("rep").alias("least"))
+    # As for a set: the first row that has an id, or else the first.
+    least = named.groupBy("root").agg(F.coalesce(F.min(F.when(F.col("rep.id").isNotNull(), F.col("rep"))), F.min("rep")).alias("least"))
     classes = named.join(least, "root").select("sig", "least")
     by_set = sets.select("sig", "rep", "copies").join(counted, "sig", "left").join(classes, "sig", "left")
-    by_set = by_set.select("sig", "copies", F.coalesce("least", "rep").alias("class_id"), F.coalesce("sets", F.lit(0)).alias("sets"), F.coalesce("docs", F.lit(0)).alias("docs"))
-    out = docs.select("id", "sig").join(by_set, "sig", "left")
+    by_set = by_set.select("sig", "copies", F.coalesce("least", "rep").alias("class"), F.coalesce("sets", F.lit(0)).alias("sets"), F.coalesce("docs", F.lit(0)).alias("docs"))
+    out = docs.select("id", "hash", "sig").join(by_set, "sig", "left")
     copies = F.coalesce("copies", F.lit(1))
-    return out.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("docs", F.lit(0)) + copies - 1).alias("n_links"), copies.alias("n_copies"), F.coalesce("sets", F.lit(0)).alias("n_linked_sets"))
+    return out.select("id", "hash", F.coalesce("class.id", "id").alias("class_id"), F.col("class.hash").alias("class_hash"), (F.coalesce("docs", F.lit(0)) + copies - 1).alias("n_links"), copies.alias("n_copies"), F.coalesce("sets", F.lit(0)).alias("n_linked_sets"))
 
 
 def _resets(texts: DataFrame, words: int) -> DataFrame:
@@ -394,8 +400,12 @@ def _resets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, schema)
 
 
-def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `df` that represent their class, same columns; exact repeats of a row's id and text stay once. Rows with a null id stay if they have no named neighbour."""
-    linked = linked_documents(df, id_col=id_col, text_col=text_col, **options)
-    keep = linked.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("__nw_keep")).distinct()
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col("__nw_keep")), "left_semi").dropDuplicates([id_col, text_col])
+def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE, deepest: int = DEEPEST) -> DataFrame:
+    """The rows of `df` that represent their class, same columns; exact repeats of a row's id and text stay once.
+
+    A class's row is found by id and text: of rows that share an id, or have none, only the one whose text represents the class stays.
+    """
+    linked = _linked(df, id_col, text_col, words, threshold, recall, bucket, tile, deepest)
+    first = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("hash") == F.col("class_hash"))
+    keep = linked.where(F.col("class_hash").isNull() | first).select(F.col("id").alias("__nw_keep"), F.col("hash").alias("__nw_hash")).distinct()
+    return df.join(keep, F.col(id_col).eqNullSafe(F.col("__nw_keep")) & (F.xxhash64(text_col) == F.col("__nw_hash")), "left_semi").dropDuplicates([id_col, text_col])

@@ -82,7 +82,20 @@ def test_odd_tables_and_filter(spark):
     rows = [(None, same, "x"), (4, same, "x"), (4, same, "x"), (5, same.upper(), "y"), (6, None, "z"), (None, "", "z"), (7, "", "z")]
     out = ngram_join.one_of_each(spark.createDataFrame(rows, schema))
     assert out.columns == ["doc_id", "text", "class_id"]
-    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect() if r.doc_id is not None) == [(4, same), (6, ""), (7, "")]
+    assert sorted((str(r.doc_id), r.text) for r in out.collect() if r.text) == [("4", same)] and sorted(str(r.doc_id) for r in out.collect() if not r.text) == ["6", "7", "None"]
+
+
+def test_repeated_and_missing_ids_keep_no_near_copy(spark):
+    """A near copy goes whatever id it has: none, while another row without one stays; or that of another row that stays."""
+    base = " ".join(f"w{k}" for k in range(60))
+    near, other, third = base.replace("w59", "x"), " ".join(f"o{k}" for k in range(30)), " ".join(f"t{k}" for k in range(30))
+    rows = [(1, base), (None, near), (None, other), (5, base.replace("w0 ", "y ")), (5, third), (None, third.replace("t29", "z")), (None, None), (None, "")]
+    out = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, base), (None, other), (5, third), (None, None), (None, "")], key=str)
+    # A class of rows without ids has one row too.
+    rows = [(None, base), (None, near), (None, base)]
+    out = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 1 and out[0].text in (base, near)
 
 
 def test_survival_is_a_lower_bound_of_recall():
