@@ -88,12 +88,6 @@ def band(distance: Column, same: float, unsure: float) -> Column:
     return F.when(distance <= same, "same").when(distance <= unsure, "uncertain").otherwise("different")
 
 
-def upper_median(column: str) -> Column:
-    """The element at floor(n / 2) in order, not interpolated."""
-    values = F.sort_array(F.collect_list(column))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
-
-
 def distribution(df: DataFrame, column: str, domain: list[str]) -> DataFrame:
     """Counts of a fixed domain's values, zeros too."""
     values = df.sparkSession.createDataFrame([(v,) for v in domain], f"{column} string")

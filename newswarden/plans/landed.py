@@ -1,10 +1,10 @@
-"""Sources as their services write them, made from the tables, landed and read again (S-05, S-06, S-10)."""
+"""Sources as their services write them, made from the tables, landed and read again (S-05, S-06, S-10); hot subsets (P-11)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import catalogue, datasets, landing, rss
+from ..sources import catalogue, datasets, hot, landing, rss
 from .registry import query
 
 _C = F.col
@@ -60,3 +60,21 @@ def _(t):
         stream = catalogue.modified(spark, landed, now=now).withColumn("sweep", F.lit(k))
         stream.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
     return spark.read.parquet(out).select("cve_id", F.unix_seconds("modified_at").alias("modified"), "sweep", "cvss")
+
+
+@query("p_11_hot_subset", "SELECT source_name, count(*) AS n, CAST(floor(epoch(max(extracted_at))) AS BIGINT) AS latest, true AS skipped FROM v_drift WHERE extraction_status = 'success' AND rss_recall < 0.6 GROUP BY 1")
+def _(t):
+    """Successful extractions of low recall as the hot subset, ordered by source and time; and whether the other files were left alone."""
+    path = landing.scratch(t.spark, "hot")
+    hot.write(t.drift, path, (_C("extraction_status") == "success") & (_C("rss_recall") < 0.6), ["source_name", "extracted_at"], ["id"])
+    rows = hot.read(t.spark, path, True).withColumn("there", F.contains(F.input_file_name(), F.lit("hot=true")))
+    return rows.groupBy("source_name").agg(F.count("*").alias("n"), F.unix_seconds(F.max("extracted_at").cast("timestamp")).alias("latest"), F.every("there").alias("skipped"))
+
+
+@query("p_11_hot_lookup", "SELECT id, source_name, round(rss_recall, 6) AS rss_recall FROM v_drift WHERE extraction_status = 'success' AND rss_recall < 0.6 AND source_name = 'source7' AND extracted_at >= TIMESTAMP '2024-01-10 00:00:00'")
+def _(t):
+    """One source's latest of the hot subset: a partition, ranges within files, and filters pushed to the scan."""
+    path = landing.scratch(t.spark, "hot")
+    hot.write(t.drift, path, (_C("extraction_status") == "success") & (_C("rss_recall") < 0.6), ["source_name", "extracted_at"], ["id"])
+    rows = hot.read(t.spark, path, True).where((_C("source_name") == "source7") & (_C("extracted_at") >= F.lit("2024-01-10 00:00:00").cast(t.drift.schema["extracted_at"].dataType)))
+    return rows.select("id", "source_name", F.round("rss_recall", 6).alias("rss_recall"))

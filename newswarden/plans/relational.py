@@ -322,17 +322,18 @@ def _(t):
 
 @query("a_06_nearest_rank", "SELECT event_type, quantile_disc(value, 0.9) AS p90 FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("event_type").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY value)").alias("p90"))
+    return quantiles.of_groups(t.events, ["event_type"], "value", {"p90": quantiles.nearest_rank(0.9)}).select("event_type", "p90")
 
 
 @query("a_07_median", "SELECT user_id, median(value) AS m FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy("user_id").agg(F.median("value").alias("m"))
+    both = quantiles.of_groups(t.events, ["user_id"], "value", {"low": quantiles.at_share(0.5, False), "high": quantiles.at_share(0.5, True)})
+    return both.select("user_id", ((_C("low") + _C("high")) / 2).alias("m"))
 
 
 @query("a_08_upper_median", "SELECT label, list_extract(list_sort(list(vec_id)), CAST(floor(count(*) / 2) AS BIGINT) + 1) AS upper_median FROM embeddings GROUP BY 1")
 def _(t):
-    return t.embeddings.groupBy("label").agg(readmodels.upper_median("vec_id").alias("upper_median"))
+    return quantiles.of_groups(t.embeddings, ["label"], "vec_id", {"upper_median": quantiles.upper_middle}).select("label", "upper_median")
 
 
 @query("a_09_ratios", "SELECT source, CASE WHEN count(*) = 0 THEN 0 ELSE count(*) FILTER (status = 'ok') / count(*) END AS ok_rate FROM v_observations GROUP BY 1")
