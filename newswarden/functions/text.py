@@ -16,6 +16,15 @@ TRACKING = ("fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "mkt_tok", "ref", "
 FURNITURE = ("subscribe", "sign up", "newsletter", "related articles", "read more", "share this", "follow us", "advertisement", "sponsored", "all rights reserved", "cookie")
 
 
+# How lines of page furniture begin.
+JUNK = (
+    "subscribe( to)?", "sign up", "get the latest", "related (articles?|posts?|news)", "read (more|next)", "share (this|on)", "follow us", "advertisement", "sponsored", "©", "copyright",
+    "all rights reserved", r"tags?\s*:", r"categories\s*:", r"comments?( \(\d+\))?$", "leave a (comment|reply)", "previous (article|post)", "next (article|post)", "you might also like",
+    "recommended for you", "trending now", "popular (articles|posts|stories)",
+)
+#: Characters and words of a line that needs no end of a sentence.
+LINE_CHARS, LINE_WORDS = 25, 4
+
 #: The characters of SPACE, for trimming without a pattern.
 SPACES = "".join(map(chr, (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
@@ -100,6 +109,19 @@ def html_text(c: Column) -> Column:
     return collapsed(c)
 
 
+def is_content(line: str) -> bool:
+    """Whether a line, trimmed and with single spaces, is no furniture and no stub."""
+    stub = len(line) < LINE_CHARS and len(line.split(" ")) < LINE_WORDS and line[-1:] not in (".", "!", "?", ":")
+    return bool(line) and not re.match(f"(?i)({'|'.join(JUNK)})", line) and not stub
+
+
+def content_lines(c: Column) -> Column:
+    """The lines of a text, trimmed, that `is_content` holds for, as a list."""
+    junk, ends = F.lit(f"(?i)^({'|'.join(JUNK)})"), F.lit("[.!?:]$")
+    stub = lambda x: (F.length(x) < LINE_CHARS) & (F.size(F.split(x, f"{SPACE}+")) < LINE_WORDS) & ~F.rlike(x, ends)
+    return F.filter(F.transform(F.split(c, "\n"), trimmed), lambda x: (x != "") & ~F.rlike(x, junk) & ~stub(x))
+
+
 def quality(c: Column) -> Column:
     """Length up to 1,000 characters, lowered by furniture per thousand characters."""
     text = trimmed(c)

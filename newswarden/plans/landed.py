@@ -1,9 +1,10 @@
-"""Sources as their services write them, made from the tables, landed and read again (S-05, S-06, S-10); hot subsets (P-11)."""
+"""Sources as their services write them, made from the tables, landed and read again (S-05, S-06, S-10); hot subsets (P-11); page text (T-14, T-15, S-08)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import readable, text
 from ..sources import catalogue, datasets, hot, landing, rss
 from .registry import query
 
@@ -78,3 +79,31 @@ def _(t):
     hot.write(t.drift, path, (_C("extraction_status") == "success") & (_C("rss_recall") < 0.6), ["source_name", "extracted_at"], ["id"])
     rows = hot.read(t.spark, path, True).where((_C("source_name") == "source7") & (_C("extracted_at") >= F.lit("2024-01-10 00:00:00").cast(t.drift.schema["extracted_at"].dataType)))
     return rows.select("id", "source_name", F.round("rss_recall", 6).alias("rss_recall"))
+
+
+_PLANTED = """concat(text, chr(10), CASE doc_id % 8 WHEN 0 THEN 'Subscribe to the letter of this house' WHEN 1 THEN 'Related posts you should not miss at all' WHEN 2 THEN 'Comments (14)' WHEN 3 THEN 'TAGS : one, two, three, four, five'
+  WHEN 4 THEN 'Comments are welcome in this house' WHEN 5 THEN 'stub of words' WHEN 6 THEN 'What to do:' ELSE '  © 2024 and all that follows from it ' END)"""
+_JUNK = "|".join(text.JUNK)
+
+
+@query("t_14_boilerplate_lines", f"""SELECT doc_id, CAST(len(k) AS BIGINT) AS kept, sha256(array_to_string(k, chr(10))) AS digest FROM (SELECT doc_id, list_filter(list_transform(string_split({_PLANTED}, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))),
+  lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^({_JUNK})') AND NOT (length(x) < 25 AND len(regexp_split_to_array(x, '\\s+')) < 4 AND NOT regexp_matches(x, '[.!?:]$'))) AS k FROM documents)""")
+def _(t):
+    """Lines of all texts, each with one more line that is furniture in most of them."""
+    planted = t.documents.select("doc_id", F.expr(_PLANTED.replace("chr(10)", "char(10)")).alias("text"))
+    kept = text.content_lines(_C("text"))
+    return planted.select("doc_id", kept.alias("k")).select("doc_id", F.size("k").cast("long").alias("kept"), F.sha2(F.array_join("k", "\n"), 256).alias("digest"))
+
+
+@query("t_15_readable")
+def _(t):
+    """Readable text of all pages, and how it was found."""
+    return readable.extracted(t.pages).select("page_id", "text", "method")
+
+
+@query("s_08_readable_recall")
+def _(t):
+    """By method: pages, and recall and precision of the readable words against those of all paragraphs of the page."""
+    rows = readable.extracted(t.pages).select("method", text.words(F.coalesce("text", F.lit(""))).alias("got"), text.words(text.html_text(F.array_join(F.regexp_extract_all("html", F.lit("(?s)<(?:p|h1)>(.*?)(?=</?(?:p|h1|article|footer)>)"), F.lit(1)), " "))).alias("want"))
+    recall, precision = readable.compared(_C("got"), _C("want"))
+    return rows.groupBy("method").agg(F.count("*").alias("pages"), F.round(F.avg(recall), 4).alias("recall"), F.round(F.avg(precision), 4).alias("precision"))
