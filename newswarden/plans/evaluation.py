@@ -190,3 +190,51 @@ def _(t):
     bucket = evaluation.failure_bucket(expected, n("negative"), n("products"), n("vendors"), n("exploitation") + n("incident"), n("medium"), _C("rss_summary"), F.lit(True), _C("score"), _C("decision"), F.lit(""))
     r = r.withColumn("bucket", bucket).withColumn("fix", evaluation.suggested_fix(_C("bucket"), _C("s.tier"), _C("score")))
     return r.groupBy("bucket", "fix").agg(F.count("*").alias("n"))
+
+
+_LOT = "CAST(concat('0x', substring(sha256(concat('{0}', {1})), 1, 15)) AS BIGINT)"
+_QUOTA = f"""q AS (SELECT lang, doc_id, fit, row_number() OVER (PARTITION BY lang ORDER BY {_LOT.format("w10", "doc_id")}, doc_id) AS rn FROM (SELECT lang, doc_id, n_chars >= 600 AS fit FROM documents)),
+  k AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY rn) - 1 AS place FROM q WHERE rn <= 48 AND fit)"""
+_LANGS = ["en", "de", "fr", "es", "nowhere"]
+
+
+def _quota(t):
+    from ..operators import sampling
+
+    rows = t.documents.select("lang", "doc_id", (_C("n_chars") >= 600).alias("fit"))
+    return sampling.by_quota(rows, "lang", "doc_id", _LANGS, 200, _C("fit"), seed="w10")
+
+
+@query("w_10_quota", f"WITH {_QUOTA} SELECT lang, doc_id, place FROM k WHERE place < 40 AND lang IN ('en', 'de', 'fr', 'es')")
+def _(t):
+    """40 documents of each language, of 48 drawn those that are long enough."""
+    return _quota(t)[0]
+
+
+@query("w_10_quota_report", f"WITH {_QUOTA} SELECT b.lang, CAST(40 AS BIGINT) AS requested, count(k.doc_id) AS found FROM (SELECT unnest({_LANGS}) AS lang) b LEFT JOIN k ON k.lang = b.lang AND place < 40 GROUP BY 1")
+def _(t):
+    return _quota(t)[1]
+
+
+_HARVEST = f"""{_RES}, d AS (SELECT id, decision, {_LOT.format("", "id")} AS lot, score FROM res),
+  o AS (SELECT *, row_number() OVER (PARTITION BY decision ORDER BY CASE WHEN decision = 'DROP' THEN score END DESC NULLS LAST, lot, id) AS rn, id IN (SELECT doc_id FROM labels) AS labelled, id % 5 = 0 AS candidate FROM d),
+  p AS (SELECT *, count(*) FILTER (NOT labelled AND NOT candidate) OVER (PARTITION BY decision ORDER BY rn) AS n, m FROM o JOIN (VALUES ('KEEP', 12), ('MAYBE_KEEP', 9), ('DROP', 15)) AS l(dec2, m) ON dec2 = decision WHERE rn <= 3 * m),
+  t AS (SELECT * FROM p WHERE n <= m AND NOT (n = m AND (labelled OR candidate)))"""
+
+
+def _harvest(t):
+    from ..operators import sampling
+
+    rows = filtering.decide(t.articles).select("decision", "id", "score")
+    return sampling.harvested(rows, "decision", "id", {"KEEP": 12, "MAYBE_KEEP": 9, "DROP": 15}, t.labels.select(_C("doc_id").alias("id")), t.articles.where("id % 5 = 0").select("id"), {"DROP": "score"})
+
+
+@query("e_13_harvest_strata", f"{_HARVEST} SELECT decision, id FROM t WHERE NOT labelled AND NOT candidate")
+def _(t):
+    """New candidates of each decision: three times as many drawn, known ones skipped, drops by score."""
+    return _harvest(t)[0]
+
+
+@query("e_13_harvest_report", f"{_HARVEST} SELECT decision, count(*) FILTER (NOT labelled AND NOT candidate) AS added, count(*) FILTER (labelled) AS skipped_labelled, count(*) FILTER (NOT labelled AND candidate) AS skipped_candidate FROM t GROUP BY 1")
+def _(t):
+    return _harvest(t)[1]
