@@ -238,3 +238,63 @@ def _(t):
 @query("e_13_harvest_report", f"{_HARVEST} SELECT decision, count(*) FILTER (NOT labelled AND NOT candidate) AS added, count(*) FILTER (labelled) AS skipped_labelled, count(*) FILTER (NOT labelled AND candidate) AS skipped_candidate FROM t GROUP BY 1")
 def _(t):
     return _harvest(t)[1]
+
+
+_DIGESTS = f"""g AS (SELECT id, id % 3 <> 0 AS rel, CASE WHEN id % 2 = 0 THEN source_name ELSE '' END AS v, CASE WHEN id % 4 < 3 THEN lang ELSE '' END AS p, list_sort(list_distinct({CVES.format('title')})) AS c, title, source_name, lang FROM v_articles),
+  r AS (SELECT g.*, m.mode, id % 11 = 0 AND mode = 'regen' AS failed, id % m.a <> 0 AS p_rel, CASE WHEN id % m.b = 0 THEN source_name ELSE '' END AS p_v, CASE WHEN id % 4 < m.a - 2 THEN lang ELSE '' END AS p_p, CASE WHEN id % m.b = 1 THEN [] ELSE c END AS p_c FROM g, (VALUES ('baseline', 4, 6), ('regen', 5, 4)) AS m(mode, a, b)),
+  s AS (SELECT mode, rel, NOT failed AND p_rel AS p_rel, v = CASE WHEN failed THEN '' ELSE p_v END AS v_ok, p = CASE WHEN failed THEN '' ELSE p_p END AS p_ok, c = CASE WHEN failed THEN [] ELSE p_c END AS c_ok FROM r),
+  t AS (SELECT mode, count(*) AS gold_count, count(*) FILTER (rel) AS related_count, count(*) FILTER (rel AND p_rel) AS tp, count(*) FILTER (NOT rel AND p_rel) AS fp, count(*) FILTER (rel AND NOT p_rel) AS fn,
+    count(*) FILTER (rel AND v_ok) / count(*) FILTER (rel) AS vendor_exact_rate, count(*) FILTER (rel AND p_ok) / count(*) FILTER (rel) AS product_exact_rate, count(*) FILTER (c_ok) / count(*) AS cve_exact_rate FROM s GROUP BY 1),
+  m AS (SELECT *, 2.0 * tp / (2 * tp + fp + fn) AS relatedness_f1 FROM t),
+  w AS (SELECT *, concat_ws(',', CASE WHEN relatedness_f1 < 0.8 THEN 'relatedness_f1' END, CASE WHEN vendor_exact_rate < 0.7 THEN 'vendor_exact_rate' END, CASE WHEN product_exact_rate < 0.7 THEN 'product_exact_rate' END, CASE WHEN cve_exact_rate < 0.75 THEN 'cve_exact_rate' END) AS warnings FROM m)"""
+
+
+def _digest_gold(t):
+    one = lambda c, v: F.when(c, F.array(v)).otherwise(F.array().cast("array<string>"))
+    return t.articles.select(_C("id").alias("article_id"), (_C("id") % 3 != 0).alias("related"), one(_C("id") % 2 == 0, _C("source_name")).alias("vendors"), one(_C("id") % 4 < 3, _C("lang")).alias("products"), text.cves(_C("title")).alias("cves"))
+
+
+def _digest_predictions(t, a: int, b: int, failing: bool):
+    none, i = F.array().cast("array<string>"), _C("id")
+    one = lambda c, v: F.when(c, F.array(F.concat(F.lit(" "), F.upper(v)))).otherwise(none)
+    return t.articles.select(i.alias("article_id"), (i % a != 0).alias("related"), one(i % b == 0, _C("source_name")).alias("vendors"), one(i % 4 < a - 2, _C("lang")).alias("products"), F.when(i % b == 1, none).otherwise(text.cves(_C("title"))).alias("cves"), F.when((i % 11 == 0) & F.lit(failing), F.lit("no reply")).alias("error"))
+
+
+def _digest_store(t):
+    """A baseline, another that doesn't finish, and a regenerated run that is kept twice."""
+    from ..operators import digests
+    from ..sources import landing
+
+    store, at = landing.scratch(t.spark, "digests"), lambda d: F.lit(f"2024-01-0{d} 00:00:00").cast("timestamp")
+    digests.save(_digest_predictions(t, 4, 6, False), store, "base-1", "baseline", at(1), at(2))
+    digests.save(_digest_predictions(t, 5, 4, True), store, "base-2", "baseline", at(3), F.lit(None))
+    digests.save(_digest_predictions(t, 4, 6, True), store, "regen-1", "regen", at(4), F.lit(None))
+    digests.save(_digest_predictions(t, 5, 4, True), store, "regen-1", "regen", at(4), at(5))
+    return store
+
+
+@query("e_08_digest_gate", f"WITH {_DIGESTS} SELECT gold_count, related_count, round(tp / (tp + fp), 9) AS relatedness_precision, round(tp / (tp + fn), 9) AS relatedness_recall, round(relatedness_f1, 9) AS relatedness_f1, round(vendor_exact_rate, 9) AS vendor_exact_rate, round(product_exact_rate, 9) AS product_exact_rate, round(cve_exact_rate, 9) AS cve_exact_rate, true AS active, warnings FROM w WHERE mode = 'regen'")
+def _(t):
+    from ..operators import digests
+
+    m = digests.gate(digests.metrics(digests.scored(_digest_gold(t), _digest_predictions(t, 5, 4, True))))
+    return m.select("gold_count", "related_count", *(F.round(c, 9).alias(c) for c in ("relatedness_precision", "relatedness_recall", "relatedness_f1", "vendor_exact_rate", "product_exact_rate", "cve_exact_rate")), "active", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("e_17_run_store", f"""WITH {_DIGESTS} SELECT a.gold_count, a.warnings, round(a.relatedness_f1 - b.relatedness_f1, 9) AS d_related, round(a.vendor_exact_rate - b.vendor_exact_rate, 9) AS d_vendor, round(a.product_exact_rate - b.product_exact_rate, 9) AS d_product,
+  round(a.cve_exact_rate - b.cve_exact_rate, 9) AS d_cve FROM w a, w b WHERE a.mode = 'regen' AND b.mode = 'baseline'""")
+def _(t):
+    """A regenerated run against the last finished baseline, both loaded from the store."""
+    from ..operators import digests
+
+    r = digests.evaluated(t.spark, _digest_store(t), _digest_gold(t), "regen-1")
+    return r.select("gold_count", F.array_join("warnings", ",").alias("warnings"), F.round("delta_relatedness_f1", 9).alias("d_related"), F.round("delta_vendor_exact_rate", 9).alias("d_vendor"), F.round("delta_product_exact_rate", 9).alias("d_product"), F.round("delta_cve_exact_rate", 9).alias("d_cve"))
+
+
+@query("w_12_last_run_by_mode", "SELECT 'baseline' AS mode, 'base-1' AS run, count(*) AS saved, CAST(0 AS BIGINT) AS failed FROM v_articles UNION ALL SELECT 'regen', 'regen-1', count(*) FILTER (id % 11 <> 0), count(*) FILTER (id % 11 = 0) FROM v_articles")
+def _(t):
+    """Of each mode the last run that finished; a later one that goes on doesn't count."""
+    from ..operators import digests
+
+    found = digests.runs(t.spark, _digest_store(t))
+    return digests.latest(found).join(found.select("run", "saved", "failed"), "run").select("mode", "run", "saved", "failed")
