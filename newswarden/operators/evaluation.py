@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
+from . import quantiles
 
 
 def canonical(values: Column, keep_empty: bool = False) -> Column:
@@ -185,3 +186,25 @@ def disagreement(label: Column, decision: Column, score: Column, assessment: Col
         .when(assessment == "REASONABLE", "reasonable")
         .otherwise("minor_difference")
     )
+
+
+def labelled_metrics(items: DataFrame) -> DataFrame:
+    """The seven measures of a labelled set, as one row; rates over nothing are 0, the median latency of none is null.
+
+    From is_duplicate, predicted_duplicate, is_relevant, predicted_relevant, llm_called, extraction_success (booleans),
+    expected_event_group, predicted_event_group and source_to_notification_latency_seconds. Nulls count as false, or as group none.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    grouped = F.coalesce("predicted_event_group", F.lit("none")) != "none"
+    rate = lambda hit, of: ratio(F.count_if(hit & of), F.count_if(of))
+    every = F.lit(True)
+    row = items.agg(
+        rate(yes("predicted_duplicate"), yes("is_duplicate")).alias("duplicate_reduction_rate"),
+        rate(F.col("predicted_event_group").eqNullSafe(F.col("expected_event_group")), grouped).alias("event_grouping_precision"),
+        rate(yes("is_relevant"), yes("predicted_relevant")).alias("classification_precision"),
+        rate(yes("predicted_relevant"), ~yes("is_relevant")).alias("false_positive_rate"),
+        F.when(F.count("*") == 0, 0.0).otherwise(1 - F.count_if(yes("llm_called")) / F.count("*")).alias("llm_call_reduction_rate"),
+        rate(yes("extraction_success"), every).alias("extraction_success_rate"),
+    )
+    middle = quantiles.interpolated(items, "source_to_notification_latency_seconds", 0.5)
+    return row.withColumn("median_source_to_notification_latency_seconds", F.lit(middle).cast("double"))

@@ -80,3 +80,21 @@ def recounted(events: DataFrame, links: DataFrame) -> DataFrame:
     """`events` with source_count, the number of their links."""
     n = links.groupBy(F.col("event_id").alias("id")).agg(F.count("*").alias("source_count"))
     return events.drop("source_count").join(n, "id", "left").withColumn("source_count", F.coalesce("source_count", F.lit(0)))
+
+
+def keep_one_active(state: DataFrame, changes: DataFrame) -> DataFrame:
+    """What becomes of `changes` (scope, id, is_active, at) to `state` (scope, id, is_active) where a scope must keep an active row.
+
+    One row for each changed id, by its last change: scope, id, is_active, applied and error (unknown_id, last_active or null).
+    What switches on comes before what switches off. Where all active rows of a scope would be switched off, the last of these
+    changes (by time, then id) is refused; a scope without active rows has nothing to lose. Counts by scope decide, so a
+    scope of any size is neither sorted nor gathered.
+    """
+    last = changes.groupBy("scope", "id").agg(F.max_by("is_active", "at").alias("is_active"), F.max("at").alias("at"))
+    met = last.join(state.select("scope", "id", F.col("is_active").alias("was")), ["scope", "id"], "left")
+    off = F.col("was") & ~F.col("is_active")
+    moved = met.groupBy("scope").agg(F.count_if(F.col("was").isNotNull() & ~F.col("was") & F.col("is_active")).alias("on"), F.count_if(off).alias("off"), F.max(F.when(off, F.struct("at", "id"))).alias("latest"))
+    active = state.groupBy("scope").agg(F.count_if("is_active").alias("active"))
+    full = moved.join(active, "scope").where((F.col("off") > 0) & (F.col("off") >= F.col("active") + F.col("on"))).select("scope", F.col("latest.id").alias("id"), F.lit("last_active").alias("refused"))
+    error = F.when(F.col("was").isNull(), "unknown_id").otherwise(F.col("refused"))
+    return met.join(full, ["scope", "id"], "left").select("scope", "id", "is_active", error.isNull().alias("applied"), error.alias("error"))

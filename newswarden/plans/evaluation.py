@@ -298,3 +298,20 @@ def _(t):
 
     found = digests.runs(t.spark, _digest_store(t))
     return digests.latest(found).join(found.select("run", "saved", "failed"), "run").select("mode", "run", "saved", "failed")
+
+
+_ITEMS_SQL = """i AS (SELECT id, id % 3 = 0 AS dup, id % 6 = 0 OR id % 7 = 0 AS p_dup, id % 4 < 2 AS rel, id % 5 < 3 AS p_rel, id % 2 = 0 AS llm, status <> 'EXTRACTION_FAILED' AS ok, source_name AS grp, CASE WHEN id % 9 = 0 THEN 'none' WHEN id % 8 = 0 THEN 'other' ELSE source_name END AS p_grp,
+  epoch(fetched_at) - epoch(published_at) AS wait FROM v_articles)"""
+
+
+@query("e_01_seven_metrics", f"""WITH {_ITEMS_SQL} SELECT count(*) FILTER (dup AND p_dup) / count(*) FILTER (dup) AS duplicate_reduction_rate, count(*) FILTER (p_grp <> 'none' AND p_grp = grp) / count(*) FILTER (p_grp <> 'none') AS event_grouping_precision,
+  count(*) FILTER (rel AND p_rel) / count(*) FILTER (p_rel) AS classification_precision, count(*) FILTER (NOT rel AND p_rel) / count(*) FILTER (NOT rel) AS false_positive_rate, 1 - count(*) FILTER (llm) / count(*) AS llm_call_reduction_rate,
+  count(*) FILTER (ok) / count(*) AS extraction_success_rate, median(wait) AS median_source_to_notification_latency_seconds FROM i""")
+def _(t):
+    """All seven measures of a labelled set."""
+    i = _C("id")
+    items = t.articles.select(
+        (i % 3 == 0).alias("is_duplicate"), ((i % 6 == 0) | (i % 7 == 0)).alias("predicted_duplicate"), (i % 4 < 2).alias("is_relevant"), (i % 5 < 3).alias("predicted_relevant"), (i % 2 == 0).alias("llm_called"), (_C("status") != "EXTRACTION_FAILED").alias("extraction_success"),
+        _C("source_name").alias("expected_event_group"), F.when(i % 9 == 0, "none").when(i % 8 == 0, "other").otherwise(_C("source_name")).alias("predicted_event_group"), (F.unix_seconds(_C("fetched_at").cast("timestamp")) - F.unix_seconds(_C("published_at").cast("timestamp"))).alias("source_to_notification_latency_seconds"),
+    )
+    return evaluation.labelled_metrics(items)

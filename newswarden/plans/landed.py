@@ -107,3 +107,29 @@ def _(t):
     rows = readable.extracted(t.pages).select("method", text.words(F.coalesce("text", F.lit(""))).alias("got"), text.words(text.html_text(F.array_join(F.regexp_extract_all("html", F.lit("(?s)<(?:p|h1)>(.*?)(?=</?(?:p|h1|article|footer)>)"), F.lit(1)), " "))).alias("want"))
     recall, precision = readable.compared(_C("got"), _C("want"))
     return rows.groupBy("method").agg(F.count("*").alias("pages"), F.round(F.avg(recall), 4).alias("recall"), F.round(F.avg(precision), 4).alias("precision"))
+
+
+@query("r_05_sorted_keys", """SELECT event_id, concat('{"a":{"b":"', event_type, '","x":[{"c":', event_id % 7, ',"k":null},', user_id, ']},"m":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"z":', event_id, '}') AS canonical FROM events""")
+def _(t):
+    """Objects with keys out of order at every depth and with spaces, as canonical text: keys sorted, order of lists kept."""
+    raw = F.concat(F.lit('{ "z": '), _C("event_id"), F.lit(', "m" : '), (_C("event_id") % 2 == 0).cast("string"), F.lit(', "a": {"x": [ {"k": null, "c": '), _C("event_id") % 7, F.lit("}, "), _C("user_id"), F.lit(' ], "b": "'), _C("event_type"), F.lit('"} }'))
+    return t.events.select("event_id", F.to_json(F.parse_json(raw)).alias("canonical"))
+
+
+_FEEDS = "feeds AS (SELECT source_name AS scope, id, id % 4 = 1 AS is_active FROM v_articles), ch AS (SELECT source_name AS scope, id + CASE WHEN id % 50 = 0 THEN 1000000 ELSE 0 END AS id, source_name = 'CISA Alerts' AND id % 3 = 0 AS on_, fetched_at AS seen FROM v_articles WHERE id % 2 = 1 OR id % 50 = 0 OR source_name = 'CISA Alerts')"
+
+
+@query("m_05_last_active", f"""WITH {_FEEDS}, j AS (SELECT ch.*, f.is_active AS was FROM ch LEFT JOIN feeds f ON f.scope = ch.scope AND f.id = ch.id),
+  n AS (SELECT scope, count(*) FILTER (NOT was AND on_) AS ons, count(*) FILTER (was AND NOT on_) AS offs FROM j GROUP BY 1), a AS (SELECT scope, count(*) FILTER (is_active) AS act FROM feeds GROUP BY 1),
+  o AS (SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY seen DESC, id DESC) AS rn FROM j WHERE was AND NOT on_)
+  SELECT j.scope, j.id, j.on_ AS is_active, j.was IS NOT NULL AND NOT coalesce(o.rn = 1 AND offs >= act + ons, false) AS applied, CASE WHEN j.was IS NULL THEN 'unknown_id' WHEN o.rn = 1 AND offs >= act + ons THEN 'last_active' END AS error
+  FROM j JOIN n ON n.scope = j.scope JOIN a ON a.scope = j.scope LEFT JOIN o ON o.scope = j.scope AND o.id = j.id""")
+def _(t):
+    """All active feeds of every source are to be switched off, some unknown ones too; one of each source stays, but for the source where others are switched on."""
+    from ..operators import merges
+
+    i, a = _C("id"), t.articles
+    state = a.select(_C("source_name").alias("scope"), "id", (i % 4 == 1).alias("is_active"))
+    alerts = _C("source_name") == "CISA Alerts"
+    changes = a.where((i % 2 == 1) | (i % 50 == 0) | alerts).select(_C("source_name").alias("scope"), (i + F.when(i % 50 == 0, 1000000).otherwise(0)).alias("id"), (alerts & (i % 3 == 0)).alias("is_active"), _C("fetched_at").alias("at"))
+    return merges.keep_one_active(state, changes)
