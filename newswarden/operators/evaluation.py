@@ -208,3 +208,32 @@ def labelled_metrics(items: DataFrame) -> DataFrame:
     )
     middle = quantiles.interpolated(items, "source_to_notification_latency_seconds", 0.5)
     return row.withColumn("median_source_to_notification_latency_seconds", F.lit(middle).cast("double"))
+
+
+def pair_report(pairs: DataFrame, attach: float, uncertain: float) -> DataFrame:
+    """One row for labelled pairs (label same_event, different_event or uncertain; distance): counts, errors at the thresholds, and thresholds that the clouds suggest.
+
+    A distance that is null or not finite is unscorable; pairs labelled uncertain are counted and fit nothing. False attaches are different
+    events within `attach`, misses are same events beyond it, and the band is what lies between the two. Suggested are the farthest same pair
+    and the nearest different one, a hundredth to either side of their middle where they overlap, and the given ones where a cloud is empty.
+    Every figure is a sum or an extreme, so pairs are read once and nothing grows with them.
+    """
+    d = F.col("distance")
+    finite = F.coalesce(~F.isnan(d) & (F.abs(d) < float("inf")), F.lit(False))
+    unsure = F.coalesce(F.col("label") == "uncertain", F.lit(False))
+    same = finite & ~unsure & F.coalesce(F.col("label") == "same_event", F.lit(False))
+    other = finite & ~unsure & ~F.coalesce(F.col("label") == "same_event", F.lit(False))
+    c = pairs.agg(
+        F.count("*").alias("labelled"), F.count_if(finite).alias("scorable"), F.count_if(~finite).alias("unscorable"), F.count_if(same).alias("fit_same"), F.count_if(other).alias("fit_different"), F.count_if(finite & unsure).alias("uncertain_labels"),
+        F.count_if(other & (d <= attach)).alias("false_attaches"), F.count_if(same & (d > attach)).alias("missed"), F.count_if((same | other) & (d > attach) & (d <= uncertain)).alias("in_band"),
+        F.coalesce(F.max(F.when(same, d)), F.lit(attach)).alias("a"), F.coalesce(F.min(F.when(other, d)), F.lit(uncertain)).alias("u"),
+    )
+    middle, crossed = (F.col("a") + F.col("u")) / 2, F.col("a") >= F.col("u")
+    third = lambda x: F.floor(x * 1000 + 0.5) / 1000
+    return c.withColumns({"suggested_attach": third(F.when(crossed, F.greatest(middle - 0.01, F.lit(0.0))).otherwise(F.col("a"))), "suggested_uncertain": third(F.when(crossed, middle + 0.01).otherwise(F.col("u")))}).drop("a", "u")
+
+
+def pair_histogram(pairs: DataFrame, width: float = 0.02) -> DataFrame:
+    """(label, bin, pairs): how many scorable pairs of each label lie in each step of distance, with which thresholds are tuned without the pairs."""
+    finite = F.coalesce(~F.isnan("distance") & (F.abs("distance") < float("inf")), F.lit(False))
+    return pairs.where(finite).groupBy("label", F.floor(F.col("distance") / width).alias("bin")).agg(F.count("*").alias("pairs"))

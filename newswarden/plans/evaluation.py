@@ -315,3 +315,32 @@ def _(t):
         _C("source_name").alias("expected_event_group"), F.when(i % 9 == 0, "none").when(i % 8 == 0, "other").otherwise(_C("source_name")).alias("predicted_event_group"), (F.unix_seconds(_C("fetched_at").cast("timestamp")) - F.unix_seconds(_C("published_at").cast("timestamp"))).alias("source_to_notification_latency_seconds"),
     )
     return evaluation.labelled_metrics(items)
+
+
+_NEXT = """n AS (SELECT vec_id, label, embedding, lead(label) OVER w AS label_b, lead(embedding) OVER w AS b FROM embeddings WINDOW w AS (PARTITION BY vec_id % 16 ORDER BY vec_id)),
+  d AS (SELECT vec_id, CASE WHEN vec_id % 17 = 0 THEN 'uncertain' WHEN label = label_b THEN 'same_event' ELSE 'different_event' END AS label, CASE WHEN vec_id % 13 <> 0 THEN list_cosine_distance(CAST(embedding AS DOUBLE[]), CAST(b AS DOUBLE[])) END AS distance FROM n WHERE b IS NOT NULL)"""
+
+
+def _pairs(t):
+    """Each vector with the next of its sixteenth of the ids; some labels uncertain, some distances missing."""
+    from pyspark.sql import Window
+
+    from ..functions import numbers
+
+    w = Window.partitionBy(_C("vec_id") % 16).orderBy("vec_id")
+    n = t.embeddings.select("vec_id", "label", "embedding", F.lead("label").over(w).alias("label_b"), F.lead("embedding").over(w).alias("b")).where("b is not null")
+    label = F.when(_C("vec_id") % 17 == 0, "uncertain").when(_C("label") == _C("label_b"), "same_event").otherwise("different_event")
+    return n.select(label.alias("label"), F.when(_C("vec_id") % 13 != 0, numbers.cosine_distance(_C("embedding"), _C("b"))).alias("distance"))
+
+
+@query("e_11_pair_report", f"""WITH {_NEXT}, c AS (SELECT count(*) AS labelled, count(distance) AS scorable, count(*) - count(distance) AS unscorable, count(*) FILTER (label = 'same_event' AND distance IS NOT NULL) AS fit_same, count(*) FILTER (label = 'different_event' AND distance IS NOT NULL) AS fit_different,
+    count(*) FILTER (label = 'uncertain' AND distance IS NOT NULL) AS uncertain_labels, count(*) FILTER (label = 'different_event' AND distance <= 0.9) AS false_attaches, count(*) FILTER (label = 'same_event' AND distance > 0.9) AS missed,
+    count(*) FILTER (label <> 'uncertain' AND distance > 0.9 AND distance <= 1.0) AS in_band, max(distance) FILTER (label = 'same_event') AS a, min(distance) FILTER (label = 'different_event') AS u FROM d)
+  SELECT * EXCLUDE (a, u), floor(CASE WHEN a >= u THEN greatest((a + u) / 2 - 0.01, 0) ELSE a END * 1000 + 0.5) / 1000 AS suggested_attach, floor(CASE WHEN a >= u THEN (a + u) / 2 + 0.01 ELSE u END * 1000 + 0.5) / 1000 AS suggested_uncertain FROM c""")
+def _(t):
+    return evaluation.pair_report(_pairs(t), 0.9, 1.0)
+
+
+@query("e_11_histogram", f"WITH {_NEXT} SELECT label, CAST(floor(distance / 0.02) AS BIGINT) AS bin, count(*) AS pairs FROM d WHERE distance IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    return evaluation.pair_histogram(_pairs(t))

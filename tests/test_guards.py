@@ -23,3 +23,16 @@ def test_labelled_metrics(spark):
     rows = [(True, True, True, True, True, True, "a", "a", 10.0), (True, False, False, True, False, True, "a", "b", 30.0), (False, None, None, False, False, False, "a", "none", None), (False, True, True, True, False, True, None, None, 50.0)]
     got = tuple(evaluation.labelled_metrics(spark.createDataFrame(rows, ITEM)).first())
     assert got == (0.5, 0.5, 2 / 3, 0.5, 0.75, 0.75, 30.0)
+
+
+def test_pair_report(spark):
+    rows = [("same_event", 0.1), ("same_event", 0.2), ("same_event", 0.4), ("different_event", 0.12), ("different_event", 0.5), ("uncertain", 0.3), ("uncertain", None), ("same_event", float("nan")), ("different_event", float("inf")), ("different_event", None)]
+    pairs = spark.createDataFrame(rows, "label string, distance double")
+    r = evaluation.pair_report(pairs, 0.15, 0.35).first()
+    assert (r.labelled, r.scorable, r.unscorable, r.fit_same, r.fit_different, r.uncertain_labels) == (10, 6, 4, 3, 2, 1)
+    assert (r.false_attaches, r.missed, r.in_band, r.suggested_attach, r.suggested_uncertain) == (1, 2, 1, 0.25, 0.27)
+    apart = evaluation.pair_report(pairs.where("distance <> 0.12"), 0.15, 0.35).first()
+    assert (apart.suggested_attach, apart.suggested_uncertain) == (0.4, 0.5)
+    nothing = evaluation.pair_report(pairs.limit(0), 0.15, 0.35).first()
+    assert (nothing.labelled, nothing.suggested_attach, nothing.suggested_uncertain) == (0, 0.15, 0.35)
+    assert {(r.label, r.bin): r.pairs for r in evaluation.pair_histogram(pairs, 0.2).collect()} == {("same_event", 0): 1, ("same_event", 1): 1, ("same_event", 2): 1, ("different_event", 0): 1, ("different_event", 2): 1, ("uncertain", 1): 1}
