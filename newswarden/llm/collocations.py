@@ -35,7 +35,7 @@ from . import shared
 #: Buckets at most (powers of two; a bitmap has an eighth as many bytes), and for each word of the input, of about six characters.
 LEAST_BUCKETS, MOST_BUCKETS, SPREAD, WORD_CHARS = 1 << 16, 1 << 28, 2, 6
 #: Buckets of a range, and phrases and buckets that a task counts before it hands them on.
-RANGE, PENDING, MET = 1 << 16, 300_000, 1 << 23
+RANGE, PENDING, MET = 1 << 16, 300_000, 1 << 22
 #: What ends a piece, what parts its words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 _TABLE = bytes(10 if c in ENDS else 32 if c in GAPS else c for c in range(256))
@@ -98,24 +98,23 @@ class _Met:
 
     def add(self, buckets: np.ndarray) -> None:
         where, n = np.unique(buckets, return_counts=True)
-        self.parts.append((where, np.minimum(n, self.least)))
+        self.parts.append((where.astype(np.uint32), np.minimum(n, self.least).astype(np.uint32)))
         self.size += len(where)
 
     def ranges(self) -> pa.RecordBatch:
-        where = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
-        n = np.concatenate([p[1] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
+        where, n = (np.concatenate([np.zeros(0, np.uint32), *(p[k] for p in self.parts)]) for k in range(2))
         if len(self.parts) > 1:
             order = np.argsort(where, kind="stable")
             where, n = where[order], n[order]
             first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-            where, n = where[first], np.minimum(np.add.reduceat(n, first), self.least)
+            where, n = where[first], np.minimum(np.add.reduceat(n, first, dtype=np.int64), self.least)
         self.parts, self.size = [], 0
         part = where // RANGE
         cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
         place, n = (where % RANGE).astype("<u2"), n.astype(self.width)
         marks = [place[a:b].tobytes() + n[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
         m = len(marks)
-        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array(part[cuts[:-1]], pa.int32()), pa.array(marks, pa.binary())], schema=_ARROW)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.nulls(m, pa.int64()), pa.array(part[cuts[:-1]].astype(np.int32), pa.int32()), pa.array(marks, pa.binary())], schema=_ARROW)
 
 
 class _Texts:
@@ -242,8 +241,8 @@ def _marks(phrases: DataFrame, buckets: int) -> bytes:
 
 def frequencies(documents: DataFrame, longest: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(lang, phrase, k, f): every word with its count, and every phrase of 2 to `longest` words that occurs `least` times or more."""
-    if buckets is not None and (buckets & (buckets - 1) or buckets < 8):
-        raise ValueError("the number of buckets must be a power of two")
+    if buckets is not None and (buckets & (buckets - 1) or not 8 <= buckets <= 1 << 32):
+        raise ValueError("the number of buckets must be a power of two, 2^32 at most")
     spark = documents.sparkSession
     shared.prepare(spark)
     rows = shared.stable(documents.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text")).where("text is not null"))
