@@ -5,7 +5,7 @@ many, and large files are split. Prefixes of namespaces don't matter: `content:e
 is `encoded`, `dc:date` is `date`.
 
 Defined results: a file's items end before the first that is no well-formed XML, and
-`broken` lists that one with its file; a file without any item has no rows and is listed by `silent`. A missing
+`broken` lists that one with its file; a file without any item has no rows and is listed by `silent` unless it is empty. A missing
 field is null; a repeated one counts once, the first. Dates that can't be read are null.
 An Atom entry has no guid and no categories, only a link.
 """
@@ -70,15 +70,17 @@ def items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def broken(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record) of the files that cease to be well-formed XML, with what the reader had at that place."""
-    lost = lambda tag, schema: _read(spark, path, tag, schema).select("file", "title", F.col("_broken").alias("record")).where("record is not null").select("file", "record")
-    return lost("item", _ITEM).union(lost("entry", _ENTRY)).groupBy("file").agg(F.max("record").alias("record"))
+    """(file, title, record) of the files that cease to be well-formed XML, with what the reader had at that place."""
+    lost = lambda tag, schema: _read(spark, path, tag, schema).select("file", F.struct(F.col("_broken").alias("record"), F.get("title", 0).alias("title")).alias("r")).where("r.record is not null")
+    return lost("item", _ITEM).union(lost("entry", _ENTRY)).groupBy("file").agg(F.max("r").alias("r")).select("file", "r.title", "r.record")
 
 
 def silent(spark: SparkSession, path: str) -> DataFrame:
     """(file) of the files in which no item was found."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
-    return files.join(items(spark, path).select("file").distinct(), "file", "left_anti")
+    # The reader refuses a query that needs nothing of an item but whether it is broken, so the title is looked at too.
+    spoken = items(spark, path).where(F.length(F.coalesce("title", F.lit(""))) >= 0).select("file").distinct()
+    return files.join(spoken, "file", "left_anti")
 
 
 def normalised(found: DataFrame) -> DataFrame:
