@@ -48,10 +48,10 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/newswarden/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", **options: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: lineage ends there, and a lost executor loses nothing."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.parquet(path, compression=compression)
+    df.write.options(**options).parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._nw_path = path
     return out

@@ -48,6 +48,8 @@ CLOSE = 0x0A0D
 ROUNDS = 6
 #: Bytes of records in a range partition, and how many partitions there are at most.
 PARTITION_BYTES, MAX_PARTITIONS = 32 << 20, 50_000
+#: How the table of ids is written: it lies on disk beside the records on their way and the shards, so it is compressed harder, over more of it at once.
+TABLE = {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(4 << 20)}
 #: Bit of the number of ids that marks a null id of a document.
 NO_NAME = np.uint32(1 << 31)
 
@@ -125,7 +127,7 @@ def materialise(df: DataFrame, model_path: str, key: int, *, id_col: str = "doc_
     shared.prepare(spark)
     if sp_bpe.load(model_path, False).size > 1 << 16:
         raise ValueError("ids of this vocabulary don't fit 16 bits")
-    table = shared.written(_encoded(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model_path, length), "ids", compression="zstd")
+    table = shared.written(_encoded(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), model_path, length), "ids", compression="zstd", **TABLE)
     # One row for each partition of the input, so this is bounded by their number.
     sizes = table.groupBy("part").agg(F.sum("n").alias("n"), F.max(F.col("first") + F.col("n")).alias("end")).orderBy("part").collect()
     if any(r.n != r.end for r in sizes):
