@@ -2,6 +2,13 @@
 
 quality classifier -> n-gram Jaccard join -> benchmark decontamination -> pseudonyms
 -> SentencePiece ids. All stages but the last return the columns of `documents`.
+
+Defined results: a null text is scored and encoded as an empty one and stays null on the
+way; rows with a null id, or with another row's id, are judged by their own text. Of exact
+repeats of id and text one row stays after the join, and of a class the first row that has
+an id, by id and hash of the text, or else the first without. Empty texts are no copies of
+each other. Other columns pass through, whatever their names; an empty table gives an empty
+one. Very long texts are read whole.
 """
 
 from __future__ import annotations
