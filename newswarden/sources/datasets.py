@@ -78,18 +78,25 @@ def faults() -> list[tuple[str, Column]]:
 def checked(spark: SparkSession, path: str) -> DataFrame:
     """Every line that isn't blank: file, line, place, reason (null for a sample), id, and the sample's fields in struct `s`.
 
-    An id that is missing is made from the address.
+    An id that is missing is made from the address: eight digits of its digest, or all of them where an earlier line
+    of another address has these eight. Made ids are repeated only if their addresses are.
     """
     rows = numbered(spark, path).where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "").withColumn("v", F.try_parse_json("value"))
     reason = F.coalesce(*(F.when(bad, reason) for reason, bad in faults()))
     rows = rows.withColumn("own", reason).select("file", "line", "place", "own", F.when(F.col("own").isNull(), F.from_json("value", f"id string, {readers.SAMPLE}, expectedMinimumDecision string")).alias("s"))
     rows = rows.withColumns({"id": F.coalesce("s.id", F.concat(F.lit("cf-"), F.substring(F.sha1("s.url"), 1, 8))), "url": F.col("s.url")})
+    made = F.col("s").isNotNull() & F.col("s.id").isNull()
+    rows = rows.withColumn("made", F.when(made, F.col("url")))
     for key in ("id", "url"):
-        first = F.min(F.struct("place", "file", "line"))
+        first = F.min(F.struct("place", "file", "line", "made"))
         facts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), first.alias(f"first_{key}"))
         rows = skew.attach(rows, facts, key, "n", "place")
-    again = lambda key: F.when(F.col(f"first_{key}.place") < F.col("place"), F.concat(F.lit(f"repeated {key}, first on line "), F.col(f"first_{key}.line").cast("string")))
-    return rows.select("file", "line", "place", F.coalesce("own", again("id"), again("url")).alias("reason"), "id", "s")
+    later = lambda key: F.col(f"first_{key}.place") < F.col("place")
+    again = lambda key, by: F.concat(F.lit(f"repeated {key}, first on line "), F.col(f"first_{by}.line").cast("string"))
+    alike = F.coalesce(later("id") & (F.col("made") != F.col("first_id.made")), F.lit(False))
+    reason = F.when(later("id") & ~alike, again("id", "id")).when(later("url"), F.when(F.col("made") == F.col("first_url.made"), again("id", "url")).otherwise(again("url", "url")))
+    own_id = F.when(alike, F.concat(F.lit("cf-"), F.sha1("made"))).otherwise(F.col("id"))
+    return rows.select("file", "line", "place", F.coalesce("own", reason).alias("reason"), own_id.alias("id"), "s")
 
 
 def errors(spark: SparkSession, path: str) -> DataFrame:
