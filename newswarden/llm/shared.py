@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.workers import on_path
+from ..functions.workers import bounded, on_path
 
 
 def folder(spark: SparkSession) -> str:
@@ -29,10 +29,7 @@ BATCH_BYTES = 8 << 20
 
 def prepare(spark: SparkSession) -> None:
     """Before work in Python: batches bounded by bytes (Spark bounds rows alone; a lower setting stays), and this package on the workers' path."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name, None)
-    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    bounded(spark, BATCH_BYTES)
     on_path(spark)
 
 
