@@ -36,6 +36,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -82,43 +83,47 @@ class Attention:
 
     def _mask(self) -> np.ndarray:
         far = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        return np.where(far >= 0, self.bias[np.maximum(far, 0)], np.float32(-1e9)).astype(np.float32)
-
-    def forward(self, ids: np.ndarray, counted: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For windows: embeddings, scaled queries, attention, and of the places that count their rows, features (attended and own embedding) and logits of the next id's class."""
-        x = self.embed[ids]
-        q = x @ self.m
-        a = q @ x.transpose(0, 2, 1)
-        a += self._mask()
-        np.minimum(a, TOP.astype(a.dtype), out=a)
-        np.exp(a, out=a)
-        a /= (a.reshape(-1, WINDOW) @ np.ones(WINDOW, a.dtype)).reshape(len(a), WINDOW, 1)
-        rows = np.flatnonzero(counted.reshape(-1))
-        both = np.concatenate([(a @ x).reshape(-1, WIDTH)[rows], x.reshape(-1, WIDTH)[rows]], 1)
-        logits = both @ np.concatenate([self.attended, self.own])
-        logits += self.out
-        np.minimum(logits, TOP.astype(logits.dtype), out=logits)
-        return x, q, a, rows, both, logits
+        return np.where(far >= 0, self.bias[np.maximum(far, 0)], np.float32(-1e9)).astype(self.embed.dtype)
+
+    def _logits(self) -> np.ndarray:
+        """Weights of the features and, as their last row, of the constant one beside them."""
+        return np.concatenate([self.attended, self.own, self.out[None, :]])
+
+    def forward(self, ids: np.ndarray, skip: int, mask: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For windows: all embeddings, and from place `skip` on embeddings, scaled queries, exponentials of the attention scores and their sums, features (attended and own embedding, one) and logits of the next id's class."""
+        x = self.embed.take(ids, 0)
+        own = np.ascontiguousarray(x[:, skip:])
+        q = (own.reshape(-1, WIDTH) @ self.m).reshape(own.shape)
+        e = q @ x.transpose(0, 2, 1)
+        e += mask[skip:]
+        _limit(e)
+        np.exp(e, out=e)
+        total = (e.reshape(-1, WINDOW) @ np.ones(WINDOW, e.dtype)).reshape(*own.shape[:2], 1)
+        both = np.empty((own.size // WIDTH, 2 * WIDTH + 1), x.dtype)
+        both[:, :WIDTH] = (e @ x / total).reshape(-1, WIDTH)
+        both[:, WIDTH:-1] = own.reshape(-1, WIDTH)
+        both[:, -1] = 1
+        logits = both @ weights
+        _limit(logits)
+        return x, own, q, e, total, both, logits
 
     def class_scores(self, ids: np.ndarray, targets: np.ndarray, counted: np.ndarray | None = None) -> np.ndarray:
         """Natural log-probability of each target's class, 0 at places that don't count."""
         counted = np.ones(ids.shape, bool) if counted is None else counted
-        out = np.zeros(ids.size)
-        for at in range(0, len(ids), TOGETHER):
-            w = slice(at, at + TOGETHER)
-            rows, logits = self.forward(ids[w], counted[w])[3::2]
-            picked = logits[np.arange(len(rows)), self.klass[targets[w].reshape(-1)[rows]]]
+        out, mask, weights = np.zeros(ids.shape), self._mask(), self._logits()
+        for w, skip in _together(counted):
+            logits = self.forward(ids[w], skip, mask, weights)[-1]
+            picked = logits[np.arange(len(logits)), self.klass.take(targets[w, skip:].reshape(-1))]
             np.exp(logits, out=logits)
-            out[at * WINDOW + rows] = picked - np.log(logits @ np.ones(CLASSES, logits.dtype))
-        return out.reshape(ids.shape)
+            out[w, skip:] = (picked - np.log(logits @ np.ones(CLASSES, logits.dtype))).reshape(len(w), -1)
+        return np.where(counted, out, 0.0)
 
     def gradients(self, ids: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Mean log-loss over the places that count, and its gradients."""
         n = max(int(counted.sum()), 1)
-        loss, rest, d_all = 0.0, None, np.empty((*ids.shape, WIDTH), self.embed.dtype)
-        for at in range(0, len(ids), TOGETHER):
-            w = slice(at, at + TOGETHER)
-            part, d_all[w], own = self._part(ids[w], targets[w], counted[w], n)
+        loss, rest, d_all, mask, weights = 0.0, None, np.empty((*ids.shape, WIDTH), self.embed.dtype), self._mask(), self._logits()
+        for w, skip in _together(counted):
+            part, d_all[w], own = self._part(ids[w], targets[w, skip:], counted[w, skip:], n, skip, mask, weights)
             loss += part
             rest = own if rest is None else [a + b for a, b in zip(rest, own, strict=True)]
         if rest is None:
@@ -126,30 +131,44 @@ class Attention:
         place, flat = ids.reshape(-1), d_all.reshape(-1, WIDTH)
         return loss, [np.stack([np.bincount(place, flat[:, k], len(self.embed)) for k in range(WIDTH)], 1), *rest]
 
-    def _part(self, ids: np.ndarray, targets: np.ndarray, counted: np.ndarray, n: int) -> tuple[float, np.ndarray, list[np.ndarray]]:
-        x, q, a, rows, both, p = self.forward(ids, counted)
-        kind, gold = p.dtype, self.klass[targets.reshape(-1)[rows]]
-        picked = p[np.arange(len(p)), gold]
+    def _part(self, ids: np.ndarray, targets: np.ndarray, counted: np.ndarray, n: int, skip: int, mask: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, list[np.ndarray]]:
+        x, own, q, e, total, both, p = self.forward(ids, skip, mask, weights)
+        kind, place, share = p.dtype, np.arange(len(p)), counted.reshape(-1) / p.dtype.type(n)
+        gold = self.klass.take(targets.reshape(-1))
+        picked = p[place, gold]
         np.exp(p, out=p)
-        total = p @ np.ones(CLASSES, kind)
-        loss = float((np.log(total) - picked).sum()) / n
-        p /= total[:, None]
-        p[np.arange(len(p)), gold] -= 1
-        p /= kind.type(n)
-        d_both = np.zeros((ids.size, 2 * WIDTH), kind)
-        d_both[rows] = p @ np.concatenate([self.attended, self.own]).T
-        d_mixed, d_x = np.ascontiguousarray(d_both[:, :WIDTH]).reshape(x.shape), np.ascontiguousarray(d_both[:, WIDTH:]).reshape(x.shape)
+        of_all = p @ np.ones(CLASSES, kind)
+        loss = float((np.log(of_all) - picked) @ share)
+        p *= (share / of_all)[:, None]
+        p[place, gold] -= share
+        d_both = p @ weights[:-1].T
+        # The exponentials stay undivided; what would meet them is divided by their sums.
+        d_mixed = d_both[:, :WIDTH].reshape(own.shape) / total
         d_s = d_mixed @ x.transpose(0, 2, 1)
-        d_x += a.transpose(0, 2, 1) @ d_mixed
-        d_s -= ((d_s * a).reshape(-1, WINDOW) @ np.ones(WINDOW, kind)).reshape(len(a), WINDOW, 1)
-        d_s *= a
+        d_x = e.transpose(0, 2, 1) @ d_mixed
+        d_s -= ((d_s * e).reshape(-1, WINDOW) @ np.ones(WINDOW, kind)).reshape(total.shape) / total
+        d_s *= e
         d_q = d_s @ x
         d_x += d_s.transpose(0, 2, 1) @ q
-        d_x += d_q @ self.m.T
-        far = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-        d_bias = np.bincount(np.maximum(far, 0).ravel(), (np.ones(len(a), kind) @ d_s.reshape(len(a), -1)) * (far >= 0).ravel(), WINDOW)
+        d_x[:, skip:] += (d_both[:, WIDTH:] + d_q.reshape(-1, WIDTH) @ self.m.T).reshape(own.shape)
+        far = np.arange(skip, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+        d_bias = np.bincount(np.maximum(far, 0).ravel(), (np.ones(len(e), kind) @ d_s.reshape(len(e), -1)) * (far >= 0).ravel(), WINDOW)
         d_w = both.T @ p
-        return loss, d_x, [x.reshape(-1, WIDTH).T @ d_q.reshape(-1, WIDTH), d_bias, d_w[:WIDTH], d_w[WIDTH:], np.ones(len(p), kind) @ p]
+        return loss, d_x, [own.reshape(-1, WIDTH).T @ d_q.reshape(-1, WIDTH), d_bias, d_w[:WIDTH], d_w[WIDTH:-1], d_w[-1]]
+
+
+def _together(counted: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Windows that go through the arrays together, and the first place that any of them counts: what only overlaps the window before asks for nothing."""
+    late = ~counted[:, : WINDOW - STRIDE].any(1)
+    for skip, which in ((WINDOW - STRIDE, np.flatnonzero(late)), (0, np.flatnonzero(~late))):
+        for at in range(0, len(which), TOGETHER):
+            yield which[at : at + TOGETHER], skip
+
+
+def _limit(x: np.ndarray) -> None:
+    """Values over TOP become it; as a rule there are none, and looking is cheaper than writing."""
+    if x.size and not x.max() <= TOP:
+        np.minimum(x, TOP.astype(x.dtype), out=x)
 
 
 def windows_of(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,6 +285,17 @@ def id_given_class(counts: np.ndarray, klass: np.ndarray, behind: np.ndarray | N
     return out
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What np.unique gives with indices, inverse and counts, by hashing, so that only the distinct values are sorted."""
+    met, values = pd.factorize(h)
+    order = np.argsort(values)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    inverse, first = rank[met], np.empty(len(order), np.int64)
+    first[inverse[::-1]] = np.arange(len(h) - 1, -1, -1)
+    return values[order], first, inverse, np.bincount(inverse, minlength=len(order))
+
+
 class _Words:
     """Texts of a batch as words: their rows and hashes, and the subword ids of each."""
 
@@ -279,7 +309,7 @@ class _Words:
             part, off = R.LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
             s, e, rows = R.spans(part, off, R.NOT_SPACE)
             h, second = R.span_hashes(part, s, e), R.span_hashes(part, s, e, 1)
-            own, one, inverse, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            own, one, inverse, times = _distinct(h)
             place = self.model.lookup(own, second[one], part, s[one], e[one])
             yield lo, hi, rows, h, own, times, place, inverse
 

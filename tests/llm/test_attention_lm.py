@@ -111,3 +111,20 @@ def test_long_text_pushes_no_other_out_of_the_start(spark):
 
 def test_empty_table(spark):
     assert lm.scored(spark.createDataFrame([], "doc_id long, text string"), SP_MODEL).collect() == []
+
+
+def test_windows_that_overlap_compute_only_what_they_count():
+    rng = np.random.default_rng(4)
+    model = lm.train([rng.integers(3, 20, 200) for _ in range(9)], 20, 1, 2, steps=5)
+    ids, targets = rng.integers(0, 20, (2, 5, lm.WINDOW))
+    on = rng.random((5, lm.WINDOW)) < 0.8
+    on[1:4, : lm.WINDOW - lm.STRIDE] = False
+    on[0, 0] = on[4, 0] = True
+    assert [(w.tolist(), skip) for w, skip in lm._together(on)] == [([1, 2, 3], lm.WINDOW - lm.STRIDE), ([0, 4], 0)]
+    assert np.allclose(model.class_scores(ids, targets, on), np.where(on, model.class_scores(ids, targets), 0), atol=1e-5)
+
+
+def test_distinct_hashes_as_numpy_has_them():
+    for h in (np.random.default_rng(5).integers(0, 50, 300).astype(np.uint64) << np.uint64(58), np.empty(0, np.uint64)):
+        for mine, theirs in zip(lm._distinct(h), np.unique(h, return_index=True, return_inverse=True, return_counts=True), strict=True):
+            assert mine.dtype == theirs.dtype and (mine == theirs).all()
