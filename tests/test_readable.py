@@ -66,3 +66,22 @@ def test_lines_alike_in_python_and_in_columns(spark):
     lines = ["Subscribe to our newsletter of the week", "subscribed users are many in this town", "Comments", "Comments on this case are many", "comments (3)", "Two words", "Two words.", "one two three four", "", "   ", "© 2024 Someone and someone else", "A line that is long enough to stay", "Read next: a story of another town", "tags : a b c d e f g"]
     got = spark.createDataFrame([("\n".join(lines),)], "t string").select(text.content_lines(F.col("t")).alias("k")).first().k
     assert got == [x for x in lines if text.is_content(x.strip())] and "Comments on this case are many" in got and "Comments" not in got and len(got) == 4
+
+
+def test_a_page_is_parsed_once_where_no_selector_took_parts_of_it(monkeypatch):
+    seen = []
+    plain = readable.parsed
+    monkeypatch.setattr(readable, "parsed", lambda html: (seen.append(html), plain(html))[1])
+    html, url, _, method = PAGES["scored"]
+    assert readable.readable(html, url)[1] == method
+    assert len(seen) == 1
+    html, url, _, method = PAGES["short selector"]
+    assert readable.readable(html, url)[1] == method
+    assert len(seen) == 3
+
+
+def test_white_space_of_any_kind_is_one_space():
+    spaces = "".join(c for c in map(chr, range(0x110000)) if re.match(r"\s", c))
+    assert readable._plain(f"{spaces}a{spaces}b\n") == "a b"
+    assert all(readable._plain(f"a{c}b") == "a b" for c in spaces)
+    assert readable._plain("a\u200bb") == "a\u200bb"
