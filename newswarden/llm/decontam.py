@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.workers import lean
 from . import ragged as R
 from . import shared
 
@@ -144,7 +145,7 @@ def _scanned(df: DataFrame, benchmark: DataFrame, text_col: str, id_col: str, it
     while one is not None:
         after = next(sets, None)
         sent.append(context.broadcast(one))
-        df = df.mapInArrow(_step(sent[-1], text_col, hits, items, k > 0, None if after else finish), carry if after else schema)
+        df = df.mapInArrow(lean(_step(sent[-1], text_col, hits, items, k > 0, None if after else finish)), carry if after else schema)
         k += 1
         if after and k % TOGETHER == 0:
             df = shared.written(df, "scanned")

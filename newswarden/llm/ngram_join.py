@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.workers import lean
 from ..operators.skew import attach
 from . import ragged as R
 from . import shared
@@ -111,7 +112,7 @@ def _signed(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                     names=["id", "hash", "sig", "n", "sketch"],
                 )
 
-    return df.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, schema)
+    return df.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(lean(run), schema)
 
 
 _ROW = "key long, sig binary, n int, sketch binary"
@@ -145,7 +146,7 @@ def _children(df: DataFrame, runs: list[int] | None, threshold: float) -> DataFr
                     pick = pa.array(who)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("sig").take(pick), batch.column("n").take(pick), sketch.take(pick)], names=["key", "sig", "n", "sketch"])
 
-    return df.mapInArrow(run, _ROW)
+    return df.mapInArrow(lean(run), _ROW)
 
 
 def _least(threshold: float) -> float:
@@ -197,7 +198,7 @@ def _brute(rows: DataFrame, threshold: float) -> DataFrame:
             key, sig, tokens = key[first[-1] :], sig[first[-1] :], tokens[first[-1] :]
         yield judge(sig, tokens, [0, len(sig)])
 
-    return rows.select("key", "sig", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary")
+    return rows.select("key", "sig", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _pivots(rows: DataFrame, threshold: float, hot: int) -> DataFrame:
@@ -220,7 +221,7 @@ def _pivots(rows: DataFrame, threshold: float, hot: int) -> DataFrame:
 
     pivot = rows.groupBy("key").agg(F.min_by(F.struct("sig", "sketch"), F.xxhash64("sig", "key")).alias("p"), F.count("*").alias("size"))
     pivot = pivot.select("key", "size", F.col("p.sig").alias("pivot"), F.col("p.sketch").alias("other"))
-    return attach(rows, pivot, "key", "size", "sig", hot).select("key", "sig", "n", "sketch", "pivot", "other").mapInArrow(run, schema)
+    return attach(rows, pivot, "key", "size", "sig", hot).select("key", "sig", "n", "sketch", "pivot", "other").mapInArrow(lean(run), schema)
 
 
 def survival(depth: int, threshold: float) -> float:
@@ -325,7 +326,7 @@ def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
         if rows:
             yield out(judge(rows))
 
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, schema)
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(lean(run), schema)
 
 
 def _tiles(members: DataFrame, threshold: float, tile: int) -> DataFrame:
@@ -397,7 +398,7 @@ def _resets(texts: DataFrame, words: int) -> DataFrame:
                 rest = [batch.column(k).slice(lo, hi - lo).take(pa.array(keep, pa.int64())) for k in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([h[bounds[r] : bounds[r + 1]].tobytes() for r in keep], pa.binary())], names=["sig", "copies", "tiles", "set"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(lean(run), schema)
 
 
 def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, tile: int = TILE, deepest: int = DEEPEST) -> DataFrame:

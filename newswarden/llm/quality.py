@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.workers import lean
 from . import crf, lines, shared
 
 MAX_DOCS = 4000
@@ -64,7 +65,7 @@ def train(documents: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(t.lo, t.hi - t.lo), pa.array(out, pa.binary())], names=["label", "bins"])
 
     texts = documents.select(id_col, text_col).join(F.broadcast(known), id_col).groupBy(id_col).agg(F.min(text_col).alias("__nw_text"), F.first("__nw_label").alias("__nw_label"))
-    rows = texts.select("__nw_text", F.col("__nw_label").cast("int")).mapInArrow(look, "label int, bins binary").collect()
+    rows = texts.select("__nw_text", F.col("__nw_label").cast("int")).mapInArrow(lean(look), "label int, bins binary").collect()
     label = np.array([int(r.label > 0) for r in rows], np.int64)
     bins = [np.frombuffer(r.bins, np.int8).reshape(-1, len(lines.BINS)) for r in rows]
     size = np.array([len(b) for b in bins], np.int64)
@@ -96,7 +97,7 @@ def classify(df: DataFrame, trained: Trained, *, id_col: str = "doc_id", text_co
             for t in lines.tables(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.lo, t.hi - t.lo), pa.array(_score(trained, t))], names=[id_col, "score"])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def keep_good(df: DataFrame, trained: Trained, *, text_col: str = "text", threshold: float = GOOD) -> DataFrame:
@@ -107,7 +108,7 @@ def keep_good(df: DataFrame, trained: Trained, *, text_col: str = "text", thresh
             for t in lines.tables(batch.column(text_col)):
                 yield batch.slice(t.lo, t.hi - t.lo).filter(pa.array(_score(trained, t) >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)
 
 
 def rules(df: DataFrame, trained: Trained, *, id_col: str = "doc_id", text_col: str = "text", content_share: float = CONTENT_SHARE) -> DataFrame:
@@ -123,4 +124,4 @@ def rules(df: DataFrame, trained: Trained, *, id_col: str = "doc_id", text_col:
                 columns = [batch.column(0).slice(t.lo, t.hi - t.lo), *(pa.array(getattr(t, x), pa.int64()) for x in names), pa.array(failed), pa.array(share), pa.array(~failed & (share >= content_share))]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(lean(run), schema)

@@ -8,7 +8,7 @@ become byte pieces.
 
 No piece of such a vocabulary may hold a mark after another character (checked
 when the model is loaded), so no merge crosses the place before a run of spaces.
-Texts are therefore cut there, each distinct segment of a worker is encoded once,
+Texts are therefore cut there, each distinct segment of a task is encoded once,
 and rows are put together by gathers. Short segments take their agendas' best
 entries all at once, in rounds over arrays; long ones use a heap each. Every
 segment that is encoded is checked against the sentencepiece library, batch by
@@ -33,13 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..functions.workers import lean
 from . import ragged as R
 from . import shared
 
 MARK = "▁"
 #: Symbols up to which segments are merged together in arrays; a longer one has a heap of its own.
 LONG = 48
-#: Distinct segments and ids that a worker keeps; beyond it starts anew.
+#: Distinct segments and ids that a task keeps; beyond it starts anew.
 CACHE_SEGMENTS, CACHE_IDS = 1 << 21, 1 << 24
 _NONE = np.int32(2**31 - 1)
 
@@ -81,9 +82,9 @@ class Model:
         text[self.unk] = " ⁇ ".encode()
         self.text = np.frombuffer(b"".join(text), np.uint8)
         self.text_bounds = np.concatenate([[0], np.cumsum([len(x) for x in text])]).astype(np.int64)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """An empty store: hashes in two sorted runs, the smaller for what is new, with places in buffers that grow by doubling."""
         self.runs = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2)]
         self.n_segments = self.n_ids = 0
@@ -261,7 +262,7 @@ class Model:
     def lookup(self, own: np.ndarray, second: np.ndarray, part: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Places of the segments (by sorted hashes), each with a mark before it, in the worker's store; those not there yet are encoded."""
         if self.n_segments > CACHE_SEGMENTS or self.n_ids > CACHE_IDS:
-            self._forget()
+            self.forget()
         out = np.full(len(own), -1, np.int64)
         for known, place in self.runs:
             if len(known):
@@ -312,6 +313,13 @@ def encode_digests(df: DataFrame, model_path: str, *, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(model_path)
+        try:
+            yield from encoded(model, batches)
+        finally:
+            # A reused worker would carry the store through the stages that come after.
+            model.forget()
+
+    def encoded(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, ids, bounds in model.encode(batch.column(1)):
                 raw, ends = model.decode(ids, bounds)
@@ -325,7 +333,7 @@ def encode_digests(df: DataFrame, model_path: str, *, id_col: str = "doc_id", te
                 columns = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)][: 3 + keep_ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *columns], names=[f.name for f in schema.fields])
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def decode_ids(df: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -346,4 +354,4 @@ def decode_ids(df: DataFrame, model_path: str, *, id_col: str = "doc_id", ids_co
                 texts.append(raw[ends[0, 0] : ends[0, 1]].tobytes().decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, schema)
+    return df.select(id_col, ids_col).mapInArrow(lean(run), schema)
