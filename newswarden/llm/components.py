@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating stars, each round a written table."""
+"""Connected components of a link table, by alternating stars, each round a written table. A table that is settled from the start takes no round."""
 
 from __future__ import annotations
 
@@ -16,26 +16,28 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return moved.where("u > v").distinct()
+    return moved.where("u > v")
 
 
-def _mark(links: DataFrame) -> tuple:
-    row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003), F.sum(F.xxhash64("v", "u") % 1000033)).first()
-    return tuple(row)
+def _settled(links: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one only, which has no smaller one itself; a round would change nothing."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e"))
+    nodes = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+    return nodes.where("up > 1 or (up > 0 and least = 0)").isEmpty()
 
 
 def components(links: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of a link between different nodes; the root is the least node of its component."""
     now = shared.written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    mark = _mark(now)
     for _ in range(rounds):
-        later = shared.written(_star(_star(now, True), False), "links")
-        new = _mark(later)
+        if _settled(now):
+            break
+        # Written in between: the small star reads the large one's links twice.
+        large = shared.written(shared.compact(_star(now, True), now), "stars")
+        later = shared.written(shared.compact(_star(large, False).distinct(), now), "links")
         shared.drop(now)
+        shared.drop(large)
         now = later
-        if new == mark:
-            break
-        mark = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node")).distinct()

@@ -165,8 +165,8 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _brute(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate links within small buckets: all pairs by tokens, as spanning forests. Buckets come one after the other, in rows sorted by key."""
+def _brute(rows: DataFrame, dealt: DataFrame, threshold: float) -> DataFrame:
+    """Candidate links within small buckets: all pairs by tokens, as stars to the least set. Buckets come one after the other, in rows sorted by key."""
     least = _least(threshold) * TOKENS
 
     def judge(sig: list[bytes], tokens: np.ndarray, bounds: list[int]) -> pa.RecordBatch:
@@ -198,7 +198,7 @@ def _brute(rows: DataFrame, threshold: float) -> DataFrame:
             key, sig, tokens = key[first[-1] :], sig[first[-1] :], tokens[first[-1] :]
         yield judge(sig, tokens, [0, len(sig)])
 
-    return rows.select("key", "sig", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), "a binary, b binary")
+    return shared.compact(rows.select("key", "sig", "sketch").repartition("key"), dealt).sortWithinPartitions("key", "sig").mapInArrow(lean(run), "a binary, b binary")
 
 
 def _pivots(rows: DataFrame, threshold: float, hot: int) -> DataFrame:
@@ -248,7 +248,7 @@ def candidate_links(sets: DataFrame, *, threshold: float = THRESHOLD, recall: fl
             dealt = shared.written(attach(rows, sizes, "key", "rows", "sig", hot).where("size > 1"), "paths")
             small = dealt.where(F.col("size") <= bucket)
             large = dealt.where(F.col("size") > bucket).drop("size")
-            found = _brute(small, threshold)
+            found = _brute(small, dealt, threshold)
             deeper = not large.isEmpty()
             if deeper:
                 met = shared.written(_pivots(large, threshold, hot), "pivots")
@@ -293,11 +293,11 @@ def _overlaps(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
 
 
 def _verified(tiles: DataFrame, threshold: float) -> DataFrame:
-    """From rows (tile, side, sig, copies, set): links counted by set, and a spanning forest of them."""
+    """From rows (tile, side, sig, copies, set): links counted by set, and stars of them to the least set."""
     schema = "sig binary, sets long, docs long, root binary"
 
     def judge(rows: list[tuple]) -> list[tuple]:
-        rows = list({(r[2], r[1]): r for r in rows}.values())
+        rows = sorted({(r[2], r[1]): r for r in rows}.values(), key=lambda r: r[2])
         sets = [np.frombuffer(r[4], np.uint64) for r in rows]
         side, copies = np.array([r[1] for r in rows]), np.array([r[3] for r in rows])
         both, size = _overlaps(sets), np.array([len(s) for s in sets])
@@ -359,17 +359,19 @@ def _linked(df: DataFrame, id_col: str, text_col: str, words: int, threshold: fl
     docs = shared.written(_signed(df, id_col, text_col, words), "signed")
     row = F.struct("id", "hash")
     named = F.coalesce(F.min(F.when(F.col("id").isNotNull(), row)), F.min(row))
-    sets = shared.written(docs.where("n > 0").groupBy("sig").agg(named.alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sets")
+    sets = docs.where("n > 0").groupBy("sig").agg(named.alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = shared.written(shared.compact(sets, docs), "sets")
     links = candidate_links(sets, threshold=threshold, recall=recall, bucket=bucket, deepest=deepest)
     comps = components(links, "a", "b").withColumnRenamed("node", "sig")
     whole = sets
-    members = shared.written(comps.join(whole.select("sig", "rep", "copies", "n"), "sig"), "members")
+    members = shared.written(shared.compact(comps.join(whole.select("sig", "rep", "copies", "n"), "sig"), sets), "members")
     tiles = _tiles(members, threshold, tile).groupBy("sig").agg(F.collect_list(F.struct("tile", "side")).alias("tiles"))
     # A set's text is that of one row: by id and hash, so rows that share an id, or have none, don't meet each other's sets.
     wanted = members.select(F.col("rep.id").alias("want"), F.col("rep.hash").alias("wanted_hash"), "sig", "copies").join(tiles, "sig")
     texts = df.select(F.col(id_col).alias("rep"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     texts = texts.join(wanted, F.col("rep").eqNullSafe(F.col("want")) & (F.col("hash") == F.col("wanted_hash")))
-    texts = texts.where("rep is not null").unionByName(texts.where("rep is null").dropDuplicates(["sig"]))
+    if not members.where("rep.id is null").isEmpty():
+        texts = texts.where("rep is not null").unionByName(texts.where("rep is null").dropDuplicates(["sig"]))
     placed = _resets(texts.select("text", "sig", "copies", "tiles"), words).select("sig", "copies", "set", F.inline("tiles"))
     found = shared.written(_verified(placed.select("tile", "side", "sig", "copies", "set"), threshold), "verified")
     counted = found.groupBy("sig").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs"))

@@ -54,6 +54,22 @@ def written(df: DataFrame, name: str, compression: str = "snappy", **options: st
     return out
 
 
+#: Bytes of its source for a partition of a compact table.
+PART_BYTES = 4 << 20
+
+
+def compact(df: DataFrame, *sources: DataFrame) -> DataFrame:
+    """`df` in no more partitions than the bytes of its sources (tables of `written`) call for, or four a core: a small one does not become a file a shuffle partition."""
+    context = df.sparkSession.sparkContext
+    return df.coalesce(max(4 * context.defaultParallelism, sum(_bytes(x) for x in sources) // PART_BYTES))
+
+
+def _bytes(df: DataFrame) -> int:
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._nw_path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def drop(df: DataFrame) -> None:
     """Removes the files behind a table of `written` once nothing reads it any more."""
     spark = df.sparkSession
